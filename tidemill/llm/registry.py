@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.attribution import op6_token_counts
+from tidemill.llm.language import op5_language_id
+from tidemill.llm.permutation import op10_permutation_ann
+from tidemill.llm.pieces import op3_sentencepiece
 from tidemill.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op5_language_id": op5_language_id,
+        "op6_token_counts": op6_token_counts,
+        "op10_permutation_ann": op10_permutation_ann,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
