@@ -11,6 +11,7 @@ from tidemill.llm.language import op5_language_id
 from tidemill.llm.permutation import op10_permutation_ann
 from tidemill.llm.pieces import op3_sentencepiece
 from tidemill.llm.toxicity import op1_toxicity
+from tidemill.llm.urllists import ORACLE, op9_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op5_language_id": op5_language_id,
         "op6_token_counts": op6_token_counts,
+        "op9_url_filters": op9_url_filters,
         "op10_permutation_ann": op10_permutation_ann,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filters": ORACLE}
