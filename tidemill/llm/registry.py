@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.attribution import op6_token_counts
 from tidemill.llm.language import op5_language_id
+from tidemill.llm.neardup import op4_hyperminhash
 from tidemill.llm.permutation import op10_permutation_ann
 from tidemill.llm.pieces import op3_sentencepiece
 from tidemill.llm.toxicity import op1_toxicity
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_hyperminhash": op4_hyperminhash,
         "op5_language_id": op5_language_id,
         "op6_token_counts": op6_token_counts,
         "op9_url_filters": op9_url_filters,
