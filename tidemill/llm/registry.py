@@ -11,6 +11,7 @@ from tidemill.llm.language import op5_language_id
 from tidemill.llm.neardup import op4_hyperminhash
 from tidemill.llm.permutation import op10_permutation_ann
 from tidemill.llm.pieces import op3_sentencepiece
+from tidemill.llm.ppm import op2_ppm
 from tidemill.llm.toxicity import op1_toxicity
 from tidemill.llm.urllists import ORACLE, op9_url_filters
 
@@ -18,6 +19,7 @@ from tidemill.llm.urllists import ORACLE, op9_url_filters
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_ppm": op2_ppm,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_hyperminhash": op4_hyperminhash,
         "op5_language_id": op5_language_id,
