@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.attribution import op6_token_counts
+from tidemill.llm.decontaminate import op7_decontamination
 from tidemill.llm.language import op5_language_id
 from tidemill.llm.neardup import op4_hyperminhash
 from tidemill.llm.permutation import op10_permutation_ann
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_hyperminhash": op4_hyperminhash,
         "op5_language_id": op5_language_id,
         "op6_token_counts": op6_token_counts,
+        "op7_decontamination": op7_decontamination,
         "op9_url_filters": op9_url_filters,
         "op10_permutation_ann": op10_permutation_ann,
     }
