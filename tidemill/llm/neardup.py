@@ -262,6 +262,18 @@ def _confirm(docs: DataFrame, classes: DataFrame, candidate: DataFrame, words: i
     return _blocks(whole, "parts").groupBy("comp", "i", "j").applyInArrow(confirm, "a binary, b binary")
 
 
+def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that :func:`near_duplicates` keeps; of rows with one doc_id and equal text, one.
+
+    Only rows whose doc_id repeats are compared, so texts are shuffled for those alone.
+    """
+    kept = stash(found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
+    mine = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
+    once = mine.where("_n = 1").select(*[docs[c] for c in docs.columns])
+    more = mine.where("_n > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more)
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents over 3-word shingles at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=32, rows=5)

@@ -13,6 +13,7 @@ from tidemill.llm.neardup import op4_hyperminhash
 from tidemill.llm.permutation import op10_permutation_ann
 from tidemill.llm.pieces import op3_sentencepiece
 from tidemill.llm.ppm import op2_ppm
+from tidemill.llm.secrets import op8_secret_scan
 from tidemill.llm.toxicity import op1_toxicity
 from tidemill.llm.urllists import ORACLE, op9_url_filters
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_token_counts": op6_token_counts,
         "op7_decontamination": op7_decontamination,
+        "op8_secret_scan": op8_secret_scan,
         "op9_url_filters": op9_url_filters,
         "op10_permutation_ann": op10_permutation_ann,
     }

@@ -163,6 +163,19 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRES
     return docs.mapInArrow(scored, widened(docs, "score double, predicted int"))
 
 
+def rejected_removed(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score under the threshold, with their columns as they are."""
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(batch.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; learned from ids whose crc32 mod 4 is not 2."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
