@@ -44,6 +44,7 @@ END = b"\n"
 BLOCK_BYTES = 12 << 20
 _DOC_BITS = 14
 _CHUNK = 2 << 20
+_SCORED = 1 << 19
 _HEADER = np.dtype([("doc", "<i8"), ("null", "?"), ("held", "?"), ("n", "<i8"), ("score", "<f8")])
 
 
@@ -124,6 +125,45 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
+class Lookup:
+    """Places of distinct non-negative keys: open addressing, probed for whole arrays at a time."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.mask = size - 1
+        self.held = np.full(size, -1, np.int64)
+        self.place = np.zeros(size, np.int32)
+        slot, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            free = self.held[slot] < 0
+            self.held[slot[free]] = keys[todo[free]]  # of keys that meet in a slot the last stays
+            mine = self.held[slot] == keys[todo]
+            self.place[slot[mine]] = todo[mine]
+            slot, todo = (slot[~mine] + 1) & self.mask, todo[~mine]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key its place (0 if it has none) and whether it has one."""
+        slot = self._slots(keys)
+        there = self.held[slot]
+        found = there == keys
+        place = np.where(found, self.place[slot], 0)
+        todo = np.flatnonzero(~found & (there >= 0))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & self.mask
+            there = self.held[slot]
+            hit = there == keys[todo]
+            found[todo[hit]] = True
+            place[todo[hit]] = self.place[slot[hit]]
+            more = ~hit & (there >= 0)
+            slot, todo = slot[more], todo[more]
+        return place, found
+
+
 @dataclass
 class Level:
     """Contexts of one length: grams and counts; context keys, totals, pruned mass, distinct symbols, mass to exclude below."""
@@ -151,7 +191,8 @@ class Trie:
         self.levels = levels
         top = levels[-1]
         at, _ = _find(top.ctx, top.gram >> 8)
-        self.top_set = pa.array(top.gram)
+        self.grams = [Lookup(level.gram) for level in levels]
+        self.contexts = [Lookup(level.ctx) for level in levels]
         self.top_log = np.log10((top.count - 0.5) / top.total[at]) if len(top.gram) else np.zeros(0)
 
     @classmethod
@@ -175,16 +216,15 @@ class Trie:
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each key after the others."""
         out = np.zeros(len(keys))
-        hit = pc.fill_null(pc.index_in(pa.array(keys), value_set=self.top_set), -1).to_numpy(zero_copy_only=False)
-        known = hit >= 0
+        hit, known = self.grams[-1].find(keys)
         out[known] = self.top_log[hit[known]]
         todo = np.flatnonzero(~known)
         mass, gone = np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
         for k in range(ORDER, -1, -1):
             level = self.levels[k]
             key = keys[todo]
-            g, seen = _find(level.gram, key & ((1 << 8 * (k + 1)) - 1))
-            c, there = _find(level.ctx, (key >> 8) & ((1 << 8 * k) - 1))
+            g, seen = self.grams[k].find(key & ((1 << 8 * (k + 1)) - 1))
+            c, there = self.contexts[k].find((key >> 8) & ((1 << 8 * k) - 1))
             if len(level.ctx):
                 all_ = np.where(there, level.total[c] - mass, 0)
                 escape = np.where(there, level.pruned[c] + 0.5 * (level.distinct[c] - gone), 0.0)
@@ -203,12 +243,12 @@ class Trie:
         at = 0
         while at < len(wholes):
             upto, size = at, 0
-            while upto < len(wholes) and (upto == at or size + len(wholes[upto]) <= _CHUNK):
+            while upto < len(wholes) and (upto == at or size + len(wholes[upto]) <= _SCORED):
                 size += len(wholes[upto])
                 upto += 1
-            if upto == at + 1 and size > _CHUNK:
+            if upto == at + 1 and size > _SCORED:
                 buffer = PAD + wholes[at]
-                out[at] = sum(self.log10(gram_keys(buffer[i : i + _CHUNK + ORDER])).sum() for i in range(0, size, _CHUNK))
+                out[at] = sum(self.log10(gram_keys(buffer[i : i + _SCORED + ORDER])).sum() for i in range(0, size, _SCORED))
             else:
                 keys = gram_keys(b"".join(PAD + w for w in wholes[at:upto]))
                 logs = self.log10(keys)
