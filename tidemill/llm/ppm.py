@@ -185,15 +185,51 @@ def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Trie:
-    """The fitted model; levels[k] has the contexts of k bytes."""
+    """The fitted model; levels[k] has the contexts of k bytes.
+
+    Nodes of all levels are numbered through. What an escape costs depends on the context it starts from alone, so costs are summed along the
+    chain of ever shorter contexts once, when the trie is made; a symbol is then scored from its longest known n-gram and the longest
+    known context, which the n-gram of the symbol before points to.
+    """
 
     def __init__(self, levels: list[Level]) -> None:
         self.levels = levels
-        top = levels[-1]
-        at, _ = _find(top.ctx, top.gram >> 8)
         self.grams = [Lookup(level.gram) for level in levels]
-        self.contexts = [Lookup(level.ctx) for level in levels]
-        self.top_log = np.log10((top.count - 0.5) / top.total[at]) if len(top.gram) else np.zeros(0)
+        self.gram_start = np.cumsum([0, *[len(level.gram) for level in levels]])
+        self.ctx_start = np.cumsum([0, *[len(level.ctx) for level in levels]])
+        with np.errstate(divide="ignore"):
+            self._join(levels)
+
+    def _join(self, levels: list[Level]) -> None:
+        ctx_level, shorter, escape, chain, among = [], [], [], [], []
+        gram_level, alone, own, longest = [], [], [], []
+        for k, level in enumerate(levels):
+            n = len(level.ctx)
+            ctx_level.append(np.full(n, k, np.int8))
+            escape.append(np.log10((level.pruned + 0.5 * level.distinct) / level.total))
+            if k and n:
+                low = levels[k - 1]
+                at, _ = _find(low.ctx, level.ctx & ((1 << 8 * (k - 1)) - 1))
+                left = low.total[at] - level.below  # counts of the shorter context without the symbols seen here
+                cost = np.log10((low.pruned[at] + 0.5 * (low.distinct[at] - level.distinct)) / np.maximum(left, 1))
+                shorter.append(self.ctx_start[k - 1] + at)
+                chain.append(np.where(left > 0, cost, 0.0) + chain[k - 1][at])
+                among.append(np.log10(np.maximum(left, 1)))
+            else:
+                for x in (shorter, chain, among):
+                    x.append(np.zeros(n))
+            of, _ = _find(level.ctx, level.gram >> 8)
+            gram_level.append(np.full(len(level.gram), k, np.int8))
+            alone.append(np.log10(level.count - 0.5))
+            own.append(alone[k] - np.log10(level.total[of]) if n else alone[k])
+            suffix = longest[k - 1][_find(levels[k - 1].gram, level.gram & ((1 << 8 * k) - 1))[0]] if k and n else np.zeros(len(level.gram), np.int64)
+            at, there = _find(levels[k + 1].ctx, level.gram) if k < ORDER else (0, np.zeros(len(level.gram), bool))
+            longest.append(np.where(there, self.ctx_start[min(k + 1, ORDER)] + at, suffix))
+        join = lambda parts, kind: np.concatenate(parts).astype(kind)
+        self.ctx_level, self.shorter = join(ctx_level, np.int8), join(shorter, np.int32)
+        self.escape, self.chain, self.among = join(escape, float), join(chain, float), join(among, float)
+        self.gram_level, self.longest = join(gram_level, np.int8), join(longest, np.int32)
+        self.alone, self.own = join(alone, float), join(own, float)
 
     @classmethod
     def build(cls, grams: dict[int, tuple[np.ndarray, np.ndarray]], contexts: dict[int, tuple[np.ndarray, np.ndarray]]) -> Trie:
@@ -213,28 +249,44 @@ class Trie:
             levels.append(Level(key, count, ctx, total, total - kept, distinct, below))
         return cls(levels)
 
+    def _context(self, keys: np.ndarray) -> np.ndarray:
+        """The longest known context of each key, looked up."""
+        out, todo = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        for k in range(ORDER, 0, -1):
+            at, there = _find(self.levels[k].ctx, (keys[todo] >> 8) & ((1 << 8 * k) - 1))
+            out[todo[there]] = self.ctx_start[k] + at[there]
+            todo = todo[~there]
+        return out
+
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of each key after the others."""
-        out = np.zeros(len(keys))
-        hit, known = self.grams[-1].find(keys)
-        out[known] = self.top_log[hit[known]]
-        todo = np.flatnonzero(~known)
-        mass, gone = np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
+        """Log probability of the last byte of each key after the others; keys are of neighbouring bytes."""
+        if not len(self.ctx_level) or not len(keys):
+            return np.full(len(keys), -np.log10(256))
+        gram, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
         for k in range(ORDER, -1, -1):
-            level = self.levels[k]
-            key = keys[todo]
-            g, seen = self.grams[k].find(key & ((1 << 8 * (k + 1)) - 1))
-            c, there = self.contexts[k].find((key >> 8) & ((1 << 8 * k) - 1))
-            if len(level.ctx):
-                all_ = np.where(there, level.total[c] - mass, 0)
-                escape = np.where(there, level.pruned[c] + 0.5 * (level.distinct[c] - gone), 0.0)
-                part = np.where(seen & there, level.count[g] - 0.5, escape)
-                step = all_ > 0
-                out[todo[step]] += np.log10(part[step] / all_[step])
-                mass, gone = np.where(there, level.below[c], 0), np.where(there, level.distinct[c], 0)
-            rest = ~(seen & there)
-            todo, mass, gone = todo[rest], mass[rest], gone[rest]
-        out[todo] -= np.log10(256 - gone)
+            at, seen = self.grams[k].find(keys[todo] & ((1 << 8 * (k + 1)) - 1))
+            gram[todo[seen]] = self.gram_start[k] + at[seen]
+            todo = todo[~seen]
+        known = gram >= 0
+        level = np.where(known, self.gram_level[gram], -1)
+        context = np.zeros(len(keys), np.int64)
+        context[1:] = np.where(known[:-1], self.longest[gram[:-1]], 0)
+        first = np.append(0, np.flatnonzero((keys[1:] >> 8) & 0xFF == PAD[0]) + 1)  # a pad is no symbol, so nothing points on from it
+        context[first] = self._context(keys[first])
+        out = self.own[gram]
+        fell = np.flatnonzero(level < self.ctx_level[context])
+        over, want = context[fell], level[fell] + 1
+        far = np.flatnonzero(self.ctx_level[over] > want)
+        while len(far):
+            over[far] = self.shorter[over[far]]
+            far = far[self.ctx_level[over[far]] > want[far]]
+        symbol = np.where(want > 0, self.alone[gram[fell]] - self.among[over], 0.0)
+        out[fell] = self.escape[context[fell]] + self.chain[context[fell]] - self.chain[over] + symbol
+        lost = np.flatnonzero(~known)
+        if len(lost):
+            at_root = self.ctx_level[context[lost]] == 0
+            out[lost[at_root]] = self.escape[0]
+            out[lost] -= np.log10(256 - self.levels[0].distinct[0])
         return out
 
     def scores(self, wholes: list[bytes]) -> np.ndarray:
