@@ -23,7 +23,6 @@ is 0 and bytes are equally likely. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,8 +47,28 @@ _SCORED = 1 << 19
 _HEADER = np.dtype([("doc", "<i8"), ("null", "?"), ("held", "?"), ("n", "<i8"), ("score", "<f8")])
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def canonical(texts: pa.Array) -> tuple[pa.ListArray, pa.Array]:
+    """Words of each text, and the bytes that the model sees: words joined by a space, then END and a pad. A null text has no words."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words = pc.ascii_split_whitespace(plain)
+    return words, pc.binary_join_element_wise(pc.binary_join(words, " "), (END + PAD).decode(), "")
+
+
+def word_values(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All words, and how many each text has; the one empty word of an empty text isn't counted."""
+    values = words.flatten()
+    filled = pc.not_equal(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    count = np.diff(words.offsets.to_numpy())
+    if not filled.all():
+        count = np.add.reduceat(np.append(filled, False).astype(np.int64), words.offsets.to_numpy()[:-1]) * (count > 0)
+        values = values.filter(pa.array(filled))
+    return values, count
+
+
+def joined_bytes(wholes: pa.Array) -> memoryview:
+    """The texts one after another."""
+    offsets = np.frombuffer(wholes.buffers()[1], np.int32)[wholes.offset : wholes.offset + len(wholes) + 1]
+    return memoryview(wholes.buffers()[2])[offsets[0] : offsets[-1]] if len(wholes) and offsets[-1] > offsets[0] else memoryview(b"")
 
 
 def gram_keys(buffer: bytes) -> np.ndarray:
@@ -73,54 +92,79 @@ def _tally(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
     return keys[at], (np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n, at) if len(at) else n)
 
 
+def _gathered(columns: Iterator[pa.Array], least: int) -> Iterator[pa.Array]:
+    """The texts of all columns, cut into arrays of about ``least`` bytes; a longer text is an array of its own."""
+    held: list[pa.Array] = []
+    size = 0
+    for column in columns:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(column):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + least - size, side="right")))
+            held.append(column.slice(at, upto - at))
+            size += int(ends[upto - 1] - (ends[at - 1] if at else 0))
+            at = upto
+            if size >= least or at < len(column):
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
+
+
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """(word, gram, n): counts of words (gram null) and of longest n-grams (word null) over whole texts."""
     prepare(docs.sparkSession)
 
-    def rows(words: list[bytes] | None, grams: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-        size = len(n)
-        w = pa.nulls(size, pa.binary()) if words is None else pa.array(words, pa.binary())
-        g = pa.nulls(size, pa.int64()) if grams is None else pa.array(grams)
-        return pa.RecordBatch.from_arrays([w, g, pa.array(np.asarray(n, np.int64))], ["word", "gram", "n"])
+    def rows(words: pa.Array | None, grams: np.ndarray | None, n: pa.Array) -> pa.RecordBatch:
+        w = pa.nulls(len(n), pa.binary()) if words is None else words.cast(pa.binary())
+        g = pa.nulls(len(n), pa.int64()) if grams is None else pa.array(grams)
+        return pa.RecordBatch.from_arrays([w, g, n], ["word", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
+        tallies: list[pa.Table] = []
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held: list[bytes] = []
-        size = 0
-
-        def fold() -> None:
-            nonlocal held, size
-            if held:
-                keys = gram_keys(PAD + b"".join(held))  # every document but the first brings its own pad
-                parts.append(_tally(keys[(keys & 0xFF) != 9]))
-            held, size = [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
+        ends = 0
+
+        def add_words(values: pa.Array) -> Iterator[pa.RecordBatch]:
+            found = pc.value_counts(values)
+            tallies.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            if sum(map(len, tallies)) > 1_500_000:
+                yield from flush_words(500_000)
+
+        def flush_words(least: int) -> Iterator[pa.RecordBatch]:
+            if tallies:
+                merged = pa.concat_tables(tallies).group_by("word").aggregate([("n", "sum")])
+                tallies.clear()
+                if len(merged) <= least:
+                    tallies.append(merged.rename_columns({"n_sum": "n"}))
+                else:
+                    yield rows(merged["word"].combine_chunks(), None, merged["n_sum"].combine_chunks())
+
+        def add_grams(buffer: bytes) -> Iterator[pa.RecordBatch]:
+            keys = gram_keys(buffer)
+            parts.append(_tally(keys[(keys & 0xFF) != PAD[0]]))
+            if sum(len(p[0]) for p in parts) > 4 << 20:
+                parts[:] = [merged_grams()]
+                if len(parts[0][0]) > 2 << 20:
+                    key, n = parts.pop()
+                    yield rows(None, key, pa.array(n))
+
+        def merged_grams() -> tuple[np.ndarray, np.ndarray]:
             return _tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                tokens = words_of(text)
-                words.update(tokens)
-                words[END] += 1
-                whole = b" ".join(tokens) + END
-                held.append(whole + PAD)
-                size += len(whole)
-                if size >= _CHUNK:
-                    fold()
-                    if sum(len(p[0]) for p in parts) > 4 << 20:
-                        parts = [merged()]
-                        if len(parts[0][0]) > 2 << 20:
-                            yield rows(None, *parts.pop())
-                if len(words) > 400_000:
-                    yield rows(list(words), None, list(words.values()))
-                    words.clear()
-        fold()
+        for texts in _gathered((b.column(0) for b in batches), _CHUNK):
+            words, wholes = canonical(texts)
+            ends += len(texts)
+            yield from add_words(word_values(words)[0])
+            raw = joined_bytes(wholes)
+            for at in range(0, len(raw), _CHUNK):
+                yield from add_grams((PAD if not at else raw[at - ORDER : at].tobytes()) + raw[at : at + _CHUNK].tobytes())
         if parts:
-            yield rows(None, *merged())
-        if words:
-            yield rows(list(words), None, list(words.values()))
+            key, n = merged_grams()
+            yield rows(None, key, pa.array(n))
+        yield from flush_words(0)
+        if ends:
+            yield rows(pa.array([END.decode()]), None, pa.array([ends], pa.int64()))
 
     return docs.select("text").mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
@@ -289,25 +333,17 @@ class Trie:
             out[lost] -= np.log10(256 - self.levels[0].distinct[0])
         return out
 
-    def scores(self, wholes: list[bytes]) -> np.ndarray:
-        """Log probabilities of canonical texts (each ends with END)."""
-        out = np.zeros(len(wholes))
-        at = 0
-        while at < len(wholes):
-            upto, size = at, 0
-            while upto < len(wholes) and (upto == at or size + len(wholes[upto]) <= _SCORED):
-                size += len(wholes[upto])
-                upto += 1
-            if upto == at + 1 and size > _SCORED:
-                buffer = PAD + wholes[at]
-                out[at] = sum(self.log10(gram_keys(buffer[i : i + _SCORED + ORDER])).sum() for i in range(0, size, _SCORED))
-            else:
-                keys = gram_keys(b"".join(PAD + w for w in wholes[at:upto]))
-                logs = self.log10(keys)
-                logs[(keys & 0xFF) == 9] = 0.0
-                starts = np.cumsum([0] + [len(w) + ORDER for w in wholes[at : upto - 1]])
-                out[at:upto] = np.add.reduceat(logs, starts)
-            at = upto
+    def scores(self, raw: bytes | memoryview, lengths: np.ndarray) -> np.ndarray:
+        """Log probabilities of canonical texts that lie one after another (each ends with END and a pad)."""
+        out = np.zeros(len(lengths))
+        starts = np.cumsum(lengths) - lengths
+        for at in range(0, len(raw), _SCORED):
+            upto = min(len(raw), at + _SCORED)
+            keys = gram_keys((PAD if not at else bytes(raw[at - ORDER : at])) + bytes(raw[at:upto]))
+            logs = self.log10(keys)
+            logs[(keys & 0xFF) == PAD[0]] = 0.0
+            first, stop = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, upto, side="left")
+            out[first:stop] += np.add.reduceat(logs, np.maximum(starts[first:stop] - at, 0))
         return out
 
 
@@ -336,12 +372,6 @@ def fit(counts: DataFrame, max_grams: int = MAX_GRAMS) -> Trie:
     return Trie.build(split(kept, "gram"), split(contexts, "ctx"))
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = got = len(self)
-        return got
-
-
 def _packed(docs: np.ndarray, words: np.ndarray, n_words: int) -> pa.Array:
     """For each word, its (document, frequency) pairs in 4 bytes each."""
     pair, tf = _tally(words.astype(np.int64) << _DOC_BITS | docs)
@@ -366,40 +396,42 @@ def score(docs: DataFrame, trie: Trie, vocabulary: DataFrame) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         number = 0
-        head: list[tuple] = []
-        ids, arrays, wholes, logs = _Ids(), [], [], []
-        size = pending = 0
+        held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
             block = task << 24 | number
-            logs.append(shared.value.scores(wholes))
-            header = np.zeros(len(head), _HEADER)
-            header["doc"], header["null"], header["held"], header["n"] = (np.array(c) for c in zip(*head, strict=True))
-            header["score"] = np.concatenate(logs)
-            which = np.repeat(np.arange(len(head)), [len(a) for a in arrays])
-            post = _packed(which, np.concatenate(arrays), len(ids))
-            words = pa.array([*ids, END + block.to_bytes(8, "big")], pa.binary())
+            docs_ = pa.Table.from_batches(held).combine_chunks()
+            words, wholes = canonical(docs_["text"].combine_chunks())
+            values, count = word_values(words)
+            header = np.zeros(len(count), _HEADER)
+            header["doc"] = pc.fill_null(docs_["doc_id"], 0).to_numpy()
+            header["null"] = docs_["doc_id"].is_null().to_numpy()
+            header["held"] = docs_["held_out"].to_numpy()
+            header["n"] = count + 1
+            header["score"] = shared.value.scores(joined_bytes(wholes), np.diff(np.frombuffer(wholes.buffers()[1], np.int32)[wholes.offset : wholes.offset + len(wholes) + 1].astype(np.int64)))
+            found = values.dictionary_encode()
+            distinct = len(found.dictionary)
+            number_of = np.concatenate((found.indices.to_numpy(), np.full(len(count), distinct)))  # END comes after all words
+            post = _packed(np.concatenate((np.repeat(np.arange(len(count)), count), np.arange(len(count)))), number_of, distinct + 1)
+            names = pa.concat_arrays([found.dictionary.cast(pa.binary()), pa.array([END, END + block.to_bytes(8, "big")], pa.binary())])
             post = pa.concat_arrays([post, pa.array([header.tobytes()], pa.binary())])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int64)), words, post], ["block", "word", "post"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block, np.int64)), names, post], ["block", "word", "post"])
 
+        size = rows = 0
         for batch in batches:
-            for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                found = words_of(text)
-                whole = b" ".join(found) + END
-                found.append(END)
-                head.append((doc or 0, doc is None, held, len(found)))
-                arrays.append(np.fromiter(map(ids.__getitem__, found), np.int32, len(found)))
-                wholes.append(whole)
-                size += len(whole)
-                pending += len(whole)
-                if pending >= _CHUNK:
-                    logs.append(shared.value.scores(wholes))
-                    wholes, pending = [], 0
-                if size >= BLOCK_BYTES or len(head) >= (1 << _DOC_BITS):
+            ends = np.cumsum(pc.add(pc.fill_null(pc.binary_length(batch.column(2)), 0), 1).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                base = ends[at - 1] if at else 0
+                upto = min(max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES - size, side="right"))), at + (1 << _DOC_BITS) - rows, batch.num_rows)
+                held.append(batch.slice(at, upto - at))
+                size, rows, at = size + int(ends[upto - 1] - base), rows + upto - at, upto
+                if size >= BLOCK_BYTES or rows >= 1 << _DOC_BITS or at < batch.num_rows:
                     yield flush()
                     number += 1
-                    head, ids, arrays, wholes, logs, size, pending = [], _Ids(), [], [], [], 0, 0
-        if head:
+                    held.clear()
+                    size = rows = 0
+        if held:
             yield flush()
 
     sent = docs.select("doc_id", "held_out", "text").mapInArrow(blocks, "block long, word binary, post binary")
