@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -82,6 +83,24 @@ class Vocabulary:
         return cls(pieces, scores, kinds, prefix)
 
 
+class _Words(dict):
+    """Ids of words that follow one space, found when first asked for; ``inexact`` has those that don't decode to themselves."""
+
+    def __init__(self, coder: Coder) -> None:
+        self.coder = coder
+        self.inexact: set[str] = set()
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        got = self.coder.viterbi(MARK + word)
+        if len(self) >= _MEMO:
+            self.clear()
+        if self.coder.raw(got) != (MARK + word).encode("utf-8", "surrogatepass"):
+            self.inexact.add(word)
+        elif len(word) <= 64:
+            self[word] = got
+        return got
+
+
 @dataclass
 class Coder:
     """Encodes and decodes with one vocabulary."""
@@ -101,6 +120,7 @@ class Coder:
             elif kind == BYTE:
                 self.byte_ids[int(piece[1:-1], 16)] = i
         self.automaton.make_automaton()
+        self.words = _Words(self)
         self.lowest = min(v.scores, default=0.0) - 10.0
         self.bytes_of = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
 
@@ -112,30 +132,29 @@ class Coder:
     def viterbi(self, part: str) -> tuple[int, ...]:
         """Best segmentation of one part, in a single pass over the automaton."""
         n = len(part)
-        best: list[float] = [0.0] + [float("-inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        filled = 0
-
-        def fill(upto: int) -> None:  # positions that no piece ends at are reached by spelling their character
-            nonlocal filled
-            while filled < upto:
+        none = float("-inf")
+        best, step, piece = [none] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        filled = 0  # up to here, positions that no piece ends at are reached by spelling their character
+        lowest = self.lowest
+        for last, (i, size, score) in self.automaton.iter(part):
+            while filled < last:
                 filled += 1
-                alone = best[filled - 1] + self.lowest
+                alone = best[filled - 1] + lowest
                 if alone > best[filled]:
-                    best[filled], back[filled] = alone, (1, -1)
-
-        for last, (i, size, score) in self.automaton.iter(part):
+                    best[filled], step[filled], piece[filled] = alone, 1, -1
             end = last + 1
-            if end - 1 > filled:
-                fill(end - 1)
             total = best[end - size] + score
-            if total > best[end] or (total == best[end] and size > back[end][0]):
-                best[end], back[end] = total, (size, i)
-        fill(n)
+            if total > best[end] or (total == best[end] and size > step[end]):
+                best[end], step[end], piece[end] = total, size, i
+        for at in range(filled + 1, n + 1):
+            alone = best[at - 1] + lowest
+            if alone > best[at]:
+                best[at], step[at], piece[at] = alone, 1, -1
         out: list[int] = []
         at = n
         while at:
-            size, i = back[at]
+            size, i = step[at], piece[at]
             if i >= 0:
                 out.append(i)
             else:
@@ -169,8 +188,24 @@ class Coder:
             out.extend(self.viterbi(MARK * runs))
         return out
 
+    def checked(self, text: str) -> tuple[list[int], bool]:
+        """The ids, and whether they decode to the text.
+
+        Bytes of pieces are joined when decoding, so a text of single spaces decodes to itself if its words do.
+        """
+        words = text.split(" ")
+        if not self.vocabulary.prefix or "" in words or MARK in text:
+            ids = self.encode(text)
+            return ids, self.decode(ids) == text
+        self.words.inexact.clear()
+        ids = list(chain.from_iterable(map(self.words.__getitem__, words)))
+        return ids, not self.words.inexact
+
+    def raw(self, ids: list[int] | tuple[int, ...]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        text = self.raw(ids).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.vocabulary.prefix and text.startswith(" ") else text
 
 
@@ -199,9 +234,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             flat, ends, null, same = [], [0], [], []
             for text in batch.column(at).to_pylist():
-                ids = [] if text is None else coder.encode(text)
+                ids, exact = ([], None) if text is None else coder.checked(text)
                 null.append(text is None)
-                same.append(None if text is None else coder.decode(ids) == text)
+                same.append(exact)
                 flat.append(np.array(ids, np.int32))
                 ends.append(ends[-1] + len(ids))
             lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)), mask=pa.array(null, pa.bool_()))
