@@ -1,0 +1,398 @@
+"""Operators on documents: brute force, held-out quality and odd inputs."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tidemill.llm import attribution, decontaminate, language, neardup, pieces, ppm, secrets, toxicity
+from tidemill.tables import table
+
+LONG = "lorem ipsum dolor " * 40_000
+ODD = [(1, None, "en", "s", None), (2, "", "en", None, 0), (3, " \t\n", None, "s", 3), (None, "alpha beta gamma delta epsilon", "en", "s", 30), (5, LONG, "en", "s", len(LONG)), (5, LONG, "en", "s", len(LONG)), (6, "Ünïcode ▁ <s> \x00 𝒳", "fr", "s", 17)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ("score", "predicted", "ids", "n_tokens", "held_out", "lang_pred", "fp", "block", "terms", "component_id", "candidate")
+
+
+def frame(spark, rows=ODD):
+    """Documents with more columns, whose names the operators use too."""
+    return spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"'x' as {c}" for c in CLASHES])
+
+
+def held(doc_id, modulus):
+    return zlib.crc32(str(doc_id).encode()) % modulus
+
+
+# toxicity
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op1_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out and toxic is not null").toPandas()
+    pos, neg = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
+    auc = (pos[:, None] > neg[None]).mean() + 0.5 * (pos[:, None] == neg[None]).mean()
+    assert auc > 0.9
+
+
+def test_machine_learns_a_pair_that_no_weight_can():
+    x = np.array([[a, b] for a in (0, 1) for b in (0, 1)] * 200, float)
+    y = (x[:, 0] != x[:, 1]).astype(float)
+    model = toxicity.FactorizationMachine(np.arange(2), *toxicity.fit_machine(x, y, epochs=400, rate=0.05), 1)
+    z = [model.raw(np.array(i, int)) for i in ([], [0], [1], [0, 1])]
+    assert z[0] < 0 < z[1] and z[2] > 0 > z[3]
+
+
+def test_toxicity_odd_inputs(spark):
+    labels = spark.createDataFrame([(5, 1), (5, 0), (6, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    docs = frame(spark)
+    model = toxicity.fit(spark, docs, labels)
+    rows = toxicity.score(docs, model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    nothing = toxicity.fit(spark, docs, labels.where("false"))
+    assert {r.predicted for r in toxicity.score(docs, nothing).collect()} == {0}
+    assert toxicity.rejected_removed(docs, nothing).columns == docs.columns
+    assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+# language model
+
+
+def brute_ppm(texts, order=ppm.ORDER):
+    """The rule of the module's text, over dictionaries."""
+    wholes = [b" ".join((t or "").encode().lower().split()) + ppm.END for t in texts]
+    longest = Counter()
+    for w in wholes:
+        padded = ppm.PAD + w
+        longest.update(padded[i : i + order + 1] for i in range(len(w)))
+    counts = {order: longest}
+    for k in range(order - 1, -1, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    after = defaultdict(dict)
+    for k, grams in counts.items():
+        for g, n in grams.items():
+            after[g[:-1]][g[-1]] = n
+
+    def log10(text):
+        whole = b" ".join((text or "").encode().lower().split()) + ppm.END
+        padded, out = ppm.PAD + whole, 0.0
+        for i, c in enumerate(whole):
+            gone = set()
+            for k in range(order, -1, -1):
+                seen = {s: n for s, n in after.get(padded[i + order - k : i + order], {}).items()}
+                left = {s: n for s, n in seen.items() if s not in gone}
+                total = sum(left.values())
+                if not total:
+                    continue
+                if c in left:
+                    out += np.log10((left[c] - 0.5) / total)
+                    break
+                out += np.log10(0.5 * len(left) / total)
+                gone |= set(seen)
+            else:
+                out -= np.log10(256 - len(gone))
+        return out
+
+    return log10
+
+
+TEXTS = ["the cat sat on the mat", "The  hat\nsat", "a cat, a hat", None, "", "zebra θ the"]
+
+
+def test_ppm_equals_brute_force(spark):
+    docs = spark.createDataFrame([(i, i >= 4, t) for i, t in enumerate(TEXTS)], "doc_id long, held_out boolean, text string")
+    counts = ppm.corpus_counts(docs.where("not held_out"))
+    got = {r.doc_id: r for r in ppm.score(docs, ppm.fit(counts), counts.where("word is not null")).collect()}
+    want = brute_ppm(TEXTS[:4])
+    words = Counter(w for t in TEXTS[:4] for w in [*(t or "").lower().split(), "\n"])
+    n, v = sum(words.values()), len(words)
+    for i, t in enumerate(TEXTS):
+        tokens = [*(t or "").lower().split(), "\n"]
+        assert got[i].score == pytest.approx(want(t), abs=1e-9)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(w in words for w in tokens), n)
+        assert got[i].base_score == pytest.approx(sum(np.log10((words[w] + 1) / (n + v + 1)) for w in tokens))
+
+
+def test_ppm_blocks_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "_SCORED", 7)
+    trie = ppm.fit(ppm.corpus_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string")))
+    wholes = [b" ".join((t or "").encode().lower().split()) + ppm.END for t in TEXTS]
+    raw = b"".join(w + ppm.PAD for w in wholes)
+    want = brute_ppm(TEXTS)
+    assert trie.scores(raw, np.array([len(w) + ppm.ORDER for w in wholes])) == pytest.approx([want(t) for t in TEXTS])
+
+
+def test_ppm_pruned_probabilities_add_up(spark):
+    trie = ppm.fit(ppm.corpus_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string")), max_grams=40)
+    for context in (b"the ca", b"zzzzzz", b"\t\t\t\t\t\t", b"e the "):
+        keys = [ppm.gram_keys(context + bytes([c])) for c in range(256)]
+        assert sum(10 ** trie.log10(k)[0] for k in keys) == pytest.approx(1.0)
+
+
+def test_ppm_odd_inputs(spark):
+    docs = frame(spark).selectExpr("doc_id", "doc_id = 6 as held_out", "text")
+    docs = docs.selectExpr("doc_id", "coalesce(held_out, false) as held_out", "text")
+    for learn in ("not held_out", "false"):
+        counts = ppm.corpus_counts(docs.where(learn))
+        rows = ppm.score(docs, ppm.fit(counts), counts.where("word is not null")).collect()
+        assert len(rows) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
+    assert {r.base_score for r in rows} == {0.0} and {r.train_tokens for r in rows} == {0}
+
+
+# pieces
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return pieces.Coder(pieces.Vocabulary.load(pieces.MODEL))
+
+
+def best_segmentation(coder, part):
+    scores = {p: s for p, s, k in zip(coder.vocabulary.pieces, coder.vocabulary.scores, coder.vocabulary.kinds, strict=True) if k == pieces.NORMAL}
+    best = [0.0] + [float("-inf")] * len(part)
+    for end in range(1, len(part) + 1):
+        best[end] = max([best[end - 1] + coder.lowest, *(best[s] + scores[part[s:end]] for s in range(end) if part[s:end] in scores)])
+    return best[-1]
+
+
+@pytest.mark.parametrize("text", ["the quick brown fox", "Zürich 東京", "  two  spaces ", "a\nb\tc", "𝒳𝒴", "hello▁world"])
+def test_viterbi_is_the_best_segmentation(coder, text):
+    marked = pieces.MARK + text.replace(" ", pieces.MARK)
+    ids = coder.encode(text)
+    total, spelled = 0.0, 0
+    for i in ids:
+        if coder.vocabulary.kinds[i] == pieces.BYTE:
+            spelled += 1
+        else:
+            total += coder.vocabulary.scores[i]
+    unknown = sum(c not in coder.automaton for c in marked)
+    assert total + unknown * coder.lowest == pytest.approx(best_segmentation(coder, marked))
+
+
+def test_round_trip(spark, coder, small):
+    docs = table(spark, small, "documents")
+    got = pieces.decode(pieces.encode(docs, coder.vocabulary).withColumnRenamed("text", "was"), coder.vocabulary)
+    assert got.where("not was <=> text or not exact").count() == 0
+
+
+def test_pieces_odd_inputs(spark, coder):
+    rows = pieces.encode(frame(spark), coder.vocabulary).collect()
+    assert len(rows) == len(ODD) and rows[0].ids is None and rows[0].exact is None and rows[1].ids == [] and rows[1].exact
+    assert [r.exact for r in rows if r.text and "▁" in r.text] == [False]
+    for text in ("", " ", "a b", "a  b", "▁", "x" * 200):
+        assert coder.checked(text)[0] == coder.encode(text)
+
+
+# near duplicates
+
+
+def exact_components(rows, words, percent):
+    sets = {}
+    for i, t in rows:
+        tokens = (t or "").encode().lower().split()
+        n = min(words, len(tokens))
+        sets[i] = {tuple(tokens[j : j + n]) for j in range(len(tokens) - n + 1)} if tokens else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}, {i: len(s) for i, s in sets.items()}
+
+
+def near_copies(seed=0):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(12):
+        base = [vocabulary[i] for i in rng.integers(0, 400, int(rng.integers(2, 120)))]
+        for copy in range(int(rng.integers(1, 9))):
+            text = list(base)
+            for _ in range(int(rng.integers(0, 3)) * (copy > 0)):
+                text[int(rng.integers(0, len(text)))] = vocabulary[int(rng.integers(0, 400))]
+            out.append(" ".join(text))
+    order = rng.permutation(len(out))
+    return [(int(i), out[k]) for i, k in enumerate(order)] + [(900, None), (901, ""), (902, "one"), (903, "ONE"), (904, "one two")]
+
+
+@pytest.mark.parametrize("words,percent,bands,rows,block_rows,block_bytes", [(3, 85, 32, 5, 2000, 1 << 24), (5, 80, 40, 4, 3, 1 << 24), (3, 85, 32, 5, 4, 400)])
+def test_near_duplicates_equal_brute_force(spark, words, percent, bands, rows, block_rows, block_bytes):
+    data = near_copies()
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = neardup.near_duplicates(docs, words, percent, bands, rows, block_rows, block_bytes).collect()
+    component, size = exact_components(data, words, percent)
+    assert {r.doc_id: r.component_id for r in got} == component
+    assert {r.doc_id: r.n_shingles for r in got} == size
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_odd_inputs(spark):
+    docs = frame(spark)
+    got = neardup.near_duplicates(docs)
+    assert got.count() == len(ODD)
+    kept = neardup.representatives(docs, got)
+    assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 1 and kept.count() == len(ODD) - 1
+    assert neardup.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_estimate_follows_similarity():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    for shared in (0.5, 0.8, 0.95):
+        n = int(4000 * 2 * shared / (1 + shared))
+        b = np.concatenate((a[:n], rng.integers(0, 2**63, 4000 - n, dtype=np.uint64)))
+        same = (neardup.sketch(np.unique(a), 640) == neardup.sketch(np.unique(b), 640)).sum()
+        assert abs(neardup.estimate(np.array([same]), 640)[0] - shared) < 0.08
+
+
+# language
+
+
+def test_language_on_held_out_rows(spark, medium):
+    got = language.op5_language_id(spark, medium).join(table(spark, medium, "documents").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.95
+
+
+def test_language_odd_inputs(spark):
+    docs = frame(spark)
+    rows = language.identify(docs, language.fit(docs)).collect()
+    assert len(rows) == len(ODD)
+    assert {r.lang_pred for r in rows if not (r.text or "").strip()} == {"und"}
+    empty = language.fit(docs.where("false"))
+    assert {(r.lang_pred, r.score) for r in language.identify(docs, empty).collect()} == {("und", 0.0)}
+
+
+# token counts
+
+
+def test_sections_own_all_tokens(spark):
+    docs = frame(spark)
+    ranks = attribution.load_ranks(attribution.RANKS)
+    encoding = attribution.tiktoken.Encoding("t", pat_str=attribution.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    total = Counter()
+    for r in attribution.count_sections(docs, ranks).collect():
+        total[r.doc_id] += r.n_tokens
+    want = Counter()
+    for i, text, *_ in ODD:
+        want[i] += len(encoding.encode_ordinary(text or ""))
+    assert total == want
+
+
+def test_a_crossing_token_goes_where_most_of_it_lies():
+    starts = np.array([0, 3, 10])
+    own, crossing = attribution.attribute(np.array([2, 4, 2, 4]), starts, 12)
+    # tokens [0,2) [2,6) [6,8) [8,12): the second lies in sections 0 and 1, the last in 1 and 2 (a tie: the earlier one)
+    assert own.tolist() == [1, 3, 0] and crossing.tolist() == [0, 2, 0]
+
+
+# decontamination
+
+ITEMS = [(i, " ".join(f"{a}{i}" for a in "quorum lattice meadow cobalt ribbon harbor signal walnut copper violin anchor basket timber marble falcon".split()) + " the of and") for i in range(6)]
+
+
+def leak_docs():
+    rng = np.random.default_rng(4)
+    filler = lambda n: " ".join(f"f{k}" if k % 3 else "the" for k in rng.integers(0, 500, n))
+    words = ITEMS[2][1].split()
+    paraphrase = " ".join(w if i % 5 else "other" for i, w in enumerate(words))
+    shuffled = " ".join(rng.permutation(words))
+    return [
+        (0, f"{filler(100)} {ITEMS[0][1].upper()}!! {filler(300)}"),
+        (1, f"{filler(31)} {ITEMS[1][1]}"),
+        (2, f"{filler(50)} {paraphrase} {filler(50)}"),
+        (3, f"{filler(50)} {shuffled} {filler(50)}"),
+        (4, filler(2000)),
+        (5, " ".join(ITEMS[5][1].split()[:5]) + " " + filler(100)),
+        (6, ITEMS[3][1] + " " + filler(70) + " " + ITEMS[4][1]),
+    ]
+
+
+def test_leaks_are_found_and_clean_text_is_left(spark):
+    docs = spark.createDataFrame(leak_docs(), "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 2), (6, 3), (6, 4)}
+
+
+def test_benchmark_in_several_blocks_and_long_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_PASSAGES", 2)
+    monkeypatch.setattr(decontaminate, "_SEGMENT", 64)
+    long_item = (9, " ".join(f"z{i}" for i in range(300)))
+    docs = spark.createDataFrame([*leak_docs(), (7, "x y " * 99 + long_item[1])], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([*ITEMS, long_item], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 2), (6, 3), (6, 4), (7, 9)}
+
+
+def test_leaks_of_the_table_equal_exact_search(spark, medium):
+    norm = lambda t: b" " + b" ".join(decontaminate.words_of(t)) + b" "
+    items = [(r.item_id, norm(r.text)) for r in table(spark, medium, "benchmark").collect()]
+    want = {(r.doc_id, i) for r in table(spark, medium, "documents").collect() for i, t in items if t in norm(r.text)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.op7_decontamination(spark, medium).collect()} >= want
+
+
+@pytest.mark.parametrize("given,word,found", [("cobalt0 ribbon0", "", True), ("elsewhere", "", False)])
+def test_given_answers_decide(spark, given, word, found):
+    items = spark.createDataFrame([(0, ITEMS[0][1], given)], "item_id long, text string, reply string")
+    docs = spark.createDataFrame([(1, ITEMS[0][1])], "doc_id long, text string")
+    assert (decontaminate.contaminated(docs, items, answer_column="reply").count() == 1) == found
+
+
+def test_decontamination_odd_inputs(spark):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "lorem ipsum dolor lorem ipsum dolor"), (3, "lorem ipsum dolor lorem ipsum dolor")], "item_id long, text string")
+    docs = frame(spark)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(5, 3)}
+    assert decontaminate.contaminated(docs, items.where("false")).count() == 0
+    assert decontaminate.contaminated(docs.where("false"), items).count() == 0
+
+
+def test_lcs():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = rng.integers(0, 6, 20), rng.integers(0, 6, 40)
+        d = np.zeros((21, 41), int)
+        for i in range(20):
+            for j in range(40):
+                d[i + 1, j + 1] = d[i, j] + 1 if a[i] == b[j] else max(d[i, j + 1], d[i + 1, j])
+        assert decontaminate.lcs_length(a, b) == d[-1, -1]
+
+
+# secrets
+
+
+def test_forest_on_held_out_findings():
+    rows = secrets.labelled_findings(3000)
+    train, test = rows[:2000], rows[2000:]
+    words = secrets.Words([w for b, _, a, _ in train for w in (b + " " + a).split()])
+    x = lambda part: np.array([secrets.features(b, c, a, words) for b, c, a, _ in part])
+    forest = secrets.Forest.grow(x(train), np.array([y for *_, y in train], float), trees=20)
+    assert ((forest.score(x(test)) >= 0.5) == np.array([y for *_, y in test])).mean() > 0.97
+
+
+def test_scan_and_redact(spark):
+    key = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    texts = [(1, f'see token = "{key}" and token = "{key}".'), (2, f"commit {key} merged"), (3, "pay 4668613405000675 to jo.78@mail5.example.com"), (4, None), (5, ""), (6, "password: hunter2hunter2!Q"), (7, LONG + f' api_key="{key}"')]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA)
+    model = secrets.own_model(spark, 3000)
+    found = secrets.scan(docs, model).collect()
+    hits = Counter(r.doc_id for r in found if r.is_secret)
+    assert hits[1] == 2 and hits[7] == 1 and not hits[2] and not hits[3]
+    plain = dict(texts)
+    assert all(plain[r.doc_id][r.char_start : r.char_end] == r.candidate for r in found)
+    out = {r.doc_id: r for r in secrets.redact(docs, model).collect()}
+    assert out[1].text == 'see token = "<secret>" and token = "<secret>".' and out[1].n_chars == len(out[1].text)
+    assert out[2].text == plain[2] and out[4].text is None and key not in out[7].text and out[3].n_chars == len(plain[3])
+
+
+def test_secrets_odd_inputs(spark):
+    empty = secrets.fit(spark.createDataFrame([], "before string, candidate string, after string, label int"))
+    docs = frame(spark)
+    assert secrets.redact(docs, empty).columns == docs.columns and secrets.redact(docs, empty).count() == len(ODD)
+    assert secrets.scan(docs, empty).where("is_secret").count() == 0
+    assert secrets.scan(docs.where("false"), empty).count() == 0

@@ -10,7 +10,7 @@
 3. *Candidates.* Every passage is compared with every benchmark passage by cosine, in blocks: the benchmark is the query set.
 4. *Checks.* A candidate is confirmed if the longest common subsequence with the words around it has at least ``lcs`` of the
    benchmark passage's words, and ``answer`` of the answer's words occur there: those of the answer column, if there is one, or
-   the rarest third of the passage's terms. Word order and answer words tell a paraphrase from a text on the same matter.
+   the last third of the passage's weighted terms, as items end with their answer. Word order and answer words tell a paraphrase from a text on the same matter.
 
 The benchmark is read in blocks of at most ``MAX_PASSAGES`` passages and ``MAX_TERMS`` terms, which bound all that is
 broadcast or summed; a larger one takes more passes. Nothing of the documents reaches the driver but sums of that size.
@@ -327,15 +327,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, dims: int = DIMS, cosine
         frequency = block_frequency(texts, len(queries.vocabulary))
         weight = term_weights(queries, frequency, common)
         space = latent_space(texts, queries, weight, dims)
-        out = out.unionByName(_search(texts, queries, space, frequency, cosine, lcs, answer, schema))
+        out = out.unionByName(_search(texts, queries, space, cosine, lcs, answer, schema))
     return out
 
 
-def _search(texts: DataFrame, queries: Queries, space: Latent, frequency: np.ndarray, cosine: float, lcs: float, answer: float, schema: str) -> DataFrame:
+def _search(texts: DataFrame, queries: Queries, space: Latent, cosine: float, lcs: float, answer: float, schema: str) -> DataFrame:
     wanted = []
     for t, given in zip(queries.terms, queries.answers, strict=True):
-        own = sorted({int(x) for x in t if space.weight[x] > 0}, key=lambda x: (frequency[x], x))
-        wanted.append(np.array(sorted(given or own[: max(1, -(-len(own) // 3))]), np.uint16))
+        own = list(dict.fromkeys(int(x) for x in t if space.weight[x] > 0))
+        wanted.append(np.array(sorted(given or own[-max(1, -(-len(own) // 3)) :]), np.uint16))
     shared = texts.sparkSession.sparkContext.broadcast((space, queries.items, queries.terms, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
