@@ -80,11 +80,11 @@ def format_bytes(n: Column | str) -> Column:
     out = F.when(size == 1, F.lit("1 byte")).when(size < 1024, F.concat(size.cast("string"), F.lit(" bytes")))
     whole = lambda x, base: F.floor(x / F.lit(base).cast("decimal(20,0)")).cast("bigint")
     exact = size.cast("decimal(20,0)")
-    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB", "EiB"), 1):
+    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
         base = 1024**power
         tenths = whole((exact % F.lit(base).cast("decimal(20,0)")) * 10, base)
         text = F.concat(whole(exact, base).cast("string"), F.lit("."), tenths.cast("string"), F.lit(f" {unit}"))
-        out = out.when(exact < F.lit(base * 1024).cast("decimal(38,0)"), text) if power < 6 else out.otherwise(text)
+        out = out.when(exact < F.lit(base * 1024).cast("decimal(38,0)"), text) if power < 5 else out.otherwise(text)
     return F.when(n.isNotNull(), F.concat(sign, out))
 
 
