@@ -6,8 +6,8 @@
    Jaccard similarity.
 2. *Classes.* Documents with equal sets become one class (grouped minimum of the id); from here on, copies cost nothing.
 3. *Bands.* Classes that agree in all registers of a band meet. In a band's group, pairs whose sizes allow the
-   similarity and whose estimate, corrected for chance agreement of compressed registers, is within five
-   standard errors of it are joined up; the group emits one edge for each member at most.
+   similarity and whose estimate is within five standard errors of it are joined up; the group emits one edge for each member
+   at most. Members bring the last 4 bits of each register only, and the estimate is corrected for registers that are then equal by chance.
 4. *Confirmation.* The components of those edges hold every link. The full sets of their members, and of no other
    documents, are brought together, in pairs of blocks where a component is large, and pairs are compared on full sets, best
    estimate first, except where links already found connect them. Again one edge for each member at most.
@@ -38,6 +38,8 @@ from tidemill.llm.components import components
 from tidemill.tables import table
 
 MANTISSA = 10
+#: Bits of each register that travel with a document to compare it with others.
+LOW = 4
 BLOCK_ROWS = 2000
 BLOCK_BYTES = 24 << 20
 _MEMO = 400_000
@@ -101,24 +103,32 @@ def sketch(hashes: np.ndarray, registers: int) -> np.ndarray:
     return value
 
 
-def estimate(same: np.ndarray, registers: int) -> np.ndarray:
+def low_bits(regs: np.ndarray) -> bytes:
+    """The last bits of all registers, two registers in a byte."""
+    low = (regs & ((1 << LOW) - 1)).astype(np.uint8)
+    return (low[0::2] | low[1::2] << LOW).tobytes()
+
+
+def estimate(same: np.ndarray, registers: int, chance: float = 0.169919487 / (1 << MANTISSA)) -> np.ndarray:
     """Jaccard similarity from the number of equal registers, without those that are equal by chance."""
-    chance = 0.169919487 / (1 << MANTISSA)
     return np.maximum(0.0, (same / registers - chance) / (1 - chance))
 
 
 def sketches(docs: DataFrame, words: int, registers: int) -> DataFrame:
-    """doc_id, n_shingles, fp (128 bits of the set; null if empty) and regs of each row."""
+    """doc_id, n_shingles, fp (128 bits of the set; null if empty), regs and their low bits of each row."""
+    if registers % 2:
+        raise ValueError("an even number of registers is needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             sets = [shingler.hashes(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             fps = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            regs = [sketch(s, registers).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "fp", "regs"])
+            regs = [sketch(s, registers) if len(s) else None for s in sets]
+            full, low = ([None if r is None else f(r) for r in regs] for f in (np.ndarray.tobytes, low_bits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(full, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "fp", "regs", "low"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, regs binary")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, regs binary, low binary")
 
 
 def _forest(n: int, pairs: Iterator[tuple[int, int]], linked) -> np.ndarray:
@@ -138,15 +148,16 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]], linked) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def _near_pairs(regs: np.ndarray, sizes: np.ndarray, block: np.ndarray, inside: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j) that may be linked, with the number of equal registers."""
-    m = regs.shape[1]
-    t = percent / 100
-    slack = 5 * np.sqrt(t * (1 - t) / m)
+def _near_pairs(low: np.ndarray, sizes: np.ndarray, block: np.ndarray, inside: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i < j) that may be linked, with the number of registers whose low bits are equal."""
+    m = low.shape[1]
+    t, chance = percent / 100, 1 / (1 << LOW)
+    p = chance + (1 - chance) * t
+    slack = 5 * np.sqrt(p * (1 - p) / m) / (1 - chance)
     left, right, equal = [], [], []
     small = sizes < 64
-    for i in range(len(regs) - 1):
-        rest = np.arange(i + 1, len(regs))
+    for i in range(len(low) - 1):
+        rest = np.arange(i + 1, len(low))
         lo, hi = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         ok = lo * 100 >= hi * percent
         if not inside:
@@ -154,8 +165,8 @@ def _near_pairs(regs: np.ndarray, sizes: np.ndarray, block: np.ndarray, inside:
         rest = rest[ok]
         if not len(rest):
             continue
-        same = (regs[rest] == regs[i]).sum(1)
-        near = estimate(same, m) >= t - slack - 0.15 * small[rest]
+        same = (low[rest] == low[i]).sum(1)
+        near = estimate(same, m, chance) >= t - slack - 0.15 * small[rest]
         if near.any():
             left.append(np.full(int(near.sum()), i))
             right.append(rest[near])
@@ -176,10 +187,16 @@ def _blocks(df: DataFrame, count: str) -> DataFrame:
     return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("other", count)
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Groups dealt over all shuffle partitions: rows are few bytes but much work, so AQE would merge too many into a task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _members(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, bool]:
     fp = t["fp"].to_pylist()
-    regs = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(len(fp), -1)
-    return fp, regs, t["n_shingles"].to_numpy(), t["blk"].to_numpy(), t["i"][0].as_py() == t["j"][0].as_py()
+    packed = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(fp), -1)
+    low = np.stack([packed & ((1 << LOW) - 1), packed >> LOW], axis=2).reshape(len(fp), -1)
+    return fp, low, t["n_shingles"].to_numpy(), t["blk"].to_numpy(), t["i"][0].as_py() == t["j"][0].as_py()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 4, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -188,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     registers = bands * rows
     sk = stash(sketches(docs, words, registers))
     full = sk.where("fp is not null")
-    classes = stash(full.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min(F.struct("n_shingles", "regs")).alias("s")).select("fp", "doc", "s.n_shingles", "s.regs"))
+    classes = stash(full.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min(F.struct("n_shingles", "regs", "low")).alias("s")).select("fp", "doc", "s.*"))
     candidate = components(_candidates(classes, percent, bands, rows, block_rows))
     candidate = candidate.select(F.col("node").alias("fp"), F.col("component").alias("comp"))
     links = _confirm(docs, classes, candidate, words, percent, block_rows, block_bytes)
@@ -214,35 +231,35 @@ def _candidates(classes: DataFrame, percent: int, bands: int, rows: int, block_r
     keyed = classes.select("fp", "regs").mapInArrow(band, "key long, fp binary")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = keyed.join(shared, "key").withColumn("parts", F.ceil(F.col("size") / block_rows)).drop("size")
-    met = _blocks(met.join(classes.select("fp", "n_shingles", "regs"), "fp"), "parts")
+    met = _blocks(met.join(classes.select("fp", "n_shingles", "low"), "fp"), "parts")
 
     def join_up(t: pa.Table) -> pa.Table:
-        fp, regs, sizes, block, inside = _members(t)
-        left, right, _ = _near_pairs(regs, sizes, block, inside, percent)
+        fp, low, sizes, block, inside = _members(t)
+        left, right, _ = _near_pairs(low, sizes, block, inside, percent)
         return _edges(fp, _forest(len(fp), zip(left.tolist(), right.tolist(), strict=True), None))
 
-    return met.groupBy("key", "i", "j").applyInArrow(join_up, "a binary, b binary")
+    return _dealt(met, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(join_up, "a binary, b binary")
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, candidate: DataFrame, words: int, percent: int, block_rows: int, block_bytes: int) -> DataFrame:
     """Edges (a, b) of confirmed links that connect whatever all links do."""
-    members = candidate.join(classes, "fp")
+    members = candidate.join(classes.drop("regs"), "fp")
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n_shingles") * 8 / block_bytes)).alias("parts"))
     members = stash(members.join(sizes, "comp"))
     texts = docs.selectExpr("cast(doc_id as long) as doc", "text")
-    got = texts.join(members, texts["doc"].eqNullSafe(members["doc"])).select("text", "fp", "comp", "parts", "n_shingles", "regs")
+    got = texts.join(members, texts["doc"].eqNullSafe(members["doc"])).select("text", "fp", "comp", "parts", "n_shingles", "low")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             found = [shingler.hashes(t).tobytes() for t in batch.column(0).cast(pa.binary()).to_pylist()]
             own = pa.array([xxhash.xxh3_128_digest(s) == f for s, f in zip(found, batch.column(1).to_pylist(), strict=True)], pa.bool_())  # a repeated id may have another text
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], ["fp", "comp", "parts", "n_shingles", "regs", "hashes"]).filter(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], ["fp", "comp", "parts", "n_shingles", "low", "hashes"]).filter(own)
 
-    whole = got.mapInArrow(sets, "fp binary, comp binary, parts long, n_shingles long, regs binary, hashes binary")
+    whole = got.mapInArrow(sets, "fp binary, comp binary, parts long, n_shingles long, low binary, hashes binary")
 
     def confirm(t: pa.Table) -> pa.Table:
-        fp, regs, size, block, inside = _members(t)
+        fp, low, size, block, inside = _members(t)
         raw = t["hashes"].to_pylist()
         held: dict[int, set[int]] = {}
 
@@ -255,11 +272,11 @@ def _confirm(docs: DataFrame, classes: DataFrame, candidate: DataFrame, words: i
             both = len(of(i) & of(j))
             return 100 * both >= percent * (int(size[i]) + int(size[j]) - both)
 
-        left, right, same = _near_pairs(regs, size, block, inside, percent)
+        left, right, same = _near_pairs(low, size, block, inside, percent)
         order = np.argsort(-same, kind="stable")
         return _edges(fp, _forest(len(fp), zip(left[order].tolist(), right[order].tolist(), strict=True), linked))
 
-    return _blocks(whole, "parts").groupBy("comp", "i", "j").applyInArrow(confirm, "a binary, b binary")
+    return _dealt(_blocks(whole, "parts"), "comp", "i", "j").groupBy("comp", "i", "j").applyInArrow(confirm, "a binary, b binary")
 
 
 def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
