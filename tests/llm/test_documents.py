@@ -113,6 +113,35 @@ def test_ppm_equals_brute_force(spark):
         assert got[i].base_score == pytest.approx(sum(np.log10((words[w] + 1) / (n + v + 1)) for w in tokens))
 
 
+@pytest.mark.parametrize("grams", [1, 5, 30, 10**6])
+def test_ppm_shards_equal_brute_force(spark, monkeypatch, grams):
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 40)
+    docs = spark.createDataFrame([(i, i >= 4, t) for i, t in enumerate(TEXTS)], "doc_id long, held_out boolean, text string").coalesce(2)
+    counts = ppm.corpus_counts(docs.where("not held_out"))
+    model = ppm.fit_shards(counts, grams)
+    assert len(model.cuts) == 0 if grams == 10**6 else len(model.cuts) > 0
+    got = {r.doc_id: r.score for r in ppm.score(docs, model, counts.where("word is not null")).collect()}
+    want = brute_ppm(TEXTS[:4])
+    assert got == pytest.approx({i: want(t) for i, t in enumerate(TEXTS)}, abs=1e-9)
+
+
+def test_ppm_keeps_rare_ngrams_of_a_large_corpus(spark, tmp_path):
+    """A text seen once is known by heart (half a bit of doubt a byte), however much else was learned."""
+    rare = "".join(chr(97 + x) for x in np.random.default_rng(1).integers(0, 26, 400))
+    rows = [(i, "to be or not to be " * 2000) for i in range(200)] + [(1000 + i, rare + "!" * i) for i in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    scores = {r.doc_id: r.score for r in ppm.op2_ppm(spark, str(tmp_path)).collect()}
+    assert min(scores[1000], scores[1001]) > -200  # -0.3 for most bytes; about -1.4 where only single bytes are known
+
+
+def test_ppm_odd_inputs_in_shards(spark):
+    docs = frame(spark).selectExpr("doc_id", "false as held_out", "text")
+    for learn in ("true", "false"):
+        counts = ppm.corpus_counts(docs.where(learn))
+        rows = ppm.score(docs, ppm.fit_shards(counts, 10), counts.where("word is not null")).collect()
+        assert len(rows) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
+
+
 def test_ppm_blocks_and_slices(spark, monkeypatch):
     monkeypatch.setattr(ppm, "_SCORED", 7)
     trie = ppm.fit(ppm.corpus_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string")))

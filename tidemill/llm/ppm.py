@@ -8,10 +8,12 @@ left are equal. Counts of shorter contexts follow the update-exclusion rule: an
 before it. As a context's symbols are among those of its suffixes, what is to be excluded is one number for each trie
 node, stored with it, and scoring is a few vectorised look-ups for a byte.
 
-Size of the trie: an n-gram stays if it makes up at least one in ``max_grams`` of the bytes learned from, so no
-order can have more than ``max_grams`` of them, whatever the corpus; the mass of others goes to the escape of their
-context, and probabilities still add up to 1. That bound is what lets the trie be broadcast. Everything is counted first: in each task,
-then by one shuffle of n-grams and words.
+The trie grows with the corpus, so it's neither cut nor broadcast: every n-gram counted stays. N-grams are ordered by their context read
+backwards, so that a context of any length is one stretch of that order, and cut into shards at contexts of ``ORDER`` bytes. Only the
+contexts that are an end of a shard's first context (``ORDER`` for each cut, the `spine`) lie in several shards; their symbols are summed over all shards
+and handed to the shards on both sides of the cut, so each shard is a whole trie for the contexts in it. Blocks of
+documents send their distinct n-grams to the shards and get log probabilities back. A trie in one piece, kept whole or pruned
+to ``max_grams`` for each order (the mass of others goes to the escape of their context), is there for small corpora.
 
 The base score needs the count of every word, a table that grows with the corpus, so it's joined, not broadcast: blocks of
 documents send a row for each distinct word, with its documents and frequencies packed, to the word's count and from there back to
@@ -23,6 +25,8 @@ is 0 and bytes are equally likely. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +41,8 @@ from tidemill.llm.common import prepare, remainder, stash
 from tidemill.tables import table
 
 ORDER = 6
-MAX_GRAMS = 1 << 21
+SHARD_GRAMS = 400_000
+SHARD_ASKED = 8_000_000
 PAD = b"\t" * ORDER
 END = b"\n"
 BLOCK_BYTES = 12 << 20
@@ -121,6 +126,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([w, g, n], ["word", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # a worker that did other tasks keeps their memory
         tallies: list[pa.Table] = []
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         ends = 0
@@ -143,7 +149,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
         def add_grams(buffer: bytes) -> Iterator[pa.RecordBatch]:
             keys = gram_keys(buffer)
             parts.append(_tally(keys[(keys & 0xFF) != PAD[0]]))
-            if sum(len(p[0]) for p in parts) > 4 << 20:
+            if sum(len(p[0]) for p in parts) > 3 << 20:
                 parts[:] = [merged_grams()]
                 if len(parts[0][0]) > 2 << 20:
                     key, n = parts.pop()
@@ -302,8 +308,8 @@ class Trie:
             todo = todo[~there]
         return out
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of each key after the others; keys are of neighbouring bytes."""
+    def log10(self, keys: np.ndarray, apart: bool = False) -> np.ndarray:
+        """Log probability of the last byte of each key after the others; keys are of neighbouring bytes, or ``apart``."""
         if not len(self.ctx_level) or not len(keys):
             return np.full(len(keys), -np.log10(256))
         gram, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
@@ -314,9 +320,12 @@ class Trie:
         known = gram >= 0
         level = np.where(known, self.gram_level[gram], -1)
         context = np.zeros(len(keys), np.int64)
-        context[1:] = np.where(known[:-1], self.longest[gram[:-1]], 0)
-        first = np.append(0, np.flatnonzero((keys[1:] >> 8) & 0xFF == PAD[0]) + 1)  # a pad is no symbol, so nothing points on from it
-        context[first] = self._context(keys[first])
+        if apart:
+            context = self._context(keys)
+        else:
+            context[1:] = np.where(known[:-1], self.longest[gram[:-1]], 0)
+            first = np.append(0, np.flatnonzero((keys[1:] >> 8) & 0xFF == PAD[0]) + 1)  # a pad is no symbol, so nothing points on from it
+            context[first] = self._context(keys[first])
         out = self.own[gram]
         fell = np.flatnonzero(level < self.ctx_level[context])
         over, want = context[fell], level[fell] + 1
@@ -347,11 +356,11 @@ class Trie:
         return out
 
 
-def fit(counts: DataFrame, max_grams: int = MAX_GRAMS) -> Trie:
-    """The trie of the longest n-grams' counts; shorter ones are their sums."""
+def fit(counts: DataFrame, max_grams: int | None = None) -> Trie:
+    """The trie of the longest n-grams' counts in one piece, for small corpora; shorter ones are their sums. All stay unless ``max_grams`` is given."""
     longest = counts.where("gram is not null")
     size = longest.agg(F.sum("n")).first()[0] or 0
-    floor = max(1, -(-size // max_grams))
+    floor = max(1, -(-size // max_grams)) if max_grams else 1
     orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
     every = longest.select("gram", "n", orders.alias("k")).select("k", F.expr("gram & (shiftleft(1L, 8 * (k + 1)) - 1)").alias("gram"), "n").groupBy("k", "gram").agg(F.sum("n").alias("n"))
     every = stash(every)
@@ -372,6 +381,199 @@ def fit(counts: DataFrame, max_grams: int = MAX_GRAMS) -> Trie:
     return Trie.build(split(kept, "gram"), split(contexts, "ctx"))
 
 
+def turned(keys: np.ndarray) -> np.ndarray:
+    """Keys with the bytes of the context in reverse order, the symbol last; turns them back, too."""
+    return (keys.astype(np.int64).byteswap() & 0x00FFFFFFFFFFFF00) | (keys & 0xFF)
+
+
+def _pack(turns: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte."""
+    return len(turns).to_bytes(8, "little") + pa.compress(np.diff(turns, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = pa.decompress(packed[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).reshape(-1).view(np.int64))
+
+
+def _shorter(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turned n-grams (context, symbol) without the first byte of their text, and how many each came from."""
+    return _tally(grams >> 16 << 8 | grams & 0xFF)
+
+
+Spine = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+
+
+def spine_of(cuts: list[int]) -> set[tuple[int, int]]:
+    """(length, context turned) of the contexts that lie on both sides of a cut."""
+    return {(k, cut >> 8 * (ORDER + 1 - k)) for cut in cuts for k in range(ORDER)}
+
+
+def spine_counts(turns: np.ndarray, spine: set[tuple[int, int]]) -> Spine:
+    """Symbols of a shard's spine contexts, counted from longer contexts that are no spine themselves."""
+    out: Spine = {}
+    grams = turns
+    for k in range(ORDER - 1, -1, -1):
+        grams, n = _shorter(grams)
+        for c in [c for length, c in spine if length == k]:
+            at, upto = np.searchsorted(grams, [c << 8, (c + 1) << 8])
+            if upto > at:
+                out[k, c] = (grams[at:upto] & 0xFF, n[at:upto])
+                grams, n = np.delete(grams, np.s_[at:upto]), np.delete(n, np.s_[at:upto])
+    return out
+
+
+def resolved(parts: list[Spine]) -> Spine:
+    """The spine's symbols and counts over all shards; a longer spine context counts once for each of its symbols."""
+    sums: dict[tuple[int, int], np.ndarray] = defaultdict(lambda: np.zeros(256, np.int64))
+    for part in parts:
+        for c, (symbols, n) in part.items():
+            sums[c][symbols] += n
+    for k in range(ORDER - 1, 0, -1):
+        for c in [c for length, c in sums if length == k]:
+            sums[k - 1, c >> 8] += sums[k, c] > 0
+    return {c: (np.flatnonzero(n), n[np.flatnonzero(n)]) for c, n in sums.items()}
+
+
+def shard_trie(turns: np.ndarray, n: np.ndarray, spine: Spine) -> Trie:
+    """The trie of the contexts in a shard, with the spine at its ends."""
+    grams, contexts = {}, {}
+    for k in range(ORDER, -1, -1):
+        if k < ORDER:
+            turns, n = _shorter(turns)
+            for c in [c for length, c in spine if length == k]:
+                at, upto = np.searchsorted(turns, [c << 8, (c + 1) << 8])
+                symbols, own = spine[k, c]
+                turns = np.concatenate((turns[:at], c << 8 | symbols, turns[upto:]))
+                n = np.concatenate((n[:at], own, n[upto:]))
+        keys = turned(turns << 8 * (ORDER - k) & ~0xFF | turns & 0xFF) & ((1 << 8 * (k + 1)) - 1)
+        order = np.argsort(keys, kind="stable")
+        grams[k] = (keys[order], n[order])
+        ctx, start = np.unique(grams[k][0] >> 8, return_index=True)
+        contexts[k] = (ctx, np.add.reduceat(grams[k][1], start) if len(start) else np.zeros(0, np.int64))
+    return Trie.build(grams, contexts)
+
+
+@dataclass
+class Shards:
+    """The whole trie: rows (shard, block, post) with block -2 for a shard's spine and -1 for its n-grams; cuts between shards."""
+
+    rows: DataFrame
+    cuts: np.ndarray
+
+
+def fit_shards(counts: DataFrame, shard_grams: int = SHARD_GRAMS) -> Shards:
+    """The trie of all n-grams, in as many shards as they need."""
+    spark = prepare(counts.sparkSession)
+    longest = counts.where("gram is not null").select("gram", "n")
+    size, total = longest.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, total / BLOCK_BYTES)  # about as many blocks ask for an n-gram as it's frequent, up to all
+    share = max(1, size // 400_000)
+    sample = longest.where(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0).toArrow()  # places the cuts only; 400,000 rows or so
+    turns, n = turned(sample["gram"].to_numpy()), sample["n"].to_numpy()
+    order = np.argsort(turns, kind="stable")
+    asked = blocks * -np.expm1(-n[order] / blocks)
+    wanted = max(size / shard_grams, asked.sum() * share / SHARD_ASKED)
+    number = max(1, int(np.ceil(wanted)))
+    load = np.cumsum(1 / max(1, len(asked)) + asked / max(1, asked.sum()))  # half for n-grams kept, half for those asked
+    cuts = np.unique(turns[order][np.searchsorted(load, load[-1] * np.arange(1, number) / number)] & ~0xFF) if number > 1 else np.zeros(0, np.int64)
+    ends = spark.sparkContext.broadcast(cuts)  # one number for each shard
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = turned(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(ends.value, t, side="right")), pa.array(t), batch.column(1)], ["shard", "turn", "n"])
+
+    def packed(t: pa.Table) -> pa.Table:
+        shard, turns, n = t["shard"][0].as_py(), t["turn"].to_numpy(), t["n"].to_numpy()
+        order = np.argsort(turns, kind="stable")
+        spine = spine_counts(turns[order], spine_of(ends.value[max(0, shard - 1) : shard + 1].tolist()))
+        rows = [(-2, pickle.dumps(spine)), (-1, _pack(turns[order])), (0, pa.compress(n[order].tobytes(), codec="zstd", asbytes=True))]
+        return pa.table([pa.array([shard] * 3, pa.int64()), pa.array([b for b, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], ["shard", "block", "post"])
+
+    held = stash(longest.mapInArrow(dealt, "shard long, turn long, n long").groupBy("shard").applyInArrow(packed, "shard long, block long, post binary"))
+    parts = [pickle.loads(r.post) for r in held.where("block = -2").select("post").collect()]  # ORDER contexts of 256 symbols at most for a cut
+    spine = resolved(parts)
+    own = [(i, -3, pickle.dumps({c: spine[c] for c in spine_of(cuts[max(0, i - 1) : i + 1].tolist()) if c in spine})) for i in range(len(cuts) + 1)]
+    rows = held.where("block > -2").withColumn("block", F.col("block") - 1)
+    return Shards(spark.createDataFrame(own, "shard long, block long, post binary").unionByName(rows), cuts)
+
+
+def _asked(text: bytes | memoryview) -> np.ndarray:
+    """Distinct n-grams of a block, turned and in order."""
+    parts = []
+    for at in range(0, len(text), _CHUNK):
+        keys = gram_keys((PAD if not at else bytes(text[at - ORDER : at])) + bytes(text[at : at + _CHUNK]))
+        parts.append(_tally(turned(keys[(keys & 0xFF) != PAD[0]]))[0])
+    return _tally(np.concatenate(parts))[0] if parts else np.zeros(0, np.int64)
+
+
+def _answers(packed: DataFrame, model: Shards) -> DataFrame:
+    """(block, part, post): what a block asked of a shard and the log probabilities."""
+    spark = packed.sparkSession
+    ends = spark.sparkContext.broadcast(model.cuts)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                turns = _asked(memoryview(text.as_buffer()))
+                at = np.concatenate(([0], np.searchsorted(turns, ends.value), [len(turns)]))
+                shards = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.full(len(shards), block, np.int64)), pa.array([_pack(turns[at[i] : at[i + 1]]) for i in shards], pa.binary())], ["shard", "block", "post"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, trie, spine, turns, n = None, None, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for shard, block, post in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if shard != now:
+                    now, trie, spine, turns, n = shard, None, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if block == -3:
+                    spine = pickle.loads(post)
+                elif block == -2:
+                    turns = _unpack(post)
+                elif block == -1:
+                    n = np.frombuffer(pa.decompress(post, decompressed_size=8 * len(turns), codec="zstd", asbytes=True), np.int64)
+                else:
+                    trie = trie or shard_trie(turns, n, spine)
+                    keys = turned(_unpack(post))
+                    logs = np.concatenate([trie.log10(keys[at : at + _SCORED], apart=True) for at in range(0, len(keys), _SCORED)])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int64()), pa.array([len(post).to_bytes(8, "little") + post + pa.compress(logs.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["block", "part", "post"])
+
+    asked = packed.select("block", "text").mapInArrow(ask, "shard long, block long, post binary")
+    dealt = model.rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "block")  # a shard's trie comes before what is asked of it
+    return dealt.mapInArrow(answer, "block long, part long, post binary")
+
+
+def _answered(posts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct n-grams and their log probabilities, of answers in order of the shards."""
+    turns, logs = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for post in posts:
+        size = 8 + int.from_bytes(post[:8], "little")
+        turns.append(_unpack(post[8:size]))
+        logs.append(np.frombuffer(pa.decompress(post[size:], decompressed_size=8 * len(turns[-1]), codec="zstd", asbytes=True)))
+    return np.concatenate(turns), np.concatenate(logs)
+
+
+def _summed(text: bytes | memoryview, lengths: np.ndarray, turns: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Log probabilities of a block's documents from those of its distinct n-grams."""
+    out = np.zeros(len(lengths))
+    starts = np.cumsum(lengths) - lengths
+    for at in range(0, len(text), _SCORED):
+        upto = min(len(text), at + _SCORED)
+        keys = gram_keys((PAD if not at else bytes(text[at - ORDER : at])) + bytes(text[at:upto]))
+        real = np.flatnonzero((keys & 0xFF) != PAD[0])
+        wanted = turned(keys[real])
+        order = np.argsort(wanted)  # in order the search stays in the cache
+        each = np.zeros(len(keys))
+        each[real[order]] = logs[np.searchsorted(turns, wanted[order])]
+        first, stop = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, upto, side="left")
+        out[first:stop] += np.add.reduceat(each, np.maximum(starts[first:stop] - at, 0))
+    return out
+
+
 def _packed(docs: np.ndarray, words: np.ndarray, n_words: int) -> pa.Array:
     """For each word, its (document, frequency) pairs in 4 bytes each."""
     pair, tf = _tally(words.astype(np.int64) << _DOC_BITS | docs)
@@ -387,10 +589,11 @@ def _packed(docs: np.ndarray, words: np.ndarray, n_words: int) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(post)])
 
 
-def score(docs: DataFrame, trie: Trie, vocabulary: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; docs has doc_id, held_out and text."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(trie)
+    whole = isinstance(model, Trie)
+    shared = spark.sparkContext.broadcast(model) if whole else None
     distinct, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,14 +611,11 @@ def score(docs: DataFrame, trie: Trie, vocabulary: DataFrame) -> DataFrame:
             header["null"] = docs_["doc_id"].is_null().to_numpy()
             header["held"] = docs_["held_out"].to_numpy()
             header["n"] = count + 1
-            header["score"] = shared.value.scores(joined_bytes(wholes), np.diff(np.frombuffer(wholes.buffers()[1], np.int32)[wholes.offset : wholes.offset + len(wholes) + 1].astype(np.int64)))
-            found = values.dictionary_encode()
-            distinct = len(found.dictionary)
-            number_of = np.concatenate((found.indices.to_numpy(), np.full(len(count), distinct)))  # END comes after all words
-            post = _packed(np.concatenate((np.repeat(np.arange(len(count)), count), np.arange(len(count)))), number_of, distinct + 1)
-            names = pa.concat_arrays([found.dictionary.cast(pa.binary()), pa.array([END, END + block.to_bytes(8, "big")], pa.binary())])
-            post = pa.concat_arrays([post, pa.array([header.tobytes()], pa.binary())])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block, np.int64)), names, post], ["block", "word", "post"])
+            lengths = np.diff(np.frombuffer(wholes.buffers()[1], np.int32)[wholes.offset : wholes.offset + len(wholes) + 1].astype(np.int64))
+            if whole:
+                header["score"] = shared.value.scores(joined_bytes(wholes), lengths)
+            cols = [pa.array([block], pa.int64()), *[pa.array([bytes(x)], pa.binary()) for x in (header.tobytes(), lengths.tobytes(), joined_bytes(wholes))]]
+            return pa.RecordBatch.from_arrays(cols, ["block", "header", "lengths", "text"])
 
         size = rows = 0
         for batch in batches:
@@ -434,18 +634,37 @@ def score(docs: DataFrame, trie: Trie, vocabulary: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    sent = docs.select("doc_id", "held_out", "text").mapInArrow(blocks, "block long, word binary, post binary")
-    back = sent.join(vocabulary.select("word", "n"), "word", "left")
-    back = back.select("block", "post", "n", (F.length("word") > 1).alias("long_"), F.substring("word", 1, 1).alias("first_"))
-    back = back.withColumn("header", F.col("long_") & (F.col("first_") == F.lit(bytearray(END)))).where("header or n is not null").select("block", "post", "n", "header")
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, block in enumerate(batch.column(0).to_pylist()):
+                lengths, text = np.frombuffer(batch.column(1)[i].as_py(), np.int64), batch.column(2)[i].as_buffer()
+                values, count = word_values(canonical(pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), text]))[0])
+                found = values.dictionary_encode()
+                distinct = len(found.dictionary)
+                number_of = np.concatenate((found.indices.to_numpy(), np.full(len(count), distinct)))  # END comes after all words
+                post = _packed(np.concatenate((np.repeat(np.arange(len(count)), count), np.arange(len(count)))), number_of, distinct + 1)
+                names = pa.concat_arrays([found.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block, np.int64)), names, post], ["block", "word", "post"])
+
+    packed = stash(docs.select("doc_id", "held_out", "text").mapInArrow(blocks, "block long, header binary, lengths binary, text binary"))
+    sent = packed.select("block", "lengths", "text").mapInArrow(words_of, "block long, word binary, post binary")
+    back = sent.join(vocabulary.select("word", "n"), "word").select("block", F.lit(-1).cast("long").alias("part"), "post", "n")
+    for part, name in ((-2, "header"), *([] if whole else [(-3, "lengths"), (-4, "text")])):
+        back = back.unionByName(packed.select("block", F.lit(part).cast("long").alias("part"), F.col(name).alias("post"), F.lit(None).cast("long").alias("n")))
+    if not whole:
+        back = back.unionByName(_answers(packed, model).withColumn("n", F.lit(None).cast("long")))
     floor = float(np.log10(tokens + distinct + 1))
 
     def gather(t: pa.Table) -> pa.Table:
-        is_head = t["header"].to_numpy()
-        post = t["post"].combine_chunks()
-        header = np.frombuffer(post.filter(pa.array(is_head)).to_pylist()[0], _HEADER)
-        lists = post.filter(pa.array(~is_head))
-        n = t["n"].filter(pa.array(~is_head)).to_numpy()
+        part, post = t["part"].to_numpy(), t["post"].combine_chunks()
+        one = {int(part[i]): post[i].as_py() for i in np.flatnonzero(part < -1)}
+        header = np.frombuffer(one[-2], _HEADER).copy()
+        if not whole:
+            answers = _answered([post[i].as_py() for i in sorted(np.flatnonzero(part >= 0), key=lambda i: part[i])])
+            header["score"] = _summed(memoryview(one[-4]), np.frombuffer(one[-3], np.int64), *answers)
+            pa.default_memory_pool().release_unused()
+        lists = post.filter(pa.array(part == -1))
+        n = t["n"].filter(pa.array(part == -1)).to_numpy()
         base, known = np.zeros(len(header)), np.zeros(len(header))
         if len(lists):
             entry = np.frombuffer(b"".join(lists.to_pylist()), np.uint32)
@@ -463,4 +682,4 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; learned from ids whose crc32 mod 7 is not 2."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(7) == 2).alias("held_out"), "text")
     counts = stash(corpus_counts(docs.where("not held_out")))
-    return score(docs, fit(counts), counts.where("word is not null"))
+    return score(docs, fit_shards(counts), counts.where("word is not null"))
