@@ -25,6 +25,7 @@ is 0 and bytes are equally likely. Other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import prepare, remainder, stash
+from tidemill.llm.common import discard, prepare, remainder, stash
 from tidemill.tables import table
 
 ORDER = 6
@@ -45,7 +46,7 @@ SHARD_GRAMS = 400_000
 SHARD_ASKED = 8_000_000
 PAD = b"\t" * ORDER
 END = b"\n"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 _DOC_BITS = 14
 _CHUNK = 2 << 20
 _SCORED = 1 << 19
@@ -70,6 +71,20 @@ def word_values(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return values, count
 
 
+def _text(packed: bytes | pa.Buffer, lengths: np.ndarray) -> pa.Buffer:
+    """A block's canonical texts, one after another."""
+    return pa.decompress(packed, decompressed_size=int(lengths.sum()), codec="zstd")
+
+
+def _release() -> None:
+    """Give memory of earlier tasks or batches back to the system; a Python worker would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def joined_bytes(wholes: pa.Array) -> memoryview:
     """The texts one after another."""
     offsets = np.frombuffer(wholes.buffers()[1], np.int32)[wholes.offset : wholes.offset + len(wholes) + 1]
@@ -126,7 +141,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([w, g, n], ["word", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # a worker that did other tasks keeps their memory
+        _release()
         tallies: list[pa.Table] = []
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         ends = 0
@@ -517,9 +532,10 @@ def _answers(packed: DataFrame, model: Shards) -> DataFrame:
     ends = spark.sparkContext.broadcast(model.cuts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                turns = _asked(memoryview(text.as_buffer()))
+            for block, lengths, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                turns = _asked(memoryview(_text(text.as_buffer(), np.frombuffer(lengths.as_buffer(), np.int64))))
                 at = np.concatenate(([0], np.searchsorted(turns, ends.value), [len(turns)]))
                 shards = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.full(len(shards), block, np.int64)), pa.array([_pack(turns[at[i] : at[i + 1]]) for i in shards], pa.binary())], ["shard", "block", "post"])
@@ -530,6 +546,7 @@ def _answers(packed: DataFrame, model: Shards) -> DataFrame:
             for shard, block, post in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if shard != now:
                     now, trie, spine, turns, n = shard, None, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    _release()
                 if block == -3:
                     spine = pickle.loads(post)
                 elif block == -2:
@@ -542,7 +559,7 @@ def _answers(packed: DataFrame, model: Shards) -> DataFrame:
                     logs = np.concatenate([trie.log10(keys[at : at + _SCORED], apart=True) for at in range(0, len(keys), _SCORED)])
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int64()), pa.array([len(post).to_bytes(8, "little") + post + pa.compress(logs.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["block", "part", "post"])
 
-    asked = packed.select("block", "text").mapInArrow(ask, "shard long, block long, post binary")
+    asked = packed.select("block", "lengths", "text").mapInArrow(ask, "shard long, block long, post binary")
     dealt = model.rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "block")  # a shard's trie comes before what is asked of it
     return dealt.mapInArrow(answer, "block long, part long, post binary")
 
@@ -592,11 +609,13 @@ def _packed(docs: np.ndarray, words: np.ndarray, n_words: int) -> pa.Array:
 def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; docs has doc_id, held_out and text."""
     spark = prepare(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # rows of blocks are MB each
     whole = isinstance(model, Trie)
     shared = spark.sparkContext.broadcast(model) if whole else None
     distinct, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
         task = TaskContext.get().partitionId()
         number = 0
         held: list[pa.RecordBatch] = []
@@ -605,7 +624,7 @@ def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataF
             block = task << 24 | number
             docs_ = pa.Table.from_batches(held).combine_chunks()
             words, wholes = canonical(docs_["text"].combine_chunks())
-            values, count = word_values(words)
+            count = word_values(words)[1]
             header = np.zeros(len(count), _HEADER)
             header["doc"] = pc.fill_null(docs_["doc_id"], 0).to_numpy()
             header["null"] = docs_["doc_id"].is_null().to_numpy()
@@ -614,7 +633,8 @@ def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataF
             lengths = np.diff(np.frombuffer(wholes.buffers()[1], np.int32)[wholes.offset : wholes.offset + len(wholes) + 1].astype(np.int64))
             if whole:
                 header["score"] = shared.value.scores(joined_bytes(wholes), lengths)
-            cols = [pa.array([block], pa.int64()), *[pa.array([bytes(x)], pa.binary()) for x in (header.tobytes(), lengths.tobytes(), joined_bytes(wholes))]]
+            text = pa.compress(joined_bytes(wholes), codec="zstd", asbytes=True)
+            cols = [pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (header.tobytes(), lengths.tobytes(), text)]]
             return pa.RecordBatch.from_arrays(cols, ["block", "header", "lengths", "text"])
 
         size = rows = 0
@@ -631,13 +651,16 @@ def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataF
                     number += 1
                     held.clear()
                     size = rows = 0
+                    _release()
         if held:
             yield flush()
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
         for batch in batches:
             for i, block in enumerate(batch.column(0).to_pylist()):
                 lengths, text = np.frombuffer(batch.column(1)[i].as_py(), np.int64), batch.column(2)[i].as_buffer()
+                text = _text(text, lengths)
                 values, count = word_values(canonical(pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), text]))[0])
                 found = values.dictionary_encode()
                 distinct = len(found.dictionary)
@@ -661,8 +684,9 @@ def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataF
         header = np.frombuffer(one[-2], _HEADER).copy()
         if not whole:
             answers = _answered([post[i].as_py() for i in sorted(np.flatnonzero(part >= 0), key=lambda i: part[i])])
-            header["score"] = _summed(memoryview(one[-4]), np.frombuffer(one[-3], np.int64), *answers)
-            pa.default_memory_pool().release_unused()
+            lengths = np.frombuffer(one[-3], np.int64)
+            header["score"] = _summed(memoryview(_text(one[-4], lengths)), lengths, *answers)
+            _release()
         lists = post.filter(pa.array(part == -1))
         n = t["n"].filter(pa.array(part == -1)).to_numpy()
         base, known = np.zeros(len(header)), np.zeros(len(header))
@@ -682,4 +706,6 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; learned from ids whose crc32 mod 7 is not 2."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(7) == 2).alias("held_out"), "text")
     counts = stash(corpus_counts(docs.where("not held_out")))
-    return score(docs, fit_shards(counts), counts.where("word is not null"))
+    model, vocabulary = fit_shards(counts), stash(counts.where("word is not null").select("word", "n"))
+    discard(counts)
+    return score(docs, model, vocabulary)
