@@ -50,3 +50,13 @@ def test_filter_and_columns_reach_the_scan(spark, small):
 
 def test_top_n_is_one_operator(spark, small):
     assert "TakeOrderedAndProject" in QUERIES["cb_group_topn"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    ("name", "whole"),
+    [
+        ("range_join_times", "select count(*) from supplier, customer where s_acctbal < c_acctbal"),
+    ],
+)
+def test_reads_whole_tables(name, whole, spark, duck, small):
+    assert QUERIES[name](spark, small).count() == duck.execute(whole).fetchone()[0]
