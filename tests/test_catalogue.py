@@ -57,6 +57,7 @@ def test_top_n_is_one_operator(spark, small):
     [
         ("range_join_times", "select count(*) from supplier, customer where s_acctbal < c_acctbal"),
         ("insert_roundtrip", "select count(*) from orders"),
+        ("join_null_keys", "select count(*) from orders"),
     ],
 )
 def test_reads_whole_tables(name, whole, spark, duck, small):

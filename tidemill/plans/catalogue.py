@@ -104,7 +104,7 @@ SQL: dict[str, str] = {
     "anti_join": "select c_custkey, c_name from customer left anti join (select * from orders where o_totalprice > 100000) o on c_custkey = o_custkey",
     "left_join": "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 250000",
     "right_join": "select c_custkey, o_orderkey from (select * from orders where o_totalprice > 250000) o right join customer on c_custkey = o_custkey",
-    "join_null_keys": "with a as (select o_orderkey, nullif(o_custkey, 7) as k from orders), b as (select c_custkey, nullif(c_custkey, 9) as k from customer) select o_orderkey, c_custkey from a left join b on a.k = b.k where o_orderkey <= 2000",
+    "join_null_keys": "with a as (select o_orderkey, nullif(o_custkey, 7) as k from orders), b as (select c_custkey, nullif(c_custkey, 9) as k from customer) select o_orderkey, c_custkey from a left join b on a.k = b.k",
     "join_multi_key": "select a.l_orderkey, a.l_linenumber, b.l_quantity from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber + 1 where a.l_quantity > 45",
     "join_computed_key": "select e.event_id, c.c_custkey from events e join customer c on e.user_id * 2 = c.c_custkey + 1",
     "corr_scalar_select": "select c_custkey, (select max(o_totalprice) from orders where o_custkey = c_custkey) as most from customer",
