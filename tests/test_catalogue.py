@@ -58,7 +58,16 @@ def test_top_n_is_one_operator(spark, small):
         ("range_join_times", "select count(*) from supplier, customer where s_acctbal < c_acctbal"),
         ("insert_roundtrip", "select count(*) from orders"),
         ("join_null_keys", "select count(*) from orders"),
+        ("sort_nulls", "select count(*) from events"),
+        ("sort_nulls_first", "select count(*) from events"),
     ],
 )
 def test_reads_whole_tables(name, whole, spark, duck, small):
     assert QUERIES[name](spark, small).count() == duck.execute(whole).fetchone()[0]
+
+
+@pytest.mark.parametrize("name", ["sort_nulls", "sort_nulls_first"])
+def test_nulls_and_values_in_order(name, spark, duck, small):
+    got = [tuple(r) for r in QUERIES[name](spark, small).collect()]
+    assert got == duck.execute(ORACLES[name]).fetchall()
+    assert len({t is None for _, t in got}) == 2

@@ -121,8 +121,8 @@ SQL: dict[str, str] = {
     "distinct_rows": "select distinct l_returnflag, l_linestatus from lineitem",
     "group_keys_only": "select p_brand, p_type from part group by p_brand, p_type",
     # sort and limit
-    "sort_nulls": "select event_id, nullif(event_type, 'view') as t from events order by t asc nulls last, event_id limit 500",
-    "sort_nulls_first": "select event_id, nullif(event_type, 'view') as t from events order by t desc nulls first, event_id limit 500",
+    "sort_nulls": "select event_id, nullif(event_type, 'view') as t from events order by t asc nulls last, event_id",
+    "sort_nulls_first": "select event_id, nullif(event_type, 'view') as t from events order by t desc nulls first, event_id",
     "topn_offset": "select event_id, value from events order by value desc nulls last, event_id limit 20 offset 30",
     "limit_offset": "select event_id from (select * from events order by event_id) t order by event_id limit 10 offset 100",
     "offset_only": "select event_id from events order by event_id offset 100",
