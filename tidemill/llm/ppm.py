@@ -706,6 +706,7 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; learned from ids whose crc32 mod 7 is not 2."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(7) == 2).alias("held_out"), "text")
     counts = stash(corpus_counts(docs.where("not held_out")))
+    spark.sparkContext._jvm.System.gc()  # Spark removes a shuffle's files once nothing refers to it, and a small driver heap may not be collected for long
     model, vocabulary = fit_shards(counts), stash(counts.where("word is not null").select("word", "n"))
     discard(counts)
     return score(docs, model, vocabulary)
