@@ -99,10 +99,13 @@ def brute_ppm(texts, order=ppm.ORDER):
 TEXTS = ["the cat sat on the mat", "The  hat\nsat", "a cat, a hat", None, "", "zebra θ the"]
 
 
-def test_ppm_equals_brute_force(spark):
-    docs = spark.createDataFrame([(i, i >= 4, t) for i, t in enumerate(TEXTS)], "doc_id long, held_out boolean, text string")
-    counts = ppm.corpus_counts(docs.where("not held_out"))
-    got = {r.doc_id: r for r in ppm.score(docs, ppm.fit(counts), counts.where("word is not null")).collect()}
+@pytest.mark.parametrize("shard_bytes,block_bytes,asked", [(1 << 20, 1 << 20, 10**6), (20, 40, 10**6), (5, 40, 1), (1, 1, 2)])
+def test_ppm_equals_brute_force(spark, monkeypatch, shard_bytes, block_bytes, asked):
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", block_bytes)
+    docs = spark.createDataFrame([(i, i >= 4, t) for i, t in enumerate(TEXTS)], "doc_id long, held_out boolean, text string").coalesce(2)
+    model = ppm.fit(docs.where("not held_out"), shard_bytes)
+    assert (len(model.cuts) == 0) == (shard_bytes == 1 << 20)
+    got = {r.doc_id: r for r in ppm.score(docs, model, asked).collect()}
     want = brute_ppm(TEXTS[:4])
     words = Counter(w for t in TEXTS[:4] for w in [*(t or "").lower().split(), "\n"])
     n, v = sum(words.values()), len(words)
@@ -113,16 +116,13 @@ def test_ppm_equals_brute_force(spark):
         assert got[i].base_score == pytest.approx(sum(np.log10((words[w] + 1) / (n + v + 1)) for w in tokens))
 
 
-@pytest.mark.parametrize("grams", [1, 5, 30, 10**6])
-def test_ppm_shards_equal_brute_force(spark, monkeypatch, grams):
-    monkeypatch.setattr(ppm, "BLOCK_BYTES", 40)
-    docs = spark.createDataFrame([(i, i >= 4, t) for i, t in enumerate(TEXTS)], "doc_id long, held_out boolean, text string").coalesce(2)
-    counts = ppm.corpus_counts(docs.where("not held_out"))
-    model = ppm.fit_shards(counts, grams)
-    assert len(model.cuts) == 0 if grams == 10**6 else len(model.cuts) > 0
-    got = {r.doc_id: r.score for r in ppm.score(docs, model, counts.where("word is not null")).collect()}
-    want = brute_ppm(TEXTS[:4])
-    assert got == pytest.approx({i: want(t) for i, t in enumerate(TEXTS)}, abs=1e-9)
+def test_ppm_equals_brute_force_on_documents(spark, small):
+    docs = table(spark, small, "documents").selectExpr("doc_id", "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2 as held_out", "text")
+    got = {r.doc_id: r.score for r in ppm.score(docs, ppm.fit(docs.where("not held_out"), 50_000)).collect()}
+    texts = {r.doc_id: (r.held_out, r.text) for r in docs.collect()}
+    want = brute_ppm([t for held_out, t in texts.values() if not held_out])
+    some = sorted(texts)[:: max(1, len(texts) // 25)]
+    assert [got[i] for i in some] == pytest.approx([want(texts[i][1]) for i in some], rel=1e-9)
 
 
 def test_ppm_keeps_rare_ngrams_of_a_large_corpus(spark, tmp_path):
@@ -134,37 +134,31 @@ def test_ppm_keeps_rare_ngrams_of_a_large_corpus(spark, tmp_path):
     assert min(scores[1000], scores[1001]) > -200  # -0.3 for most bytes; about -1.4 where only single bytes are known
 
 
-def test_ppm_odd_inputs_in_shards(spark):
-    docs = frame(spark).selectExpr("doc_id", "false as held_out", "text")
-    for learn in ("true", "false"):
-        counts = ppm.corpus_counts(docs.where(learn))
-        rows = ppm.score(docs, ppm.fit_shards(counts, 10), counts.where("word is not null")).collect()
-        assert len(rows) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
-
-
-def test_ppm_blocks_and_slices(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "_SCORED", 7)
-    trie = ppm.fit(ppm.corpus_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string")))
-    wholes = [b" ".join((t or "").encode().lower().split()) + ppm.END for t in TEXTS]
-    raw = b"".join(w + ppm.PAD for w in wholes)
-    want = brute_ppm(TEXTS)
-    assert trie.scores(raw, np.array([len(w) + ppm.ORDER for w in wholes])) == pytest.approx([want(t) for t in TEXTS])
+def test_ppm_probabilities_add_up():
+    raw = b"".join(b" ".join((t or "").encode().lower().split()) + ppm.END + ppm.PAD for t in TEXTS)
+    keys = ppm.turned_keys(raw, 0, len(raw))
+    trie = ppm.Trie(*ppm._tally(keys[keys & 0xFF != 9]))
+    for context in (b"the ca", b"zzzzzz", b"\t\t\t\t\t\t", b"e the "):
+        whole = [ppm.turned_keys(context + bytes([c]), 6, 7) for c in range(256)]
+        assert sum(10 ** trie.log10(k)[0] for k in whole) == pytest.approx(1.0)
 
 
-def test_ppm_pruned_probabilities_add_up(spark):
-    trie = ppm.fit(ppm.corpus_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string")), max_grams=40)
-    for context in (b"the ca", b"zzzzzz", b"\t\t\t\t\t\t", b"e the "):
-        keys = [ppm.gram_keys(context + bytes([c])) for c in range(256)]
-        assert sum(10 ** trie.log10(k)[0] for k in keys) == pytest.approx(1.0)
+def test_ppm_keys_of_slices():
+    raw = bytes(range(30, 90))
+    whole = ppm.turned_keys(raw, 0, len(raw))
+    for at in (0, 1, 5, 6, 7, 40):
+        assert (ppm.turned_keys(raw, at, at + 9) == whole[at : at + 9]).all()
+    assert whole[0] == int.from_bytes(b"\t" * 6 + bytes([30]), "big") and whole[10] == int.from_bytes(bytes([39, 38, 37, 36, 35, 34, 40]), "big")
 
 
-def test_ppm_odd_inputs(spark):
-    docs = frame(spark).selectExpr("doc_id", "doc_id = 6 as held_out", "text")
-    docs = docs.selectExpr("doc_id", "coalesce(held_out, false) as held_out", "text")
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 100_000])
+def test_ppm_odd_inputs(spark, shard_bytes):
+    docs = frame(spark).selectExpr("doc_id", "coalesce(doc_id = 6, false) as held_out", "text")
     for learn in ("not held_out", "false"):
-        counts = ppm.corpus_counts(docs.where(learn))
-        rows = ppm.score(docs, ppm.fit(counts), counts.where("word is not null")).collect()
+        model = ppm.fit(docs.where(learn), shard_bytes)
+        rows = ppm.score(docs, model).collect()
         assert len(rows) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
+        assert ppm.score(docs.where("false"), model).count() == 0
     assert {r.base_score for r in rows} == {0.0} and {r.train_tokens for r in rows} == {0}
 
 

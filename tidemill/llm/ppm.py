@@ -5,22 +5,21 @@ contexts up to ``ORDER`` bytes, counted over all documents learned from. A symbo
 context has probability (c - 1/2) / total; otherwise the model escapes (method D) with 1/2 * distinct / total
 to the next shorter context, where every symbol seen in the longer one is excluded; below the empty context all bytes
 left are equal. Counts of shorter contexts follow the update-exclusion rule: an n-gram counts once for each different byte
-before it. As a context's symbols are among those of its suffixes, what is to be excluded is one number for each trie
-node, stored with it, and scoring is a few vectorised look-ups for a byte.
-
-The trie grows with the corpus, so it's neither cut nor broadcast: every n-gram counted stays. N-grams are ordered by their context read
-backwards, so that a context of any length is one stretch of that order, and cut into shards at contexts of ``ORDER`` bytes. Only the
-contexts that are an end of a shard's first context (``ORDER`` for each cut, the `spine`) lie in several shards; their symbols are summed over all shards
-and handed to the shards on both sides of the cut, so each shard is a whole trie for the contexts in it. Blocks of
-documents send their distinct n-grams to the shards and get log probabilities back. A trie in one piece, kept whole or pruned
-to ``max_grams`` for each order (the mass of others goes to the escape of their context), is there for small corpora.
-
-The base score needs the count of every word, a table that grows with the corpus, so it's joined, not broadcast: blocks of
-documents send a row for each distinct word, with its documents and frequencies packed, to the word's count and from there back to
-the block. Hot words cost one row a block, in a join that AQE can split.
-
-Cases: a null or empty text is its end mark alone. Rows that repeat are scored one by one. With nothing to learn from the base score
-is 0 and bytes are equally likely. Other columns are ignored.
+before it. As a context's symbols are among those of its suffixes, what is to be excluded is one number for each context.
+
+The trie grows with the corpus, so it's neither cut nor broadcast: every n-gram counted stays. An n-gram is kept `turned`, its context read
+backwards and then its symbol, so that a context of any length is one stretch of the order, and the order is cut into shards at
+contexts of ``ORDER`` bytes. Only the contexts that are an end of a cut (``ORDER`` for each cut, the `spine`) lie in several
+shards; their symbols are summed over all shards and handed to the shards on both sides, so each shard is a whole trie for
+the contexts in it. The base score needs the count of every word; words are dealt over shards by a hash.
+
+What travels is packed: tasks send each shard one row of sorted n-grams (or words) with counts, and blocks of documents send each shard
+one row of their distinct n-grams (or words) and get one row of log probabilities (or counts) back, so a hot word or n-gram is one
+entry of a task or block. Shards are as many as the corpus has stretches of ``SHARD_BYTES``, ``MAX_SHARDS`` at most, and are copied where
+blocks ask more of one than a task should answer. What the driver holds is a sample of n-grams that places the cuts, and the spine.
+
+Cases: a null or empty text is its end mark alone. Rows that repeat are scored one by one. A text of any length is one block. With nothing to
+learn from the base score is 0 and bytes are equally likely. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,19 +37,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import discard, prepare, remainder, stash
+from tidemill.llm.common import prepare, remainder, stash
 from tidemill.tables import table
 
 ORDER = 6
-SHARD_GRAMS = 400_000
+SHARD_BYTES = 16 << 20
+MAX_SHARDS = 4096
 SHARD_ASKED = 8_000_000
+SAMPLE_BYTES = 8 << 20
 PAD = b"\t" * ORDER
 END = b"\n"
 BLOCK_BYTES = 12 << 20
-_DOC_BITS = 14
+BLOCK_DOCS = 1 << 14
 _CHUNK = 2 << 20
-_SCORED = 1 << 19
-_HEADER = np.dtype([("doc", "<i8"), ("null", "?"), ("held", "?"), ("n", "<i8"), ("score", "<f8")])
+_STEP = 1 << 16
+_SCORED = 1 << 20
+_FLUSH = 2 << 20
+_HEADER = np.dtype([("doc", "<i8"), ("null", "?"), ("held", "?"), ("length", "<i8")])
 
 
 def canonical(texts: pa.Array) -> tuple[pa.ListArray, pa.Array]:
@@ -71,11 +74,6 @@ def word_values(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return values, count
 
 
-def _text(packed: bytes | pa.Buffer, lengths: np.ndarray) -> pa.Buffer:
-    """A block's canonical texts, one after another."""
-    return pa.decompress(packed, decompressed_size=int(lengths.sum()), codec="zstd")
-
-
 def _release() -> None:
     """Give memory of earlier tasks or batches back to the system; a Python worker would hold on to it."""
     pa.default_memory_pool().release_unused()
@@ -85,337 +83,111 @@ def _release() -> None:
         pass
 
 
-def joined_bytes(wholes: pa.Array) -> memoryview:
-    """The texts one after another."""
-    offsets = np.frombuffer(wholes.buffers()[1], np.int32)[wholes.offset : wholes.offset + len(wholes) + 1]
-    return memoryview(wholes.buffers()[2])[offsets[0] : offsets[-1]] if len(wholes) and offsets[-1] > offsets[0] else memoryview(b"")
+def _extent(strings: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets of strings that lie one after another (the first at 0), and their bytes."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64) if len(strings) else np.zeros(1, np.int64)
+    data = memoryview(strings.buffers()[2])[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else memoryview(b"")
+    return offsets - offsets[0], data
 
 
-def gram_keys(buffer: bytes) -> np.ndarray:
-    """For each byte after the first pad, the ORDER bytes before it and itself, as one integer."""
-    b = np.frombuffer(buffer, np.uint8).astype(np.int64)
-    n = len(b) - ORDER
-    key = b[:n].copy()
-    for j in range(1, ORDER + 1):
-        key <<= 8
-        key |= b[j : j + n]
-    return key
+def turned_keys(raw: bytes | memoryview, at: int, upto: int) -> np.ndarray:
+    """For each byte of raw[at:upto], the ORDER bytes before it read backwards and then itself, as one integer."""
+    buffer = (PAD if at < ORDER else b"") + bytes(raw[max(0, at - ORDER) if at >= ORDER else 0 : upto]) + b"\0"
+    start = 0 if at >= ORDER else at
+    seen = np.ndarray((upto - at,), "<i8", buffer, offset=start, strides=(1,))  # eight bytes from each byte on, the first one lowest
+    out = np.empty(upto - at, np.int64)
+    for i in range(0, len(out), _STEP):  # pieces that stay in the cache
+        x = seen[i : i + _STEP]
+        out[i : i + _STEP] = (x & (1 << 8 * ORDER) - 1) << 8 | (x >> 8 * ORDER) & 0xFF
+    return out
 
 
 def _tally(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs (or the sum of its n)."""
     if n is None:
         keys = np.sort(keys)
-    else:
+    elif len(keys) and (keys[1:] < keys[:-1]).any():
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[at], (np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n, at) if len(at) else n)
 
 
-def _gathered(columns: Iterator[pa.Array], least: int) -> Iterator[pa.Array]:
-    """The texts of all columns, cut into arrays of about ``least`` bytes; a longer text is an array of its own."""
-    held: list[pa.Array] = []
-    size = 0
-    for column in columns:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(column):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + least - size, side="right")))
-            held.append(column.slice(at, upto - at))
-            size += int(ends[upto - 1] - (ends[at - 1] if at else 0))
-            at = upto
-            if size >= least or at < len(column):
-                yield pa.concat_arrays(held)
-                held, size = [], 0
-    if held:
-        yield pa.concat_arrays(held)
-
-
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(word, gram, n): counts of words (gram null) and of longest n-grams (word null) over whole texts."""
-    prepare(docs.sparkSession)
-
-    def rows(words: pa.Array | None, grams: np.ndarray | None, n: pa.Array) -> pa.RecordBatch:
-        w = pa.nulls(len(n), pa.binary()) if words is None else words.cast(pa.binary())
-        g = pa.nulls(len(n), pa.int64()) if grams is None else pa.array(grams)
-        return pa.RecordBatch.from_arrays([w, g, n], ["word", "gram", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _release()
-        tallies: list[pa.Table] = []
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        ends = 0
-
-        def add_words(values: pa.Array) -> Iterator[pa.RecordBatch]:
-            found = pc.value_counts(values)
-            tallies.append(pa.table({"word": found.field(0), "n": found.field(1)}))
-            if sum(map(len, tallies)) > 1_500_000:
-                yield from flush_words(500_000)
-
-        def flush_words(least: int) -> Iterator[pa.RecordBatch]:
-            if tallies:
-                merged = pa.concat_tables(tallies).group_by("word").aggregate([("n", "sum")])
-                tallies.clear()
-                if len(merged) <= least:
-                    tallies.append(merged.rename_columns({"n_sum": "n"}))
-                else:
-                    yield rows(merged["word"].combine_chunks(), None, merged["n_sum"].combine_chunks())
-
-        def add_grams(buffer: bytes) -> Iterator[pa.RecordBatch]:
-            keys = gram_keys(buffer)
-            parts.append(_tally(keys[(keys & 0xFF) != PAD[0]]))
-            if sum(len(p[0]) for p in parts) > 3 << 20:
-                parts[:] = [merged_grams()]
-                if len(parts[0][0]) > 2 << 20:
-                    key, n = parts.pop()
-                    yield rows(None, key, pa.array(n))
-
-        def merged_grams() -> tuple[np.ndarray, np.ndarray]:
-            return _tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-
-        for texts in _gathered((b.column(0) for b in batches), _CHUNK):
-            words, wholes = canonical(texts)
-            ends += len(texts)
-            yield from add_words(word_values(words)[0])
-            raw = joined_bytes(wholes)
-            for at in range(0, len(raw), _CHUNK):
-                yield from add_grams((PAD if not at else raw[at - ORDER : at].tobytes()) + raw[at : at + _CHUNK].tobytes())
-        if parts:
-            key, n = merged_grams()
-            yield rows(None, key, pa.array(n))
-        yield from flush_words(0)
-        if ends:
-            yield rows(pa.array([END.decode()]), None, pa.array([ends], pa.int64()))
-
-    return docs.select("text").mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-class Lookup:
-    """Places of distinct non-negative keys: open addressing, probed for whole arrays at a time."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
-        size = 1 << (64 - int(self.shift))
-        self.mask = size - 1
-        self.held = np.full(size, -1, np.int64)
-        self.place = np.zeros(size, np.int32)
-        slot, todo = self._slots(keys), np.arange(len(keys))
-        while len(todo):
-            free = self.held[slot] < 0
-            self.held[slot[free]] = keys[todo[free]]  # of keys that meet in a slot the last stays
-            mine = self.held[slot] == keys[todo]
-            self.place[slot[mine]] = todo[mine]
-            slot, todo = (slot[~mine] + 1) & self.mask, todo[~mine]
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key its place (0 if it has none) and whether it has one."""
-        slot = self._slots(keys)
-        there = self.held[slot]
-        found = there == keys
-        place = np.where(found, self.place[slot], 0)
-        todo = np.flatnonzero(~found & (there >= 0))
-        slot = slot[todo]
-        while len(todo):
-            slot = (slot + 1) & self.mask
-            there = self.held[slot]
-            hit = there == keys[todo]
-            found[todo[hit]] = True
-            place[todo[hit]] = self.place[slot[hit]]
-            more = ~hit & (there >= 0)
-            slot, todo = slot[more], todo[more]
-        return place, found
+def _distinct_grams(raw: bytes | memoryview) -> np.ndarray:
+    """Distinct turned n-grams of canonical texts, in order."""
+    parts = [np.zeros(0, np.int64)]
+    for at in range(0, len(raw), _CHUNK):
+        keys = turned_keys(raw, at, min(len(raw), at + _CHUNK))
+        parts.append(_tally(keys[keys & 0xFF != PAD[0]])[0])
+    return _tally(np.concatenate(parts))[0]
 
 
-@dataclass
-class Level:
-    """Contexts of one length: grams and counts; context keys, totals, pruned mass, distinct symbols, mass to exclude below."""
+def word_shards(words: pa.Array, number: int) -> np.ndarray:
+    """The shard of each word, by a hash of its bytes; words aren't empty."""
+    offsets, data = _extent(words)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    size = np.diff(offsets)
+    powers = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    weighed = (np.frombuffer(data, np.uint8) + np.uint64(1)) * powers[np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)]
+    h = np.add.reduceat(weighed, offsets[:-1])
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(number)).astype(np.int64)
 
-    gram: np.ndarray
-    count: np.ndarray
-    ctx: np.ndarray
-    total: np.ndarray
-    pruned: np.ndarray
-    distinct: np.ndarray
-    below: np.ndarray
 
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
 
-def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
-    return at, sorted_[at] == keys
 
+def _unsqueeze(packed: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).reshape(-1).view(np.int64)
 
-class Trie:
-    """The fitted model; levels[k] has the contexts of k bytes.
-
-    Nodes of all levels are numbered through. What an escape costs depends on the context it starts from alone, so costs are summed along the
-    chain of ever shorter contexts once, when the trie is made; a symbol is then scored from its longest known n-gram and the longest
-    known context, which the n-gram of the symbol before points to.
-    """
-
-    def __init__(self, levels: list[Level]) -> None:
-        self.levels = levels
-        self.grams = [Lookup(level.gram) for level in levels]
-        self.gram_start = np.cumsum([0, *[len(level.gram) for level in levels]])
-        self.ctx_start = np.cumsum([0, *[len(level.ctx) for level in levels]])
-        with np.errstate(divide="ignore"):
-            self._join(levels)
-
-    def _join(self, levels: list[Level]) -> None:
-        ctx_level, shorter, escape, chain, among = [], [], [], [], []
-        gram_level, alone, own, longest = [], [], [], []
-        for k, level in enumerate(levels):
-            n = len(level.ctx)
-            ctx_level.append(np.full(n, k, np.int8))
-            escape.append(np.log10((level.pruned + 0.5 * level.distinct) / level.total))
-            if k and n:
-                low = levels[k - 1]
-                at, _ = _find(low.ctx, level.ctx & ((1 << 8 * (k - 1)) - 1))
-                left = low.total[at] - level.below  # counts of the shorter context without the symbols seen here
-                cost = np.log10((low.pruned[at] + 0.5 * (low.distinct[at] - level.distinct)) / np.maximum(left, 1))
-                shorter.append(self.ctx_start[k - 1] + at)
-                chain.append(np.where(left > 0, cost, 0.0) + chain[k - 1][at])
-                among.append(np.log10(np.maximum(left, 1)))
-            else:
-                for x in (shorter, chain, among):
-                    x.append(np.zeros(n))
-            of, _ = _find(level.ctx, level.gram >> 8)
-            gram_level.append(np.full(len(level.gram), k, np.int8))
-            alone.append(np.log10(level.count - 0.5))
-            own.append(alone[k] - np.log10(level.total[of]) if n else alone[k])
-            suffix = longest[k - 1][_find(levels[k - 1].gram, level.gram & ((1 << 8 * k) - 1))[0]] if k and n else np.zeros(len(level.gram), np.int64)
-            at, there = _find(levels[k + 1].ctx, level.gram) if k < ORDER else (0, np.zeros(len(level.gram), bool))
-            longest.append(np.where(there, self.ctx_start[min(k + 1, ORDER)] + at, suffix))
-        join = lambda parts, kind: np.concatenate(parts).astype(kind)
-        self.ctx_level, self.shorter = join(ctx_level, np.int8), join(shorter, np.int32)
-        self.escape, self.chain, self.among = join(escape, float), join(chain, float), join(among, float)
-        self.gram_level, self.longest = join(gram_level, np.int8), join(longest, np.int32)
-        self.alone, self.own = join(alone, float), join(own, float)
-
-    @classmethod
-    def build(cls, grams: dict[int, tuple[np.ndarray, np.ndarray]], contexts: dict[int, tuple[np.ndarray, np.ndarray]]) -> Trie:
-        """grams[k]: kept (key, count) of k + 1 bytes; contexts[k]: (key of k bytes, count with all that was pruned)."""
-        levels: list[Level] = []
-        for k in range(ORDER + 1):
-            key, count = grams[k]
-            ctx, start, distinct = np.unique(key >> 8, return_index=True, return_counts=True)
-            kept = np.add.reduceat(count, start) if len(start) else count
-            at, _ = _find(contexts[k][0], ctx)
-            total = contexts[k][1][at] if len(ctx) else kept
-            if k and len(start):
-                lower, _ = _find(levels[k - 1].gram, key & ((1 << 8 * k) - 1))
-                below = np.add.reduceat(levels[k - 1].count[lower], start)
-            else:
-                below = np.zeros(len(ctx), np.int64)
-            levels.append(Level(key, count, ctx, total, total - kept, distinct, below))
-        return cls(levels)
-
-    def _context(self, keys: np.ndarray) -> np.ndarray:
-        """The longest known context of each key, looked up."""
-        out, todo = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for k in range(ORDER, 0, -1):
-            at, there = _find(self.levels[k].ctx, (keys[todo] >> 8) & ((1 << 8 * k) - 1))
-            out[todo[there]] = self.ctx_start[k] + at[there]
-            todo = todo[~there]
-        return out
 
-    def log10(self, keys: np.ndarray, apart: bool = False) -> np.ndarray:
-        """Log probability of the last byte of each key after the others; keys are of neighbouring bytes, or ``apart``."""
-        if not len(self.ctx_level) or not len(keys):
-            return np.full(len(keys), -np.log10(256))
-        gram, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for k in range(ORDER, -1, -1):
-            at, seen = self.grams[k].find(keys[todo] & ((1 << 8 * (k + 1)) - 1))
-            gram[todo[seen]] = self.gram_start[k] + at[seen]
-            todo = todo[~seen]
-        known = gram >= 0
-        level = np.where(known, self.gram_level[gram], -1)
-        context = np.zeros(len(keys), np.int64)
-        if apart:
-            context = self._context(keys)
-        else:
-            context[1:] = np.where(known[:-1], self.longest[gram[:-1]], 0)
-            first = np.append(0, np.flatnonzero((keys[1:] >> 8) & 0xFF == PAD[0]) + 1)  # a pad is no symbol, so nothing points on from it
-            context[first] = self._context(keys[first])
-        out = self.own[gram]
-        fell = np.flatnonzero(level < self.ctx_level[context])
-        over, want = context[fell], level[fell] + 1
-        far = np.flatnonzero(self.ctx_level[over] > want)
-        while len(far):
-            over[far] = self.shorter[over[far]]
-            far = far[self.ctx_level[over[far]] > want[far]]
-        symbol = np.where(want > 0, self.alone[gram[fell]] - self.among[over], 0.0)
-        out[fell] = self.escape[context[fell]] + self.chain[context[fell]] - self.chain[over] + symbol
-        lost = np.flatnonzero(~known)
-        if len(lost):
-            at_root = self.ctx_level[context[lost]] == 0
-            out[lost[at_root]] = self.escape[0]
-            out[lost] -= np.log10(256 - self.levels[0].distinct[0])
-        return out
+def _frame(*parts: bytes) -> bytes:
+    """Parts in one value."""
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
-    def scores(self, raw: bytes | memoryview, lengths: np.ndarray) -> np.ndarray:
-        """Log probabilities of canonical texts that lie one after another (each ends with END and a pad)."""
-        out = np.zeros(len(lengths))
-        starts = np.cumsum(lengths) - lengths
-        for at in range(0, len(raw), _SCORED):
-            upto = min(len(raw), at + _SCORED)
-            keys = gram_keys((PAD if not at else bytes(raw[at - ORDER : at])) + bytes(raw[at:upto]))
-            logs = self.log10(keys)
-            logs[(keys & 0xFF) == PAD[0]] = 0.0
-            first, stop = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, upto, side="left")
-            out[first:stop] += np.add.reduceat(logs, np.maximum(starts[first:stop] - at, 0))
-        return out
 
+def _parts(framed: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(framed):
+        size = int.from_bytes(framed[at : at + 8], "little")
+        out.append(framed[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
 
-def fit(counts: DataFrame, max_grams: int | None = None) -> Trie:
-    """The trie of the longest n-grams' counts in one piece, for small corpora; shorter ones are their sums. All stay unless ``max_grams`` is given."""
-    longest = counts.where("gram is not null")
-    size = longest.agg(F.sum("n")).first()[0] or 0
-    floor = max(1, -(-size // max_grams)) if max_grams else 1
-    orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
-    every = longest.select("gram", "n", orders.alias("k")).select("k", F.expr("gram & (shiftleft(1L, 8 * (k + 1)) - 1)").alias("gram"), "n").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    every = stash(every)
-    longer = every.where("k > 0").groupBy((F.col("k") - 1).alias("k"), F.expr("gram & (shiftleft(1L, 8 * k) - 1)").alias("gram")).agg(F.count("*").alias("c"))
-    every = stash(every.join(longer, ["k", "gram"], "left").select("k", "gram", "n", F.coalesce("c", "n").alias("c")))  # without a longer one: ORDER
-    kept = every.where(F.col("n") >= floor).select("k", "gram", F.col("c").alias("n")).toArrow()
-    contexts = every.groupBy("k", F.shiftright("gram", 8).alias("ctx")).agg(F.sum("c").alias("n"), F.max("n").alias("most")).where(F.col("most") >= floor).select("k", "ctx", "n").toArrow()
-
-    def split(t: pa.Table, key: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        k, v, n = t["k"].to_numpy(), t[key].to_numpy(), t["n"].to_numpy()
-        out = {}
-        for o in range(ORDER + 1):
-            mine = np.flatnonzero(k == o)
-            mine = mine[np.argsort(v[mine], kind="stable")]
-            out[o] = (v[mine], n[mine])
-        return out
 
-    return Trie.build(split(kept, "gram"), split(contexts, "ctx"))
+def _pack_grams(turns: np.ndarray, n: np.ndarray | None = None) -> bytes:
+    """Sorted n-grams as differences, and their counts, if given."""
+    return _frame(len(turns).to_bytes(8, "little"), _squeeze(np.diff(turns, prepend=0)), *([] if n is None else [_squeeze(n)]))
 
 
-def turned(keys: np.ndarray) -> np.ndarray:
-    """Keys with the bytes of the context in reverse order, the symbol last; turns them back, too."""
-    return (keys.astype(np.int64).byteswap() & 0x00FFFFFFFFFFFF00) | (keys & 0xFF)
+def _unpack_grams(packed: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    size, turns, *n = _parts(packed)
+    length = int.from_bytes(size, "little")
+    return np.cumsum(_unsqueeze(turns, length)), _unsqueeze(n[0], length) if n else None
 
 
-def _pack(turns: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte by byte."""
-    return len(turns).to_bytes(8, "little") + pa.compress(np.diff(turns, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+def _pack_words(words: pa.Array, n: np.ndarray | None = None) -> bytes:
+    """Words (which hold no white space) on lines, and their counts, if given."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_buffer()
+    return _frame(len(words).to_bytes(8, "little"), len(joined).to_bytes(8, "little"), pa.compress(joined, codec="zstd", asbytes=True), *([] if n is None else [_squeeze(n)]))
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    n = int.from_bytes(packed[:8], "little")
-    if not n:
-        return np.zeros(0, np.int64)
-    raw = pa.decompress(packed[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).reshape(-1).view(np.int64))
+def _unpack_words(packed: bytes) -> tuple[pa.Array, np.ndarray | None]:
+    size, length, joined, *n = _parts(packed)
+    text = pa.decompress(joined, decompressed_size=int.from_bytes(length, "little"), codec="zstd", asbytes=True)
+    whole = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int32)), pa.py_buffer(text)])
+    words = pc.split_pattern(whole, "\n").flatten()
+    return words, _unsqueeze(n[0], int.from_bytes(size, "little")) if n else None
 
 
 def _shorter(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Turned n-grams (context, symbol) without the first byte of their text, and how many each came from."""
+    """Turned n-grams without the first byte of their text, and how many each came from."""
     return _tally(grams >> 16 << 8 | grams & 0xFF)
 
 
@@ -453,189 +225,262 @@ def resolved(parts: list[Spine]) -> Spine:
     return {c: (np.flatnonzero(n), n[np.flatnonzero(n)]) for c, n in sums.items()}
 
 
-def shard_trie(turns: np.ndarray, n: np.ndarray, spine: Spine) -> Trie:
-    """The trie of the contexts in a shard, with the spine at its ends."""
-    grams, contexts = {}, {}
-    for k in range(ORDER, -1, -1):
-        if k < ORDER:
-            turns, n = _shorter(turns)
-            for c in [c for length, c in spine if length == k]:
-                at, upto = np.searchsorted(turns, [c << 8, (c + 1) << 8])
-                symbols, own = spine[k, c]
-                turns = np.concatenate((turns[:at], c << 8 | symbols, turns[upto:]))
-                n = np.concatenate((n[:at], own, n[upto:]))
-        keys = turned(turns << 8 * (ORDER - k) & ~0xFF | turns & 0xFF) & ((1 << 8 * (k + 1)) - 1)
-        order = np.argsort(keys, kind="stable")
-        grams[k] = (keys[order], n[order])
-        ctx, start = np.unique(grams[k][0] >> 8, return_index=True)
-        contexts[k] = (ctx, np.add.reduceat(grams[k][1], start) if len(start) else np.zeros(0, np.int64))
-    return Trie.build(grams, contexts)
+def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its place and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return at, sorted_[at] == keys
+
+
+@dataclass
+class Level:
+    """Contexts of one length: turned n-grams and counts; contexts, their totals and numbers of symbols, and what their symbols count in the shorter context."""
+
+    gram: np.ndarray
+    count: np.ndarray
+    ctx: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+    below: np.ndarray
+
+
+class Trie:
+    """The model of a shard's contexts; levels[k] has those of k bytes."""
+
+    def __init__(self, turns: np.ndarray, n: np.ndarray, spine: Spine | None = None) -> None:
+        grams = {}
+        for k in range(ORDER, -1, -1):
+            if k < ORDER:
+                turns, n = _shorter(turns)
+                for c in [c for length, c in spine or () if length == k]:
+                    at, upto = np.searchsorted(turns, [c << 8, (c + 1) << 8])
+                    symbols, own = spine[k, c]
+                    turns = np.concatenate((turns[:at], c << 8 | symbols, turns[upto:]))
+                    n = np.concatenate((n[:at], own, n[upto:]))
+            grams[k] = (turns, n)
+        self.levels: list[Level] = []
+        for k in range(ORDER + 1):
+            gram, count = grams[k]
+            ctx, start, distinct = np.unique(gram >> 8, return_index=True, return_counts=True)
+            total = below = np.zeros(0, np.int64)
+            if len(start):
+                total = below = np.add.reduceat(count, start)
+            if k and len(start):
+                suffix, _ = _find(grams[k - 1][0], gram >> 16 << 8 | gram & 0xFF)
+                below = np.add.reduceat(grams[k - 1][1][suffix], start)
+            self.levels.append(Level(gram, count, ctx, total, distinct, below))
+
+    def log10(self, turns: np.ndarray) -> np.ndarray:
+        """Log probability of each turned n-gram's symbol after its context; fastest in order."""
+        out = np.zeros(len(turns))
+        todo = np.arange(len(turns))
+        longer = np.full(len(turns), -1, np.int64)  # place of the next longer context, where it is known
+        for k in range(ORDER, -1, -1):
+            level, keys = self.levels[k], turns[todo]
+            context = keys >> 8 * (ORDER + 1 - k)
+            at, known = _find(level.ctx, context)
+            gram, seen = _find(level.gram, context << 8 | keys & 0xFF)
+            total, distinct = np.where(known, level.total[at] if len(level.ctx) else 0, 0), np.where(known, level.distinct[at] if len(level.ctx) else 0, 0)
+            after = np.flatnonzero(longer >= 0)
+            if len(after):
+                above = self.levels[k + 1]
+                total[after] -= above.below[longer[after]]
+                distinct[after] -= above.distinct[longer[after]]
+            left = total > 0  # of what the longer context hasn't excluded
+            weight = 0.5 * distinct
+            weight[seen] = level.count[gram[seen]] - 0.5
+            out[todo[left]] += np.log10(weight[left] / total[left])
+            todo, longer = todo[~seen], np.where(known, at, -1)[~seen]
+            if not len(todo):
+                return out
+        out[todo] -= np.log10(256 - len(self.levels[0].gram))
+        return out
 
 
 @dataclass
-class Shards:
-    """The whole trie: rows (shard, block, post) with block -2 for a shard's spine and -1 for its n-grams; cuts between shards."""
+class Model:
+    """Rows (shard, post) of the trie's shards and, after them, of the words'; cuts of the trie; tokens, distinct ones and end marks learned."""
 
     rows: DataFrame
     cuts: np.ndarray
+    shards: int
+    tokens: int
+    distinct: int
+    ends: int
 
 
-def fit_shards(counts: DataFrame, shard_grams: int = SHARD_GRAMS) -> Shards:
-    """The trie of all n-grams, in as many shards as they need."""
-    spark = prepare(counts.sparkSession)
-    longest = counts.where("gram is not null").select("gram", "n")
-    size, total = longest.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    blocks = max(1, total / BLOCK_BYTES)  # about as many blocks ask for an n-gram as it's frequent, up to all
-    share = max(1, size // 400_000)
-    sample = longest.where(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0).toArrow()  # places the cuts only; 400,000 rows or so
-    turns, n = turned(sample["gram"].to_numpy()), sample["n"].to_numpy()
-    order = np.argsort(turns, kind="stable")
-    asked = blocks * -np.expm1(-n[order] / blocks)
-    wanted = max(size / shard_grams, asked.sum() * share / SHARD_ASKED)
-    number = max(1, int(np.ceil(wanted)))
-    load = np.cumsum(1 / max(1, len(asked)) + asked / max(1, asked.sum()))  # half for n-grams kept, half for those asked
-    cuts = np.unique(turns[order][np.searchsorted(load, load[-1] * np.arange(1, number) / number)] & ~0xFF) if number > 1 else np.zeros(0, np.int64)
-    ends = spark.sparkContext.broadcast(cuts)  # one number for each shard
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = turned(batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(ends.value, t, side="right")), pa.array(t), batch.column(1)], ["shard", "turn", "n"])
-
-    def packed(t: pa.Table) -> pa.Table:
-        shard, turns, n = t["shard"][0].as_py(), t["turn"].to_numpy(), t["n"].to_numpy()
-        order = np.argsort(turns, kind="stable")
-        spine = spine_counts(turns[order], spine_of(ends.value[max(0, shard - 1) : shard + 1].tolist()))
-        rows = [(-2, pickle.dumps(spine)), (-1, _pack(turns[order])), (0, pa.compress(n[order].tobytes(), codec="zstd", asbytes=True))]
-        return pa.table([pa.array([shard] * 3, pa.int64()), pa.array([b for b, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], ["shard", "block", "post"])
-
-    held = stash(longest.mapInArrow(dealt, "shard long, turn long, n long").groupBy("shard").applyInArrow(packed, "shard long, block long, post binary"))
-    parts = [pickle.loads(r.post) for r in held.where("block = -2").select("post").collect()]  # ORDER contexts of 256 symbols at most for a cut
-    spine = resolved(parts)
-    own = [(i, -3, pickle.dumps({c: spine[c] for c in spine_of(cuts[max(0, i - 1) : i + 1].tolist()) if c in spine})) for i in range(len(cuts) + 1)]
-    rows = held.where("block > -2").withColumn("block", F.col("block") - 1)
-    return Shards(spark.createDataFrame(own, "shard long, block long, post binary").unionByName(rows), cuts)
-
-
-def _asked(text: bytes | memoryview) -> np.ndarray:
-    """Distinct n-grams of a block, turned and in order."""
-    parts = []
-    for at in range(0, len(text), _CHUNK):
-        keys = gram_keys((PAD if not at else bytes(text[at - ORDER : at])) + bytes(text[at : at + _CHUNK]))
-        parts.append(_tally(turned(keys[(keys & 0xFF) != PAD[0]]))[0])
-    return _tally(np.concatenate(parts))[0] if parts else np.zeros(0, np.int64)
-
-
-def _answers(packed: DataFrame, model: Shards) -> DataFrame:
-    """(block, part, post): what a block asked of a shard and the log probabilities."""
-    spark = packed.sparkSession
-    ends = spark.sparkContext.broadcast(model.cuts)
+def _gathered(columns: Iterator[pa.Array], least: int) -> Iterator[pa.Array]:
+    """The texts of all columns, cut into arrays of about ``least`` bytes; a longer text is an array of its own."""
+    held: list[pa.Array] = []
+    size = 0
+    for column in columns:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(column):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + least - size, side="right")))
+            held.append(column.slice(at, upto - at))
+            size += int(ends[upto - 1] - (ends[at - 1] if at else 0))
+            at = upto
+            if size >= least or at < len(column):
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _cuts(docs: DataFrame, size: int, shards: int, sample_bytes: int) -> np.ndarray:
+    """Contexts that cut the order of n-grams into about equal parts of what a block of documents asks; a sample of documents places them."""
+    if shards == 1:
+        return np.zeros(0, np.int64)
+    share = max(1, size // sample_bytes)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(share)) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _gathered((b.column(0) for b in batches), _CHUNK):
+            grams = _distinct_grams(_extent(canonical(texts)[1])[1])
+            yield pa.RecordBatch.from_arrays([pa.array(grams[(grams * 0x9E3779B97F4A7C1 >> 40) % 16 == 0])], ["turn"])
+
+    turns = np.unique(some.mapInArrow(run, "turn long").toArrow()["turn"].to_numpy())
+    return np.unique(turns[len(turns) * np.arange(1, shards) // shards] & ~0xFF) if len(turns) else np.zeros(0, np.int64)
+
+
+def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES, max_shards: int = MAX_SHARDS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model of all n-grams and words of docs; doc_id and text are read."""
+    spark = prepare(docs.sparkSession)
+    ends, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = min(max_shards, max(1, -(-size // shard_bytes)))
+    cuts = _cuts(docs, size, shards, sample_bytes)
+    shards = len(cuts) + 1
+    shared = spark.sparkContext.broadcast(cuts)  # one number for each shard
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _release()
-        for batch in batches:
-            for block, lengths, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                turns = _asked(memoryview(_text(text.as_buffer(), np.frombuffer(lengths.as_buffer(), np.int64))))
-                at = np.concatenate(([0], np.searchsorted(turns, ends.value), [len(turns)]))
-                shards = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.full(len(shards), block, np.int64)), pa.array([_pack(turns[at[i] : at[i + 1]]) for i in shards], pa.binary())], ["shard", "block", "post"])
+        tallies: list[pa.Table] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, trie, spine, turns, n = None, None, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for shard, block, post in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if shard != now:
-                    now, trie, spine, turns, n = shard, None, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    _release()
-                if block == -3:
-                    spine = pickle.loads(post)
-                elif block == -2:
-                    turns = _unpack(post)
-                elif block == -1:
-                    n = np.frombuffer(pa.decompress(post, decompressed_size=8 * len(turns), codec="zstd", asbytes=True), np.int64)
-                else:
-                    trie = trie or shard_trie(turns, n, spine)
-                    keys = turned(_unpack(post))
-                    logs = np.concatenate([trie.log10(keys[at : at + _SCORED], apart=True) for at in range(0, len(keys), _SCORED)])
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int64()), pa.array([len(post).to_bytes(8, "little") + post + pa.compress(logs.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["block", "part", "post"])
+        def rows(number: np.ndarray, posts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(posts, pa.binary())], ["shard", "post"])
 
-    asked = packed.select("block", "lengths", "text").mapInArrow(ask, "shard long, block long, post binary")
-    dealt = model.rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "block")  # a shard's trie comes before what is asked of it
-    return dealt.mapInArrow(answer, "block long, part long, post binary")
+        def flush_words(least: int) -> Iterator[pa.RecordBatch]:
+            merged = pa.concat_tables(tallies).group_by("word").aggregate([("n", "sum")]) if tallies else pa.table({"word": [], "n_sum": []})
+            tallies.clear()
+            if len(merged) <= least:
+                tallies.append(merged.rename_columns({"n_sum": "n"}))
+                return
+            words, n = merged["word"].combine_chunks(), merged["n_sum"].to_numpy()
+            for s, here in _by_shard(word_shards(words, shards)):
+                yield rows(np.array([shards + s]), [_pack_words(words.take(pa.array(here)), n[here])])
+
+        def flush_grams() -> Iterator[pa.RecordBatch]:
+            turns, n = parts.pop()
+            at = np.concatenate(([0], np.searchsorted(turns, shared.value), [len(turns)]))
+            some = np.flatnonzero(np.diff(at))
+            yield rows(some, [_pack_grams(turns[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for i in some])
 
+        for texts in _gathered((b.column(0) for b in batches), _CHUNK):
+            words, wholes = canonical(texts)
+            found = pc.value_counts(word_values(words)[0])
+            tallies.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            if sum(map(len, tallies)) > 3 * _FLUSH // 4:
+                yield from flush_words(_FLUSH // 4)
+            raw = _extent(wholes)[1]
+            for at in range(0, len(raw), _CHUNK):
+                keys = turned_keys(raw, at, min(len(raw), at + _CHUNK))
+                parts.append(_tally(keys[keys & 0xFF != PAD[0]]))
+                if sum(len(p[0]) for p in parts) > 3 * _FLUSH // 2:
+                    parts[:] = [_merged(parts)]
+                    if len(parts[0][0]) > _FLUSH:
+                        yield from flush_grams()
+        if parts:
+            parts[:] = [_merged(parts)]
+            yield from flush_grams()
+        yield from flush_words(0)
 
-def _answered(posts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct n-grams and their log probabilities, of answers in order of the shards."""
-    turns, logs = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for post in posts:
-        size = 8 + int.from_bytes(post[:8], "little")
-        turns.append(_unpack(post[8:size]))
-        logs.append(np.frombuffer(pa.decompress(post[size:], decompressed_size=8 * len(turns[-1]), codec="zstd", asbytes=True)))
-    return np.concatenate(turns), np.concatenate(logs)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
+        now, parts, tallies = None, [], []
 
+        def tallied() -> pa.Table:
+            return pa.concat_tables(tallies).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
-def _summed(text: bytes | memoryview, lengths: np.ndarray, turns: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """Log probabilities of a block's documents from those of its distinct n-grams."""
-    out = np.zeros(len(lengths))
-    starts = np.cumsum(lengths) - lengths
-    for at in range(0, len(text), _SCORED):
-        upto = min(len(text), at + _SCORED)
-        keys = gram_keys((PAD if not at else bytes(text[at - ORDER : at])) + bytes(text[at:upto]))
-        real = np.flatnonzero((keys & 0xFF) != PAD[0])
-        wanted = turned(keys[real])
-        order = np.argsort(wanted)  # in order the search stays in the cache
-        each = np.zeros(len(keys))
-        each[real[order]] = logs[np.searchsorted(turns, wanted[order])]
-        first, stop = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, upto, side="left")
-        out[first:stop] += np.add.reduceat(each, np.maximum(starts[first:stop] - at, 0))
-    return out
+        def done() -> pa.RecordBatch:
+            if now < shards:
+                turns, n = _merged(parts)
+                spine = spine_counts(turns, spine_of(shared.value[max(0, now - 1) : now + 1].tolist()))
+                row = (now, len(turns), int(n.sum()), _pack_grams(turns, n), pickle.dumps(spine))
+            else:
+                whole = tallied()
+                n = whole["n"].to_numpy()
+                row = (now, len(n), int(n.sum()), _pack_words(whole["word"].combine_chunks(), n), None)
+            parts.clear()
+            tallies.clear()
+            _release()
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "size", "total", "post", "spine"])
 
+        for batch in batches:
+            for shard, post in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield done()
+                    now = shard
+                if shard < shards:
+                    parts.append(_unpack_grams(post.as_py()))
+                    if sum(len(p[0]) for p in parts) > max(_FLUSH, 2 * len(parts[0][0])):
+                        parts[:] = [_merged(parts)]
+                else:
+                    words, n = _unpack_words(post.as_py())
+                    tallies.append(pa.table({"word": words, "n": n}))
+                    if sum(map(len, tallies)) > max(_FLUSH // 2, 2 * len(tallies[0])):
+                        tallies[:] = [tallied()]
+        if now is not None:
+            yield done()
+
+    counted = docs.select("text").mapInArrow(count, "shard long, post binary")
+    dealt = counted.repartition("shard").sortWithinPartitions("shard")
+    held = stash(dealt.mapInArrow(merge, "shard long, size long, total long, post binary, spine binary"))
+    spark.sparkContext._jvm.System.gc()  # Spark removes a shuffle's files once nothing refers to it, and a small driver heap may not be collected for long
+    words, tokens = held.where(F.col("shard") >= shards).agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    rows = held.select("shard", F.lit(-1).cast("long").alias("block"), "post")
+    if shards > 1:
+        parts = [pickle.loads(r.spine) for r in held.where("spine is not null").select("spine").collect()]  # ORDER contexts of 256 symbols at most on each side of a cut
+        spine = resolved(parts)
+        own = [(i, -2, bytearray(pickle.dumps({c: spine[c] for c in spine_of(cuts[max(0, i - 1) : i + 1].tolist()) if c in spine}))) for i in range(shards)]
+        rows = rows.unionByName(spark.createDataFrame(own, "shard long, block long, post binary"))
+    return Model(rows, cuts, shards, tokens + ends, words + (ends > 0), ends)
 
-def _packed(docs: np.ndarray, words: np.ndarray, n_words: int) -> pa.Array:
-    """For each word, its (document, frequency) pairs in 4 bytes each."""
-    pair, tf = _tally(words.astype(np.int64) << _DOC_BITS | docs)
-    most = (1 << 32 - _DOC_BITS) - 1
-    if len(tf) and tf.max() > most:  # several entries
-        times = -(-tf // most)
-        pair = np.repeat(pair, times)
-        full = np.full(len(pair), most)
-        full[np.cumsum(times) - 1] = tf - (times - 1) * most
-        tf = full
-    post = (tf.astype(np.uint32) << np.uint32(_DOC_BITS)) | (pair & ((1 << _DOC_BITS) - 1)).astype(np.uint32)
-    ends = np.cumsum(np.bincount(pair >> _DOC_BITS, minlength=n_words)) * 4
-    return pa.BinaryArray.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(post)])
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return parts[0] if len(parts) == 1 else _tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with the places it has, in order."""
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], shard[order][1:] != shard[order][:-1], [True]))) if len(shard) else np.zeros(1, np.int64)
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        yield int(shard[order[i]]), order[i:j]
 
-def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; docs has doc_id, held_out and text."""
-    spark = prepare(docs.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # rows of blocks are MB each
-    whole = isinstance(model, Trie)
-    shared = spark.sparkContext.broadcast(model) if whole else None
-    distinct, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block, header (a document's id, split and length each) and compressed canonical texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _release()
         task = TaskContext.get().partitionId()
         number = 0
         held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            block = task << 24 | number
             docs_ = pa.Table.from_batches(held).combine_chunks()
-            words, wholes = canonical(docs_["text"].combine_chunks())
-            count = word_values(words)[1]
-            header = np.zeros(len(count), _HEADER)
+            offsets, raw = _extent(canonical(docs_["text"].combine_chunks())[1])
+            header = np.zeros(len(docs_), _HEADER)
             header["doc"] = pc.fill_null(docs_["doc_id"], 0).to_numpy()
             header["null"] = docs_["doc_id"].is_null().to_numpy()
             header["held"] = docs_["held_out"].to_numpy()
-            header["n"] = count + 1
-            lengths = np.diff(np.frombuffer(wholes.buffers()[1], np.int32)[wholes.offset : wholes.offset + len(wholes) + 1].astype(np.int64))
-            if whole:
-                header["score"] = shared.value.scores(joined_bytes(wholes), lengths)
-            text = pa.compress(joined_bytes(wholes), codec="zstd", asbytes=True)
-            cols = [pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (header.tobytes(), lengths.tobytes(), text)]]
-            return pa.RecordBatch.from_arrays(cols, ["block", "header", "lengths", "text"])
+            header["length"] = np.diff(offsets)
+            cols = [pa.array([task << 24 | number], pa.int64()), pa.array([header.tobytes()], pa.binary()), pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["block", "header", "text"])
 
         size = rows = 0
         for batch in batches:
@@ -643,10 +488,10 @@ def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataF
             at = 0
             while at < batch.num_rows:
                 base = ends[at - 1] if at else 0
-                upto = min(max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES - size, side="right"))), at + (1 << _DOC_BITS) - rows, batch.num_rows)
+                upto = min(max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES - size, side="right"))), at + BLOCK_DOCS - rows, batch.num_rows)
                 held.append(batch.slice(at, upto - at))
                 size, rows, at = size + int(ends[upto - 1] - base), rows + upto - at, upto
-                if size >= BLOCK_BYTES or rows >= 1 << _DOC_BITS or at < batch.num_rows:
+                if size >= BLOCK_BYTES or rows >= BLOCK_DOCS or at < batch.num_rows:
                     yield flush()
                     number += 1
                     held.clear()
@@ -655,48 +500,155 @@ def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataF
         if held:
             yield flush()
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "block long, header binary, text binary")
+
+
+def _opened(header: bytes, text: bytes | pa.Buffer) -> tuple[np.ndarray, memoryview]:
+    """A block's documents and its canonical texts, one after another."""
+    docs = np.frombuffer(header, _HEADER)
+    return docs, memoryview(pa.decompress(text, decompressed_size=int(docs["length"].sum()), codec="zstd"))
+
+
+def _block_words(docs: np.ndarray, raw: memoryview, shards: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct words, their shards, the number of each word in the text, and how many words each document has."""
+    offsets = np.concatenate(([0], np.cumsum(docs["length"]))).astype(np.int32)
+    values, count = word_values(canonical(pa.Array.from_buffers(pa.string(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))[0])
+    found = values.dictionary_encode()
+    return found.dictionary, word_shards(found.dictionary, shards), found.indices.to_numpy(), count
+
+
+def _answers(packed: DataFrame, model: Model, asked: int) -> DataFrame:
+    """(block, shard, post): what each shard answers to a block, in the order of what the block asked."""
+    spark = packed.sparkSession
+    shared = spark.sparkContext.broadcast(model.cuts)
+    shards = model.shards
+    blocks = packed.count()
+    copies = max(1, int(np.ceil(blocks * (BLOCK_BYTES / 8) / shards / asked)))  # about an eighth of a block's bytes are distinct n-grams
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _release()
         for batch in batches:
-            for i, block in enumerate(batch.column(0).to_pylist()):
-                lengths, text = np.frombuffer(batch.column(1)[i].as_py(), np.int64), batch.column(2)[i].as_buffer()
-                text = _text(text, lengths)
-                values, count = word_values(canonical(pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), text]))[0])
-                found = values.dictionary_encode()
-                distinct = len(found.dictionary)
-                number_of = np.concatenate((found.indices.to_numpy(), np.full(len(count), distinct)))  # END comes after all words
-                post = _packed(np.concatenate((np.repeat(np.arange(len(count)), count), np.arange(len(count)))), number_of, distinct + 1)
-                names = pa.concat_arrays([found.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block, np.int64)), names, post], ["block", "word", "post"])
-
-    packed = stash(docs.select("doc_id", "held_out", "text").mapInArrow(blocks, "block long, header binary, lengths binary, text binary"))
-    sent = packed.select("block", "lengths", "text").mapInArrow(words_of, "block long, word binary, post binary")
-    back = sent.join(vocabulary.select("word", "n"), "word").select("block", F.lit(-1).cast("long").alias("part"), "post", "n")
-    for part, name in ((-2, "header"), *([] if whole else [(-3, "lengths"), (-4, "text")])):
-        back = back.unionByName(packed.select("block", F.lit(part).cast("long").alias("part"), F.col(name).alias("post"), F.lit(None).cast("long").alias("n")))
-    if not whole:
-        back = back.unionByName(_answers(packed, model).withColumn("n", F.lit(None).cast("long")))
-    floor = float(np.log10(tokens + distinct + 1))
+            for block, header, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                docs, raw = _opened(header.as_py(), text.as_buffer())
+                turns = _distinct_grams(raw)
+                at = np.concatenate(([0], np.searchsorted(turns, shared.value), [len(turns)]))
+                some = np.flatnonzero(np.diff(at))
+                posts = [(i, _pack_grams(turns[at[i] : at[i + 1]])) for i in some.tolist()]
+                del turns
+                words, shard, _, _ = _block_words(docs, raw, shards)
+                posts += [(shards + s, _pack_words(words.take(pa.array(here)))) for s, here in _by_shard(shard)]
+                copy = block % copies
+                yield pa.RecordBatch.from_arrays([pa.array([i * copies + copy for i, _ in posts], pa.int64()), pa.array([block] * len(posts), pa.int64()), pa.array([p for _, p in posts], pa.binary())], ["key", "block", "post"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
+        now, trie, spine, held, waiting, size = None, None, {}, None, [], 0
+
+        def words_answered() -> Iterator[pa.RecordBatch]:
+            """Many blocks at a time, as each look-up lays out the shard's words anew."""
+            nonlocal size
+            if waiting:
+                sought = [w for _, w in waiting]
+                at = pc.index_in(pa.concat_arrays(sought), value_set=held[0]) if held else pa.nulls(sum(map(len, sought)), pa.int32())
+                n = np.append(held[1] if held else np.zeros(0, np.int64), 0)[pc.fill_null(at, len(held[0]) if held else 0).to_numpy()]
+                ends = np.cumsum([0, *map(len, sought)])
+                for (block, _), i, j in zip(waiting, ends[:-1], ends[1:], strict=True):
+                    yield reply(block, _squeeze(n[i:j]))
+                waiting.clear()
+                size = 0
+
+        def reply(block: int, post: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([now // copies], pa.int64()), pa.array([post], pa.binary())], ["block", "shard", "post"])
+
+        for batch in batches:
+            for key, block, post in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if key != now:
+                    yield from words_answered()
+                    now, trie, spine, held = key, None, {}, None
+                    _release()
+                post = post.as_py()
+                if key // copies >= shards:
+                    if block == -1:
+                        held = _unpack_words(post)
+                    else:
+                        waiting.append((block, _unpack_words(post)[0]))
+                        size += len(waiting[-1][1])
+                        if size > 1 << 20:
+                            yield from words_answered()
+                elif block == -2:
+                    spine = pickle.loads(post)
+                elif block == -1:
+                    held = _unpack_grams(post)
+                else:
+                    if trie is None:
+                        trie = Trie(*(held or (np.zeros(0, np.int64), np.zeros(0, np.int64))), spine)
+                    turns = _unpack_grams(post)[0]
+                    logs = np.concatenate([trie.log10(turns[at : at + _SCORED]) for at in range(0, len(turns), _SCORED)])
+                    yield reply(block, _pack_logs(logs))
+        yield from words_answered()
+
+    asking = packed.mapInArrow(ask, "key long, block long, post binary")
+    own = model.rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((F.col("shard") * copies + F.col("copy")).alias("key"), "block", "post")
+    dealt = own.unionByName(asking).repartition("key").sortWithinPartitions("key", "block")  # a shard comes before what is asked of it
+    return dealt.mapInArrow(answer, "block long, shard long, post binary")
+
+
+def _pack_logs(logs: np.ndarray) -> bytes:
+    """Log probabilities; few of them differ, so equal ones are sent once."""
+    value, which = np.unique(logs, return_inverse=True)
+    return _frame(len(logs).to_bytes(8, "little"), value.tobytes(), _squeeze(which))
+
+
+def _unpack_logs(packed: bytes) -> np.ndarray:
+    size, value, which = _parts(packed)
+    return np.frombuffer(value)[_unsqueeze(which, int.from_bytes(size, "little"))]
+
+
+def _summed(raw: memoryview, lengths: np.ndarray, turns: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Log probabilities of a block's documents from those of its distinct n-grams."""
+    out = np.zeros(len(lengths))
+    starts = np.cumsum(lengths) - lengths
+    for at in range(0, len(raw), _SCORED):
+        upto = min(len(raw), at + _SCORED)
+        keys = turned_keys(raw, at, upto)
+        # Sorted by the most recent context bytes with the place below them, searches stay in the cache.
+        order = (np.sort((keys.view(np.uint64) >> np.uint64(16) << np.uint64(24)) | np.arange(len(keys), dtype=np.uint64)) & np.uint64(0xFFFFFF)).astype(np.int64)
+        wanted = keys[order]
+        place, there = _find(turns, wanted)
+        each = np.zeros(len(keys))
+        each[order] = np.where(there, logs[place], 0.0)  # a pad is no symbol, and isn't among the n-grams
+        first, stop = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, upto, side="left")
+        out[first:stop] += np.add.reduceat(each, np.maximum(starts[first:stop] - at, 0))
+    return out
+
+
+def score(docs: DataFrame, model: Model, asked: int = SHARD_ASKED) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; docs has doc_id, held_out and text."""
+    prepare(docs.sparkSession)
+    packed = stash(_blocks(docs))
+    shards, tokens, ends = model.shards, model.tokens, model.ends
+    floor = float(np.log10(tokens + model.distinct + 1))
+    own = [packed.select("block", F.lit(part).cast("long").alias("shard"), F.col(name).alias("post")) for part, name in ((-2, "header"), (-1, "text"))]
+    back = own[0].unionByName(own[1]).unionByName(_answers(packed, model, asked))
 
     def gather(t: pa.Table) -> pa.Table:
-        part, post = t["part"].to_numpy(), t["post"].combine_chunks()
-        one = {int(part[i]): post[i].as_py() for i in np.flatnonzero(part < -1)}
-        header = np.frombuffer(one[-2], _HEADER).copy()
-        if not whole:
-            answers = _answered([post[i].as_py() for i in sorted(np.flatnonzero(part >= 0), key=lambda i: part[i])])
-            lengths = np.frombuffer(one[-3], np.int64)
-            header["score"] = _summed(memoryview(_text(one[-4], lengths)), lengths, *answers)
-            _release()
-        lists = post.filter(pa.array(part == -1))
-        n = t["n"].filter(pa.array(part == -1)).to_numpy()
-        base, known = np.zeros(len(header)), np.zeros(len(header))
-        if len(lists):
-            entry = np.frombuffer(b"".join(lists.to_pylist()), np.uint32)
-            times = pc.binary_length(lists).to_numpy() // 4
-            doc, tf = entry & ((1 << _DOC_BITS) - 1), entry >> _DOC_BITS
-            base = np.bincount(doc, weights=tf * np.repeat(np.log10(n + 1.0), times), minlength=len(header))
-            known = np.bincount(doc, weights=tf, minlength=len(header))
-        cols = [pa.array(header["doc"].astype(np.int64), mask=header["null"]), pa.array(header["held"]), pa.array(header["n"].astype(np.int64)), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(header), tokens, np.int64)), pa.array(base - header["n"] * floor), pa.array(header["score"].astype(float))]
+        order = np.argsort(t["shard"].to_numpy(), kind="stable")
+        shard, posts = t["shard"].to_numpy()[order].tolist(), t["post"].take(pa.array(order)).to_pylist()
+        docs, raw = _opened(posts[0], posts[1])
+        answers = list(zip(shard[2:], posts[2:], strict=True))
+        logs = [_unpack_logs(p) for s, p in answers if s < shards]
+        scores = _summed(raw, docs["length"], _distinct_grams(raw), np.concatenate(logs))
+        words, of, number, count = _block_words(docs, raw, shards)
+        n = np.zeros(len(words), np.int64)
+        for s, here in _by_shard(of):
+            n[here] = _unsqueeze(next(p for t, p in answers if t == shards + s), len(here))
+        each = np.append(n[number], 0)
+        starts = np.minimum(np.cumsum(count) - count, len(each) - 1)
+        base = np.where(count > 0, np.add.reduceat(np.log10(each + 1.0), starts), 0.0) + np.log10(ends + 1.0)
+        known = np.where(count > 0, np.add.reduceat((each > 0).astype(np.int64), starts), 0) + (ends > 0)
+        total = count + 1
+        _release()
+        cols = [pa.array(docs["doc"].astype(np.int64), mask=docs["null"]), pa.array(docs["held"]), pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(docs), tokens, np.int64)), pa.array(base - total * floor), pa.array(scores)]
         return pa.Table.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return back.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -705,8 +657,4 @@ def score(docs: DataFrame, model: Trie | Shards, vocabulary: DataFrame) -> DataF
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; learned from ids whose crc32 mod 7 is not 2."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(7) == 2).alias("held_out"), "text")
-    counts = stash(corpus_counts(docs.where("not held_out")))
-    spark.sparkContext._jvm.System.gc()  # Spark removes a shuffle's files once nothing refers to it, and a small driver heap may not be collected for long
-    model, vocabulary = fit_shards(counts), stash(counts.where("word is not null").select("word", "n"))
-    discard(counts)
-    return score(docs, model, vocabulary)
+    return score(docs, fit(docs.where("not held_out")))
