@@ -44,6 +44,7 @@ ORDER = 6
 SHARD_BYTES = 16 << 20
 MAX_SHARDS = 4096
 SHARD_ASKED = 8_000_000
+MOST_PARTITIONS = 50_000
 SAMPLE_BYTES = 8 << 20
 PAD = b"\t" * ORDER
 END = b"\n"
@@ -271,6 +272,14 @@ class Trie:
                 below = np.add.reduceat(grams[k - 1][1][suffix], start)
             self.levels.append(Level(gram, count, ctx, total, distinct, below))
 
+    def counted(self, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and context's total of each turned n-gram that was learned whole, 0 for others."""
+        level = self.levels[ORDER]
+        gram, seen = _find(level.gram, turns)
+        context, _ = _find(level.ctx, turns >> 8)
+        pick = lambda values, at: np.where(seen, values[at], 0) if len(values) else np.zeros(len(turns), np.int64)
+        return pick(level.count, gram), pick(level.total, context)
+
     def log10(self, turns: np.ndarray) -> np.ndarray:
         """Log probability of each turned n-gram's symbol after its context; fastest in order."""
         out = np.zeros(len(turns))
@@ -437,7 +446,7 @@ def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES, max_shards: int = MAX_S
             yield done()
 
     counted = docs.select("text").mapInArrow(count, "shard long, post binary")
-    dealt = counted.repartition("shard").sortWithinPartitions("shard")
+    dealt = _dealt(counted, 2 * shards, "shard").sortWithinPartitions("shard")
     held = stash(dealt.mapInArrow(merge, "shard long, size long, total long, post binary, spine binary"))
     spark.sparkContext._jvm.System.gc()  # Spark removes a shuffle's files once nothing refers to it, and a small driver heap may not be collected for long
     words, tokens = held.where(F.col("shard") >= shards).agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
@@ -450,6 +459,12 @@ def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES, max_shards: int = MAX_S
     return Model(rows, cuts, shards, tokens + ends, words + (ends > 0), ends)
 
 
+def _dealt(df: DataFrame, groups: int, key: str) -> DataFrame:
+    """Repartitioned by the key; over more partitions than usual where there are more groups, as each is a few MB and much work."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(key) if groups <= usual else df.repartition(min(groups, MOST_PARTITIONS), key)
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return parts[0] if len(parts) == 1 else _tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
@@ -517,12 +532,11 @@ def _block_words(docs: np.ndarray, raw: memoryview, shards: int) -> tuple[pa.Arr
     return found.dictionary, word_shards(found.dictionary, shards), found.indices.to_numpy(), count
 
 
-def _answers(packed: DataFrame, model: Model, asked: int) -> DataFrame:
+def _answers(packed: DataFrame, model: Model, blocks: int, asked: int) -> DataFrame:
     """(block, shard, post): what each shard answers to a block, in the order of what the block asked."""
     spark = packed.sparkSession
     shared = spark.sparkContext.broadcast(model.cuts)
     shards = model.shards
-    blocks = packed.count()
     copies = max(1, int(np.ceil(blocks * (BLOCK_BYTES / 8) / shards / asked)))  # about an eighth of a block's bytes are distinct n-grams
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -582,26 +596,29 @@ def _answers(packed: DataFrame, model: Model, asked: int) -> DataFrame:
                 else:
                     if trie is None:
                         trie = Trie(*(held or (np.zeros(0, np.int64), np.zeros(0, np.int64))), spine)
-                    turns = _unpack_grams(post)[0]
-                    logs = np.concatenate([trie.log10(turns[at : at + _SCORED]) for at in range(0, len(turns), _SCORED)])
-                    yield reply(block, _pack_logs(logs))
+                    yield reply(block, _pack_logs(trie, _unpack_grams(post)[0]))
         yield from words_answered()
 
     asking = packed.mapInArrow(ask, "key long, block long, post binary")
     own = model.rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((F.col("shard") * copies + F.col("copy")).alias("key"), "block", "post")
-    dealt = own.unionByName(asking).repartition("key").sortWithinPartitions("key", "block")  # a shard comes before what is asked of it
+    dealt = _dealt(own.unionByName(asking), 2 * shards * copies, "key").sortWithinPartitions("key", "block")  # a shard comes before what is asked of it
     return dealt.mapInArrow(answer, "block long, shard long, post binary")
 
 
-def _pack_logs(logs: np.ndarray) -> bytes:
-    """Log probabilities; few of them differ, so equal ones are sent once."""
-    value, which = np.unique(logs, return_inverse=True)
-    return _frame(len(logs).to_bytes(8, "little"), value.tobytes(), _squeeze(which))
+def _pack_logs(trie: Trie, turns: np.ndarray) -> bytes:
+    """Log probabilities; those of n-grams learned whole as two small numbers."""
+    n, total = trie.counted(turns)
+    return _frame(len(turns).to_bytes(8, "little"), _squeeze(n), _squeeze(total), pa.compress(trie.log10(turns[n == 0]).tobytes(), codec="zstd", asbytes=True) if not n.all() else b"")
 
 
 def _unpack_logs(packed: bytes) -> np.ndarray:
-    size, value, which = _parts(packed)
-    return np.frombuffer(value)[_unsqueeze(which, int.from_bytes(size, "little"))]
+    size, n, total, others = _parts(packed)
+    n, total = (_unsqueeze(x, int.from_bytes(size, "little")) for x in (n, total))
+    out = np.log10(np.maximum(n - 0.5, 0.5) / np.maximum(total, 1))
+    new = n == 0
+    if new.any():
+        out[new] = np.frombuffer(pa.decompress(others, decompressed_size=8 * int(new.sum()), codec="zstd", asbytes=True))
+    return out
 
 
 def _summed(raw: memoryview, lengths: np.ndarray, turns: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -626,10 +643,11 @@ def score(docs: DataFrame, model: Model, asked: int = SHARD_ASKED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; docs has doc_id, held_out and text."""
     prepare(docs.sparkSession)
     packed = stash(_blocks(docs))
+    blocks = packed.count()
     shards, tokens, ends = model.shards, model.tokens, model.ends
     floor = float(np.log10(tokens + model.distinct + 1))
     own = [packed.select("block", F.lit(part).cast("long").alias("shard"), F.col(name).alias("post")) for part, name in ((-2, "header"), (-1, "text"))]
-    back = own[0].unionByName(own[1]).unionByName(_answers(packed, model, asked))
+    back = own[0].unionByName(own[1]).unionByName(_answers(packed, model, blocks, asked))
 
     def gather(t: pa.Table) -> pa.Table:
         order = np.argsort(t["shard"].to_numpy(), kind="stable")
@@ -651,7 +669,7 @@ def score(docs: DataFrame, model: Model, asked: int = SHARD_ASKED) -> DataFrame:
         cols = [pa.array(docs["doc"].astype(np.int64), mask=docs["null"]), pa.array(docs["held"]), pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(docs), tokens, np.int64)), pa.array(base - total * floor), pa.array(scores)]
         return pa.Table.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return back.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _dealt(back, blocks, "block").groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
