@@ -192,6 +192,37 @@ def test_viterbi_is_the_best_segmentation(coder, text):
     assert total + unknown * coder.lowest == pytest.approx(best_segmentation(coder, marked))
 
 
+def test_words_are_pieces_of_their_own(coder):
+    assert [coder.vocabulary.pieces[i] for i in coder.encode("the quick government")] == ["▁the", "▁quick", "▁government"]
+
+
+def test_viterbi_is_the_best_segmentation_of_documents(spark, coder, small):
+    scores = {p: s for p, s, k in zip(coder.vocabulary.pieces, coder.vocabulary.scores, coder.vocabulary.kinds, strict=True) if k == pieces.NORMAL}
+    words = sorted({w for r in table(spark, small, "documents").collect() for w in (r.text or "").split()})[:1000]
+    for w in words:
+        part = pieces.MARK + w
+        ids = coder.viterbi(part)
+        got = sum(scores[coder.vocabulary.pieces[i]] for i in ids if coder.vocabulary.kinds[i] == pieces.NORMAL)
+        unknown = sum(c not in coder.automaton for c in part)
+        assert got + unknown * coder.lowest == pytest.approx(best_segmentation(coder, part)), w
+
+
+def test_user_pieces_win_and_other_models_are_refused(tmp_path):
+    v = pieces.Vocabulary(["<unk>", "▁", "a", "b", "ab", "<x>", "<x>a", *[f"<0x{i:02X}>" for i in range(256)]], [0.0, -1, -2, -2, -1, 0.0, 0.0, *[0.0] * 256], [pieces.UNKNOWN, *[pieces.NORMAL] * 4, pieces.USER, pieces.USER, *[pieces.BYTE] * 256])
+    own = pieces.Coder(v)
+    assert own.encode("ab<x>b<x>ab") == [1, 4, 5, 3, 6, 3] and own.decode(own.encode("ab<x>b<x>ab")) == "ab<x>b<x>ab"
+    with open(pieces.MODEL, "rb") as f:
+        raw = f.read()
+    word_model = tmp_path / "word.model"
+    word_model.write_bytes(raw + b"\x12\x02\x18\x03")  # a later trainer_spec says type 3
+    with pytest.raises(ValueError, match="model type 3"):
+        pieces.Vocabulary.load(str(word_model))
+    changed = tmp_path / "changed.model"
+    changed.write_bytes(raw + b"\x1a\x02\x20\x01")  # a later normalizer_spec removes spaces
+    with pytest.raises(ValueError, match="normaliser"):
+        pieces.Vocabulary.load(str(changed))
+
+
 def test_round_trip(spark, coder, small):
     docs = table(spark, small, "documents")
     got = pieces.decode(pieces.encode(docs, coder.vocabulary).withColumnRenamed("text", "was"), coder.vocabulary)

@@ -4,6 +4,11 @@ At each position the automaton's output links give every piece that ends there;
 of its end from the best score of its start. A character that no piece covers is spelled in byte pieces, as the model asks.
 Of equal scores the segmentation whose last piece is longer wins, at each position.
 
+Scores must be log probabilities for their sums to mean anything. A unigram model's are taken as they are. A BPE model's are minus the rank
+of the merge, so its pieces get log probabilities by a fixed rule instead, nothing being trained: Zipf's law in Mandelbrot's form over the ranks,
+1 / (rank + ``OFFSET``), as merges are ranked by how frequent they were. Other types of model, and models whose normaliser would change a
+text, are refused. User-defined pieces win outright: a text is cut at them (the longest, from the left) before anything else.
+
 A piece holds the space mark only as its first characters, which is checked when a model is loaded, so best segmentations of
 the parts of a text between spaces join up to the best one of the text; parts that repeat are looked up. The model
 file is read once on the driver by path, its pieces (a fixed vocabulary) are broadcast, and executors need no file. One
@@ -16,6 +21,7 @@ such a text and true for every other. Repeated rows are encoded one by one; othe
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -31,6 +37,8 @@ from tidemill.tables import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNIGRAM, BPE = 1, 2
+OFFSET = 100
 _MEMO = 300_000
 
 
@@ -58,9 +66,19 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int, bytes | int]]:
         yield number, kind, value
 
 
+def ranked_scores(scores: list[float], kinds: list[int], offset: int = OFFSET) -> list[float]:
+    """Log probabilities by Zipf's law of pieces whose scores only rank them; other kinds keep their score."""
+    ranked = sorted((i for i, k in enumerate(kinds) if k == NORMAL), key=lambda i: (-scores[i], i))
+    weight = 1.0 / (np.arange(1, len(ranked) + 1) + offset)
+    out = list(scores)
+    for i, p in zip(ranked, np.log(weight / weight.sum()).tolist() if ranked else [], strict=True):
+        out[i] = p
+    return out
+
+
 @dataclass
 class Vocabulary:
-    """Pieces, scores and kinds by id; whether a space is put before the text."""
+    """Pieces, log probabilities and kinds by id; whether a space is put before the text."""
 
     pieces: list[str]
     scores: list[float]
@@ -71,16 +89,22 @@ class Vocabulary:
     def load(cls, path: str) -> Vocabulary:
         with open(path, "rb") as f:
             raw = f.read()
-        pieces, scores, kinds, prefix = [], [], [], True
+        pieces, scores, kinds, prefix, type_ = [], [], [], True, UNIGRAM
         for number, _, value in _fields(raw):
+            got = {n: v for n, _, v in _fields(value)} if number in (1, 2, 3) else {}
             if number == 1:
-                got = {n: v for n, _, v in _fields(value)}
                 pieces.append(got.get(1, b"").decode())
                 scores.append(float(np.frombuffer(got[2], "<f4")[0]) if 2 in got else 0.0)
                 kinds.append(got.get(3, NORMAL))
+            elif number == 2:
+                type_ = got.get(3, UNIGRAM)
             elif number == 3:
-                prefix = bool({n: v for n, _, v in _fields(value)}.get(3, 1))
-        return cls(pieces, scores, kinds, prefix)
+                prefix = bool(got.get(3, 1))
+                if got.get(2) or got.get(4, 1):
+                    raise ValueError("the model's normaliser changes texts; only models that keep them as they are can be used")
+        if type_ not in (UNIGRAM, BPE):
+            raise ValueError(f"model type {type_}: only unigram and BPE models have pieces to segment by")
+        return cls(pieces, scores if type_ == UNIGRAM else ranked_scores(scores, kinds), kinds, prefix)
 
 
 class _Words(dict):
@@ -113,13 +137,15 @@ class Coder:
         self.automaton = ahocorasick.Automaton()
         self.byte_ids = {}
         for i, (piece, score, kind) in enumerate(zip(v.pieces, v.scores, v.kinds, strict=True)):
-            if kind in (NORMAL, USER) and piece:
+            if kind == NORMAL and piece:
                 if MARK in piece.lstrip(MARK):
                     raise ValueError(f"piece {piece!r} holds a space mark after other characters")
                 self.automaton.add_word(piece, (i, len(piece), score))
             elif kind == BYTE:
                 self.byte_ids[int(piece[1:-1], 16)] = i
         self.automaton.make_automaton()
+        self.user_ids = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k == USER and p}
+        self.user = re.compile("|".join(map(re.escape, sorted(self.user_ids, key=len, reverse=True)))) if self.user_ids else None
         self.words = _Words(self)
         self.lowest = min(v.scores, default=0.0) - 10.0
         self.bytes_of = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
@@ -168,6 +194,15 @@ class Coder:
         marked = text.replace(" ", MARK)
         if self.vocabulary.prefix:
             marked = MARK + marked
+        if self.user is None:
+            return self._encode(marked)
+        out, at = [], 0
+        for m in self.user.finditer(marked):
+            out += [*self._encode(marked[at : m.start()]), self.user_ids[m[0]]]
+            at = m.end()
+        return out + self._encode(marked[at:])
+
+    def _encode(self, marked: str) -> list[int]:
         out: list[int] = []
         memo = self.memo
         runs = 0  # marks that come before the next word
@@ -194,7 +229,7 @@ class Coder:
         Bytes of pieces are joined when decoding, so a text of single spaces decodes to itself if its words do.
         """
         words = text.split(" ")
-        if not self.vocabulary.prefix or "" in words or MARK in text:
+        if not self.vocabulary.prefix or self.user is not None or "" in words or MARK in text:
             ids = self.encode(text)
             return ids, self.decode(ids) == text
         self.words.inexact.clear()
