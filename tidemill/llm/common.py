@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch. Texts are kilobytes each, so the default of 10,000 would be tens of MB.
+#: Rows and bytes in an Arrow batch; a row that is longer is a batch of its own.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a Python worker's memory is bounded by a few MB of text."""
+    """Small Arrow batches for the session from here on, so that a Python worker's memory is bounded by a few MB of text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
@@ -58,6 +60,19 @@ def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def text_hashes(text: str = "text") -> tuple[Column, Column]:
+    """Two 64-bit hashes that, beside doc_id, tell rows apart whose ids repeat; equal for equal texts."""
+    return F.xxhash64(F.lit(1), F.col(text)), F.xxhash64(F.lit(2), F.col(text))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes for the frame not to have them."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
 
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame without columns that an operator is about to add, whatever their case."""

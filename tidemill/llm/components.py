@@ -1,8 +1,9 @@
 """Connected components of an edge list, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (combined before the shuffle) and an equi-join that AQE can split, so the centre of a large
-star is no large task. Nothing but a row count and a checksum reaches the driver; each round is written
-to the shared folder.
+Every step is a grouped minimum (combined before the shuffle) that goes back to the edges. The edges of a hub, a node of over
+``HUB`` edges and over a ``1 / HUBS`` of all, stay where they are and get it from a broadcast table of at most
+``2 * HUBS`` rows; those of other nodes get it by an equi-join. Nothing but a row count and a checksum reaches the driver; each
+round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,18 +13,29 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import discard, stash
 
+HUB = 1000
+HUBS = 10_000
 
-def _large(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, size: int) -> DataFrame:
+    """(a, b, m): m is the least b of a."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    limit = max(HUB, size // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", "m"))  # 2 * HUBS rows at most, as edges are counted from both ends
+    others = edges.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= limit).select("a", "m"), "a")
+    return others.select("a", "b", "m").unionByName(edges.join(hubs, "a").select("a", "b", "m"))
+
+
+def _large(edges: DataFrame, size: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = _with_least(both, size).withColumn("m", F.least("a", "m"))
+    return low.where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    over = down.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return over.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+def _small(edges: DataFrame, size: int) -> DataFrame:
+    low = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), size)
+    over = low.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return over.unionByName(low.where("b = m").select("a", "b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,8 +47,10 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or not seen[0]:
             break
         mark = tuple(seen)
-        after = stash(_small(_large(now)))
+        wide = stash(_large(now, seen[0]))
+        after = stash(_small(wide, seen[0]))
         discard(now)
+        discard(wide)
         now = after
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

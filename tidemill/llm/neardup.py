@@ -6,25 +6,26 @@
    Jaccard similarity.
 2. *Classes.* Documents with equal sets become one class (grouped minimum of the id); from here on, copies cost nothing.
 3. *Bands.* Classes that agree in all registers of a band meet. In a band's group, pairs whose sizes allow the
-   similarity and whose estimate is within five standard errors of it are joined up; the group emits one edge for each member
+   similarity and whose estimate is within ``ERRORS`` standard errors of it are joined up; the group emits one edge for each member
    at most. Members bring the last 4 bits of each register only, and the estimate is corrected for registers that are then equal by chance.
 4. *Confirmation.* The components of those edges hold every link. The full sets of their members, and of no other
-   documents, are brought together, in pairs of blocks where a component is large, and pairs are compared on full sets, best
+   documents, are brought together, and pairs are compared on full sets, best
    estimate first, except where links already found connect them. Again one edge for each member at most.
 5. *Components* of the confirmed links, named by their smallest doc_id.
 
-Links are lost only if all bands miss: below 1e-8 for a pair at the limit with the parameters used here. No bucket or
-component is capped: those with more than ``block_rows`` members (or ``block_bytes`` of sets) are dealt
-over tasks in pairs of blocks.
+A link at the limit is lost if all bands miss it (below 1e-8 with the parameters used here) or if its estimate is under the limit by more than
+``ERRORS`` standard errors in every band's group they meet in (about 1e-9 for a normal error). No group or
+component is capped: one with more than ``block_rows`` members (or ``block_bytes`` of sets) is compared with one of its members first,
+part by part, and only what that leaves alone with all others.
 
 Cases: a text that is null or has no word has an empty set and is linked with nothing. A null doc_id takes part, but names
-no component unless all of a component are null. Rows that repeat a doc_id are answered one by one. Ties need no rule, as a
-component's name is a minimum. Other columns are ignored; an empty table gives no rows.
+no component unless all of a component are null. Rows that repeat a doc_id are answered one by one, whether their texts are equal or not. Ties need no rule, as a
+component's name is a minimum. Very long texts are hashed whole. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -33,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import prepare, stash
+from tidemill.llm.common import discard, prepare, stash, text_hashes, unused
 from tidemill.llm.components import components
 from tidemill.tables import table
 
 MANTISSA = 10
 #: Bits of each register that travel with a document to compare it with others.
 LOW = 4
+#: Standard errors by which an estimate may stay under the limit.
+ERRORS = 6
 BLOCK_ROWS = 2000
 BLOCK_BYTES = 24 << 20
 _MEMO = 400_000
@@ -115,20 +118,20 @@ def estimate(same: np.ndarray, registers: int, chance: float = 0.169919487 / (1
 
 
 def sketches(docs: DataFrame, words: int, registers: int) -> DataFrame:
-    """doc_id, n_shingles, fp (128 bits of the set; null if empty), regs and their low bits of each row."""
+    """doc_id, h1, h2, n_shingles, fp (128 bits of the set; null if empty), regs and their low bits of each row."""
     if registers % 2:
         raise ValueError("an even number of registers is needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = [shingler.hashes(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [shingler.hashes(t) for t in batch.column(3).cast(pa.binary()).to_pylist()]
             fps = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             regs = [sketch(s, registers) if len(s) else None for s in sets]
             full, low = ([None if r is None else f(r) for r in regs] for f in (np.ndarray.tobytes, low_bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(full, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "fp", "regs", "low"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(full, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "h1", "h2", "n_shingles", "fp", "regs", "low"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, regs binary, low binary")
+    return docs.select("doc_id", "h1", "h2", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, fp binary, regs binary, low binary")
 
 
 def _forest(n: int, pairs: Iterator[tuple[int, int]], linked) -> np.ndarray:
@@ -148,32 +151,29 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]], linked) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def _near_pairs(low: np.ndarray, sizes: np.ndarray, block: np.ndarray, inside: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j) that may be linked, with the number of registers whose low bits are equal."""
+def _near_pairs(low: np.ndarray, sizes: np.ndarray, left: int | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i < j) that may be linked, with the number of registers whose low bits are equal: all, or of the first ``left`` with the others."""
     m = low.shape[1]
     t, chance = percent / 100, 1 / (1 << LOW)
     p = chance + (1 - chance) * t
-    slack = 5 * np.sqrt(p * (1 - p) / m) / (1 - chance)
-    left, right, equal = [], [], []
+    slack = ERRORS * np.sqrt(p * (1 - p) / m) / (1 - chance)
+    first, second, equal = [], [], []
     small = sizes < 64
-    for i in range(len(low) - 1):
-        rest = np.arange(i + 1, len(low))
+    for i in range(len(low) - 1 if left is None else left):
+        rest = np.arange(i + 1 if left is None else left, len(low))
         lo, hi = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-        ok = lo * 100 >= hi * percent
-        if not inside:
-            ok &= block[rest] != block[i]
-        rest = rest[ok]
+        rest = rest[lo * 100 >= hi * percent]
         if not len(rest):
             continue
         same = (low[rest] == low[i]).sum(1)
         near = estimate(same, m, chance) >= t - slack - 0.15 * small[rest]
         if near.any():
-            left.append(np.full(int(near.sum()), i))
-            right.append(rest[near])
+            first.append(np.full(int(near.sum()), i))
+            second.append(rest[near])
             equal.append(same[near])
-    if not left:
+    if not first:
         return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(left), np.concatenate(right), np.concatenate(equal)
+    return np.concatenate(first), np.concatenate(second), np.concatenate(equal)
 
 
 def _edges(fp: list[bytes], root: np.ndarray) -> pa.Table:
@@ -181,45 +181,96 @@ def _edges(fp: list[bytes], root: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array([fp[i] for i in child], pa.binary()), "b": pa.array([fp[root[i]] for i in child], pa.binary())})
 
 
-def _blocks(df: DataFrame, count: str) -> DataFrame:
-    """Each row in every pair of blocks (i, j) that its own block is part of; ``count`` blocks."""
-    own = df.withColumn("blk", F.pmod(F.xxhash64("fp"), F.col(count)).cast("int"))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("other", count)
-
-
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Groups dealt over all shuffle partitions: rows are few bytes but much work, so AQE would merge too many into a task."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _members(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, bool]:
-    fp = t["fp"].to_pylist()
-    packed = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(fp), -1)
-    low = np.stack([packed & ((1 << LOW) - 1), packed >> LOW], axis=2).reshape(len(fp), -1)
-    return fp, low, t["n_shingles"].to_numpy(), t["blk"].to_numpy(), t["i"][0].as_py() == t["j"][0].as_py()
+def _apart(df: DataFrame) -> DataFrame:
+    """The frame with columns that Spark doesn't take for those of the frame it came from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _low(t: pa.Table) -> np.ndarray:
+    packed = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    return np.stack([packed & ((1 << LOW) - 1), packed >> LOW], axis=2).reshape(t.num_rows, -1)
+
+
+def _joined_up(members: DataFrame, key: str, roots: Callable[[pa.Table, int | None], np.ndarray], block_rows: int) -> DataFrame:
+    """Edges (a, b) that connect in every group what ``roots`` connects; members has the key, fp, parts and what ``roots`` reads.
+
+    Groups of one part are one task each. In larger ones every member is compared with one of them first, part by part; only those that
+    this leaves alone are compared with all others, in pairs of parts. So what travels grows with the group, not with its square, as far as
+    its members are copies of one text.
+    """
+
+    def alone(t: pa.Table) -> pa.Table:
+        return _edges(t["fp"].to_pylist(), roots(t, None))
+
+    edges = _dealt(members.where("parts = 1"), key).groupBy(key).applyInArrow(alone, "a binary, b binary")
+    large = members.where("parts > 1")
+    if large.isEmpty():
+        return edges
+    own = large.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    least = large.groupBy(key).agg(F.min("fp").alias("fp"))
+    first = large.join(least, [key, "fp"]).withColumn("i", every("parts"))
+
+    def with_first(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return right.select([key, "fp", "parts", "fp"]).rename_columns([key, "fp", "parts", "b"])
+        at = roots(pa.concat_tables([left.slice(0, 1), right.select(left.column_names)]), 1)
+        b = [left["fp"][0].as_py() if r == 0 else None for r in at[1:]]
+        return pa.table({key: right[key], "fp": right["fp"], "parts": right["parts"], "b": pa.array(b, pa.binary())})
+
+    kind = large.schema[key].dataType.simpleString()
+    star = stash(_apart(first).groupBy(key, "i").cogroup(own.groupBy(key, "i")).applyInArrow(with_first, f"{key} {kind}, fp binary, parts long, b binary"))
+    rest = star.where("b is null")
+    left_parts = rest.groupBy(key, "parts").agg(F.ceil(F.count("*") / block_rows).alias("rest")).withColumn("i", every("parts")).drop("parts")
+    left = large.join(rest.select(key, "fp"), [key, "fp"]).withColumn("i", every("parts")).join(left_parts, [key, "i"])
+    left = left.withColumn("j", F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("rest")).cast("int"))
+    right = own.join(left_parts, [key, "i"]).withColumn("j", every("rest"))
+
+    def with_rest(left: pa.Table, right: pa.Table) -> pa.Table:
+        both = pa.concat_tables([left, right.select(left.column_names)])
+        return _edges(both["fp"].to_pylist(), roots(both, left.num_rows))
+
+    more = _apart(left).groupBy(key, "i", "j").cogroup(right.groupBy(key, "i", "j")).applyInArrow(with_rest, "a binary, b binary")
+    return edges.unionByName(star.where("b is not null").select(F.col("fp").alias("a"), "b")).unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 4, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row; doc_id and text are read."""
+    found = grouped(docs, words, percent, bands, rows, block_rows, block_bytes)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 4, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, h1, h2 (hashes of the text), n_shingles, component_id and whether the row is its group's first, by doc_id (null last) and hashes."""
     spark = prepare(docs.sparkSession)
-    registers = bands * rows
-    sk = stash(sketches(docs, words, registers))
+    h1, h2 = text_hashes()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), "text")
+    sk = stash(sketches(docs, words, bands * rows))
     full = sk.where("fp is not null")
-    classes = stash(full.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min(F.struct("n_shingles", "regs", "low")).alias("s")).select("fp", "doc", "s.*"))
-    candidate = components(_candidates(classes, percent, bands, rows, block_rows))
-    candidate = candidate.select(F.col("node").alias("fp"), F.col("component").alias("comp"))
-    links = _confirm(docs, classes, candidate, words, percent, block_rows, block_bytes)
+    ident = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
+    classes = stash(full.groupBy("fp").agg(F.min(ident).alias("doc"), F.min(F.struct("n_shingles", "regs", "low")).alias("s")).select("fp", "doc", "s.*"))
+    met, near = _candidates(classes, percent, bands, rows, block_rows)
+    candidate = components(near).select(F.col("node").alias("fp"), F.col("component").alias("comp"))
+    discard(met)
+    whole, links = _confirm(docs, classes, candidate, words, percent, block_rows, block_bytes)
     linked = components(links).select(F.col("node").alias("fp"), "component")
-    named = linked.join(classes.select("fp", "doc"), "fp").groupBy("component").agg(F.min("doc").alias("component_id"))
-    of = linked.join(named, "component").select("fp", "component_id")
-    ids = stash(classes.select("fp", "doc").join(of, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id")))
-    answered = full.join(ids, "fp").select("doc_id", "n_shingles", "component_id")
-    alone = sk.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return answered.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    discard(whole)
+    named = linked.join(classes.select("fp", "doc"), "fp").groupBy("component").agg(F.min("doc").alias("first"))
+    of = linked.join(named, "component").select("fp", "first")
+    ids = stash(classes.select("fp", "doc").join(of, "fp", "left").select("fp", F.coalesce("first", "doc").alias("first")))
+    discard(classes)
+    answered = full.join(ids, "fp").select("doc_id", "h1", "h2", "n_shingles", F.col("first.doc_id").alias("component_id"), (ident == F.col("first")).alias("is_first"))
+    alone = sk.where("fp is null").select("doc_id", "h1", "h2", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
+    return answered.unionByName(alone)
 
 
-def _candidates(classes: DataFrame, percent: int, bands: int, rows: int, block_rows: int) -> DataFrame:
-    """Edges (a, b) within bands' groups, whose components hold every link."""
+def _candidates(classes: DataFrame, percent: int, bands: int, rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """A stashed table to discard, and edges (a, b) within bands' groups, whose components hold every link."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,37 +281,34 @@ def _candidates(classes: DataFrame, percent: int, bands: int, rows: int, block_r
 
     keyed = classes.select("fp", "regs").mapInArrow(band, "key long, fp binary")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = keyed.join(shared, "key").withColumn("parts", F.ceil(F.col("size") / block_rows)).drop("size")
-    met = _blocks(met.join(classes.select("fp", "n_shingles", "low"), "fp"), "parts")
+    met = stash(keyed.join(shared, "key").select("key", "fp", F.ceil(F.col("size") / block_rows).alias("parts")))
 
-    def join_up(t: pa.Table) -> pa.Table:
-        fp, low, sizes, block, inside = _members(t)
-        left, right, _ = _near_pairs(low, sizes, block, inside, percent)
-        return _edges(fp, _forest(len(fp), zip(left.tolist(), right.tolist(), strict=True), None))
+    def roots(t: pa.Table, left: int | None) -> np.ndarray:
+        i, j, _ = _near_pairs(_low(t), t["n_shingles"].to_numpy(), left, percent)
+        return _forest(t.num_rows, zip(i.tolist(), j.tolist(), strict=True), None)
 
-    return _dealt(met, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(join_up, "a binary, b binary")
+    return met, _joined_up(met.join(classes.select("fp", "n_shingles", "low"), "fp"), "key", roots, block_rows)
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, candidate: DataFrame, words: int, percent: int, block_rows: int, block_bytes: int) -> DataFrame:
-    """Edges (a, b) of confirmed links that connect whatever all links do."""
+def _confirm(docs: DataFrame, classes: DataFrame, candidate: DataFrame, words: int, percent: int, block_rows: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """A stashed table to discard, and edges (a, b) of confirmed links that connect whatever all links do."""
     members = candidate.join(classes.drop("regs"), "fp")
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n_shingles") * 8 / block_bytes)).alias("parts"))
-    members = stash(members.join(sizes, "comp"))
-    texts = docs.selectExpr("cast(doc_id as long) as doc", "text")
-    got = texts.join(members, texts["doc"].eqNullSafe(members["doc"])).select("text", "fp", "comp", "parts", "n_shingles", "low")
+    members = members.join(sizes, "comp").select("fp", "comp", "parts", "n_shingles", "low", F.col("doc.doc_id").alias("doc"), F.col("doc.h1").alias("k1"), F.col("doc.h2").alias("k2"))
+    same = docs["doc_id"].eqNullSafe(members["doc"]) & (docs["h1"] == members["k1"]) & (docs["h2"] == members["k2"])
+    held = [F.first(c).alias(c) for c in ("text", "comp", "parts", "n_shingles", "low")]
+    got = docs.join(members, same).groupBy("fp").agg(*held)  # a row that repeats is needed once
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            found = [shingler.hashes(t).tobytes() for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            own = pa.array([xxhash.xxh3_128_digest(s) == f for s, f in zip(found, batch.column(1).to_pylist(), strict=True)], pa.bool_())  # a repeated id may have another text
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], ["fp", "comp", "parts", "n_shingles", "low", "hashes"]).filter(own)
+            found = [shingler.hashes(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.binary())], ["fp", "comp", "parts", "n_shingles", "low", "hashes"])
 
-    whole = got.mapInArrow(sets, "fp binary, comp binary, parts long, n_shingles long, low binary, hashes binary")
+    whole = stash(got.mapInArrow(sets, "fp binary, comp binary, parts long, n_shingles long, low binary, hashes binary"))
 
-    def confirm(t: pa.Table) -> pa.Table:
-        fp, low, size, block, inside = _members(t)
-        raw = t["hashes"].to_pylist()
+    def roots(t: pa.Table, left: int | None) -> np.ndarray:
+        raw, size = t["hashes"].to_pylist(), t["n_shingles"].to_numpy()
         held: dict[int, set[int]] = {}
 
         def of(i: int) -> set[int]:
@@ -272,23 +320,27 @@ def _confirm(docs: DataFrame, classes: DataFrame, candidate: DataFrame, words: i
             both = len(of(i) & of(j))
             return 100 * both >= percent * (int(size[i]) + int(size[j]) - both)
 
-        left, right, same = _near_pairs(low, size, block, inside, percent)
+        i, j, same = _near_pairs(_low(t), size, left, percent)
         order = np.argsort(-same, kind="stable")
-        return _edges(fp, _forest(len(fp), zip(left[order].tolist(), right[order].tolist(), strict=True), linked))
+        return _forest(t.num_rows, zip(i[order].tolist(), j[order].tolist(), strict=True), linked)
 
-    return _dealt(_blocks(whole, "parts"), "comp", "i", "j").groupBy("comp", "i", "j").applyInArrow(confirm, "a binary, b binary")
+    return whole, _joined_up(whole, "comp", roots, block_rows)
 
 
-def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that :func:`near_duplicates` keeps; of rows with one doc_id and equal text, one.
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 4) -> DataFrame:
+    """One row of each group of near copies: the smallest doc_id, a null one last; of several texts with that id, the first by hash. Rows without words all stay.
 
-    Only rows whose doc_id repeats are compared, so texts are shuffled for those alone.
+    Rows are told apart by doc_id and text, and of rows equal in both, one stays.
     """
-    kept = stash(found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
-    mine = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
-    once = mine.where("_n = 1").select(*[docs[c] for c in docs.columns])
-    more = mine.where("_n > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more)
+    found = grouped(docs, words, percent, bands, rows).where("is_first")
+    kept = stash(found.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size")))
+    i, a, b, n = unused(docs, "id", "h1", "h2", "n")
+    kept = kept.select(F.col("doc_id").alias(i), F.col("h1").alias(a), F.col("h2").alias(b), F.when(F.col("size") == 0, 1).otherwise(F.col("n")).alias(n))
+    h1, h2 = text_hashes()
+    mine = docs.withColumn(a + "_", h1).withColumn(b + "_", h2)
+    mine = mine.join(kept, mine["doc_id"].cast("long").eqNullSafe(kept[i]) & (mine[a + "_"] == kept[a]) & (mine[b + "_"] == kept[b]))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return mine.where(F.col(n) == 1).select(*own).unionByName(mine.where(F.col(n) > 1).select(*own).dropDuplicates(["doc_id", "text"]))
 
 
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
