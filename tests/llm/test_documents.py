@@ -292,7 +292,7 @@ def test_near_duplicates_odd_inputs(spark):
     docs = frame(spark)
     got = neardup.near_duplicates(docs)
     assert got.count() == len(ODD)
-    kept = neardup.representatives(docs, got)
+    kept = neardup.representatives(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 1 and kept.count() == len(ODD) - 1
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 
@@ -376,12 +376,78 @@ def test_leaks_are_found_and_clean_text_is_left(spark):
 
 
 def test_benchmark_in_several_blocks_and_long_items(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_PASSAGES", 2)
     monkeypatch.setattr(decontaminate, "_SEGMENT", 64)
     long_item = (9, " ".join(f"z{i}" for i in range(300)))
     docs = spark.createDataFrame([*leak_docs(), (7, "x y " * 99 + long_item[1])], "doc_id long, text string")
     got = decontaminate.contaminated(docs, spark.createDataFrame([*ITEMS, long_item], "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 2), (6, 3), (6, 4), (7, 9)}
+    whole = sorted(map(tuple, got.collect()))
+    assert {(r[0], r[3]) for r in whole} == {(0, 0), (1, 1), (2, 2), (6, 3), (6, 4), (7, 9)}
+    for most in (1, 2, 5):
+        monkeypatch.setattr(decontaminate, "MAX_PASSAGES", most)
+        again = decontaminate.contaminated(docs, spark.createDataFrame([*ITEMS, long_item], "item_id long, text string"))
+        assert [r[:4] for r in whole] == [r[:4] for r in sorted(map(tuple, again.collect()))]
+        assert [r[4:] for r in whole] == [pytest.approx(r[4:], abs=1e-5) for r in sorted(map(tuple, again.collect()))]
+
+
+def test_leaks_equal_brute_force(spark):
+    """All windows against all items by cosine over the terms themselves, subsequence and last third, in plain Python."""
+    rng = np.random.default_rng(8)
+    docs = leak_docs()
+    for k in range(40):  # items with words left out, changed or cut
+        words = ITEMS[k % 6][1].split()
+        words = [w if rng.random() > 0.05 * (k % 10) else "other" for w in words][: int(rng.integers(8, 20))]
+        docs.append((100 + k, " ".join([*(f"f{x}" for x in rng.integers(0, 500, int(rng.integers(0, 90)))), *words, *(f"f{x}" for x in rng.integers(0, 500, 40))])))
+    items = {i: decontaminate.words_of(t) for i, t in ITEMS}
+    texts = {i: decontaminate.words_of(t) for i, t in docs}
+    vocabulary = {w for t in items.values() for w in t}
+    size = decontaminate.BLOCK
+    blocks = {i: [t[at : at + size] for at in range(0, len(t), size)] for i, t in texts.items()}
+    frequency = Counter(w for bs in blocks.values() for b in bs for w in set(b) & vocabulary)
+    by_item = Counter(w for t in items.values() for w in set(t))
+    number = sum(map(len, blocks.values()))
+    weight = {w: 0.0 if by_item[w] > 2 else np.log1p(number / max(1, frequency[w])) for w in vocabulary}
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    want = set()
+    for i, bs in blocks.items():
+        for at in range(max(1, len(bs) - 1)):
+            both = Counter(w for b in bs[at : at + 2] for w in set(b) & vocabulary)
+            region = [w if w in vocabulary else "" for b in bs[max(0, at - 1) : max(0, at - 1) + 4] for w in b]
+            norm = np.sqrt(sum((n * weight[w]) ** 2 for w, n in both.items()))
+            for item, t in items.items():
+                own = list(dict.fromkeys(w for w in t if weight[w] > 0))
+                dot = sum(both[w] * weight[w] ** 2 for w in own)
+                if not norm or dot / norm / np.sqrt(sum(weight[w] ** 2 for w in own)) < decontaminate.COSINE:
+                    continue
+                share, last = lcs(t, region) / len(t), own[-max(1, -(-len(own) // 3)) :]
+                if share >= decontaminate.LCS and (share >= decontaminate.SURE or np.mean([w in region for w in last]) >= decontaminate.ANSWER):
+                    want.add((i, item))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and 10 < len(want) < 40
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    from tidemill.llm.common import unused
+
+    held = leak_docs()[0][1]
+    rows = [(None, held), (None, "clean words of no item"), (7, held), (7, "other clean words here"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as h1", "'y' as _h1", "'z' as _n", "'w' as item_id")
+    kept = decontaminate.clean(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert kept.columns == docs.columns and unused(docs, "h1") == ["__h1"]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in (rows[1], rows[3], rows[4]))
+    a, b = "one two three four five six seven eight", "quite another text of nine words is this one"
+    copies = [(3, a), (7, a), (7, b), (None, b), (7, b), (None, a), (9, ""), (9, "")]
+    docs = spark.createDataFrame(copies, "doc_id long, text string").selectExpr("*", "1 as _n", "2 as n", "3 as _id", "4 as h1", "5 as _h2_")
+    kept = neardup.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("3", a), ("7", b), ("9", ""), ("9", "")]
 
 
 def test_leaks_of_the_table_equal_exact_search(spark, medium):

@@ -1,30 +1,32 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. *Terms.* Only words of the benchmark can be shared with it, so texts become sequences of benchmark-word numbers (0: any other
-   word). Passages are windows of two neighbouring blocks of ``BLOCK`` words; a term's weight is its inverse
-   frequency over all blocks of all documents, 0 for function words (those of over ``common`` of the items).
+1. *Terms.* Words become buckets of a hash, ``BUCKETS`` at most, and texts sequences of the numbers of those buckets that the benchmark
+   uses (0: any other word). Passages are windows of two neighbouring blocks of ``BLOCK`` words; a term's weight is its inverse
+   frequency over all blocks of all documents, 0 for function words (those of over ``common`` of the benchmark's passages).
 2. *Latent space.* The weighted passages of all documents, and those of the benchmark with equal total weight, form the matrix A.
    A randomised SVD finds its leading right singular vectors from A'A times random vectors, summed over
-   tasks in one pass (the Nystrom form for a positive matrix). Benchmark passages that the leading ``dims`` vectors hold less
-   than half of get directions of their own, so none falls out of the space.
-3. *Candidates.* Every passage is compared with every benchmark passage by cosine, in blocks: the benchmark is the query set.
+   tasks in one pass (the Nystrom form for a positive matrix).
+3. *Candidates.* Every passage is compared with every benchmark passage by cosine: the benchmark is the query set. A benchmark passage that the
+   leading ``dims`` vectors hold only in part is compared by that part.
 4. *Checks.* A candidate is confirmed if the longest common subsequence with the words around it has at least ``lcs`` of the
-   benchmark passage's words, and ``answer`` of the answer's words occur there: those of the answer column, if there is one, or
-   the last third of the passage's weighted terms, as items end with their answer. Word order and answer words tell a paraphrase from a text on the same matter.
+   benchmark passage's words, and ``answer`` of the answer's words occur there: those of the answer column, if there is one. Without, the
+   answer is taken to be the last third of the passage's weighted terms, as items end with their answer, and isn't asked for where the
+   subsequence has ``sure`` of the words. Word order and answer words tell a paraphrase from a text on the same matter.
 
-The benchmark is read in blocks of at most ``MAX_PASSAGES`` passages and ``MAX_TERMS`` terms, which bound all that is
-broadcast or summed; a larger one takes more passes. Nothing of the documents reaches the driver but sums of that size.
+Terms, weights and space are those of the whole benchmark; only the comparison goes over it in blocks of at most ``MAX_PASSAGES``
+passages, each a pass over the documents, so what is found doesn't depend on them. What is broadcast or summed is bounded by
+``BUCKETS``, ``dims`` and that block. Nothing of the documents reaches the driver but sums of that size.
 
 Cases: a null or empty text, or a benchmark item without a word, matches nothing. Repeated documents or items are each
-answered, a pair once for each row of the document. Ties in cosine go to the first window. An empty benchmark or an
-empty document table gives no rows. Other columns are ignored.
+answered, a pair once for each row of the document. Ties in cosine go to the first window. Texts and answers of any length are read whole. An empty benchmark or an
+empty document table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import prepare, stash
+from tidemill.llm.common import discard, prepare, stash, text_hashes, unused
 from tidemill.tables import table
 
 BLOCK = 32
@@ -41,9 +43,13 @@ OVERSAMPLE = 32
 COSINE = 0.45
 LCS = 0.6
 ANSWER = 0.5
+SURE = 0.8
 COMMON = 0.025
-MAX_PASSAGES = 1024
-MAX_TERMS = 20_000
+BUCKETS = 1 << 16
+MAX_PASSAGES = 16_384
+MAX_ANSWERS = 4 << 20
+SUM_TASKS = 4096
+_MEMO = 500_000
 _SEGMENT = 1 << 20  # words of a long text that are worked on at a time
 _PAIRS = 1 << 15
 _CHUNK = 8192  # numbers in a row of a summed vector
@@ -55,51 +61,81 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_SPACES).split()
 
 
+class _Numbers(dict):
+    """The number of a word's bucket, looked up or hashed."""
+
+    def __init__(self, number: np.ndarray | None) -> None:
+        self.number = None if number is None else number.tolist()
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _MEMO:
+            self.clear()
+        bucket = 1 + zlib.crc32(word) % (BUCKETS - 1)
+        got = self[word] = bucket if self.number is None else self.number[bucket]
+        return got
+
+
+def passages_of(benchmark: DataFrame, item_id: str, text: str, answer: str | None) -> DataFrame:
+    """item, terms (buckets, two bytes a word) and answer (distinct buckets; null without) of each passage; items longer than a window become several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(None)
+        get = numbers.__getitem__
+        for batch in batches:
+            items, terms, answers = [], [], []
+            for item, body, reply in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = words_of(body)
+                wanted = sorted(set(map(get, words_of(reply))))
+                starts = [0] if len(words) <= 2 * BLOCK else [*range(0, len(words) - 2 * BLOCK, BLOCK), len(words) - 2 * BLOCK]
+                for at in starts if words else []:
+                    items.append(item)
+                    terms.append(np.fromiter(map(get, words[at : at + 2 * BLOCK]), np.uint16).tobytes())
+                    answers.append(np.array(wanted, np.uint16).tobytes() if wanted else None)
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(terms, pa.binary()), pa.array(answers, pa.binary())], ["item", "terms", "answer"])
+
+    columns = [F.col(f"`{item_id}`").cast("long"), F.col(f"`{text}`"), F.col(f"`{answer}`") if answer else F.lit(None).cast("string")]
+    return benchmark.select(*columns).mapInArrow(run, "item long, terms binary, answer binary")
+
+
 @dataclass
 class Queries:
-    """A block of benchmark passages: item and term numbers (from 1) of each, words by number, the answers' terms."""
+    """A block of benchmark passages: item, term numbers, and the answer's (None if not given) of each."""
 
     items: list[int]
     terms: list[np.ndarray]
-    answers: list[set[int] | None]
-    vocabulary: dict[bytes, int]
-
-
-def query_blocks(benchmark: DataFrame, item_id: str, text: str, answer: str | None) -> Iterator[Queries]:
-    """The benchmark in blocks of bounded size; items longer than a window become several passages."""
-    columns = [F.col(item_id).cast("long"), F.col(text), F.col(answer) if answer else F.lit(None).cast("string")]
-    block = Queries([], [], [], {})
-    for item, body, reply in benchmark.select(*columns).toLocalIterator():
-        words = words_of(body)
-        starts = [0] if len(words) <= 2 * BLOCK else [*range(0, len(words) - 2 * BLOCK, BLOCK), len(words) - 2 * BLOCK]
-        for at in starts if words else []:
-            part = words[at : at + 2 * BLOCK]
-            wanted = words_of(reply) if reply else []
-            if block.items and (len(block.items) >= MAX_PASSAGES or len(block.vocabulary) + len(part) + len(wanted) > MAX_TERMS):
-                yield block
-                block = Queries([], [], [], {})
-            number = lambda w, v=block.vocabulary: v.setdefault(w, len(v) + 1)
-            block.items.append(item)
-            block.terms.append(np.array([number(w) for w in part], np.uint16))
-            block.answers.append({number(w) for w in wanted[: MAX_TERMS // 2]} or None)
+    answers: list[np.ndarray | None]
+
+
+def query_blocks(passages: DataFrame, number: np.ndarray) -> Iterator[Queries]:
+    """The passages in blocks of bounded size."""
+    block, size = Queries([], [], []), 0
+    for item, terms, reply in passages.toLocalIterator():
+        if block.items and (len(block.items) >= MAX_PASSAGES or size > MAX_ANSWERS):
+            yield block
+            block, size = Queries([], [], []), 0
+        block.items.append(item)
+        block.terms.append(number[np.frombuffer(terms, np.uint16)])
+        block.answers.append(None if reply is None else number[np.frombuffer(reply, np.uint16)])
+        size += len(reply or b"")
     if block.items:
         yield block
 
 
-def encoded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """doc_id and terms (two bytes a word) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def encoded(docs: DataFrame, number: np.ndarray) -> DataFrame:
+    """doc_id, h1, h2 and terms (two bytes a word) of every row; number has that of each bucket."""
+    shared = docs.sparkSession.sparkContext.broadcast(number)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        get = _Numbers(shared.value).__getitem__
         for batch in batches:
             found = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(3).to_pylist():
                 words = words_of(text)
-                found.append(np.fromiter(map(get, words, repeat(0)), np.uint16, len(words)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "terms"])
+                found.append(np.fromiter(map(get, words), np.uint16, len(words)).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["doc_id", "h1", "h2", "terms"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, terms binary")
+    h1, h2 = text_hashes()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, terms binary")
 
 
 @dataclass
@@ -218,88 +254,117 @@ def _rows(vector: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), task)), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], ["task", "chunk", "part"])
 
 
-def block_frequency(texts: DataFrame, n_terms: int) -> np.ndarray:
-    """In how many blocks each term occurs; at 0, the number of blocks."""
+def _added(rows: DataFrame, length: int, add: Callable[[list[bytes], np.ndarray], None]) -> np.ndarray:
+    """The sum over tasks of what ``add`` puts into a vector from the terms of their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms + 1)
-        weighted = np.ones(n_terms + 1, bool)
-        weighted[0] = False
+        total = np.zeros(length)
         for batch in batches:
-            for _, held in _segments(batch.column(0).to_pylist()):
-                b = blocks_of(held, weighted)
-                total += np.bincount(b.term, minlength=n_terms + 1)
-                total[0] += b.n
-        yield _rows(total)
+            add(batch.column(0).to_pylist(), total)
+        if total.any():  # a task without a benchmark word has nothing to add
+            yield _rows(total)
+
+    few = rows.select("terms")
+    few = few.coalesce(SUM_TASKS) if few.rdd.getNumPartitions() > SUM_TASKS else few
+    return summed(few.mapInArrow(run, "task long, chunk int, part binary"), length)
+
 
-    return summed(texts.select("terms").mapInArrow(run, "task long, chunk int, part binary"), n_terms + 1)
+def used_buckets(passages: DataFrame) -> np.ndarray:
+    """For each bucket its number among those of terms and answers, from 1; 0 for others."""
 
+    def add(values: list[bytes], total: np.ndarray) -> None:
+        for raw in values:
+            total[np.frombuffer(raw, np.uint16)] += 1
 
-def term_weights(queries: Queries, frequency: np.ndarray, common: float) -> np.ndarray:
-    """Inverse block frequency; 0 for words of many items, unless an item would keep fewer than three words."""
+    both = passages.select("terms").unionByName(passages.where("answer is not null").select(F.col("answer").alias("terms")))
+    seen = _added(both, BUCKETS, add) > 0
+    return np.where(seen, np.cumsum(seen), 0).astype(np.uint16)
+
+
+def block_frequency(texts: DataFrame, n_terms: int) -> np.ndarray:
+    """In how many blocks each term occurs; at 0, the number of blocks."""
+    weighted = np.ones(n_terms + 1, bool)
+    weighted[0] = False
+
+    def add(values: list[bytes], total: np.ndarray) -> None:
+        for _, held in _segments(values):
+            b = blocks_of(held, weighted)
+            total += np.bincount(b.term, minlength=n_terms + 1)
+            total[0] += b.n
+
+    return _added(texts, n_terms + 1, add)
+
+
+def term_weights(passages: DataFrame, number: np.ndarray, frequency: np.ndarray, common: float) -> np.ndarray:
+    """Inverse block frequency; 0 for words of many passages, but for those of a passage that would keep fewer than three words."""
     n = len(frequency)
-    sets = [np.unique(t) for t in queries.terms]
-    by_item = np.bincount(np.concatenate(sets), minlength=n)
-    function = by_item > max(2.0, common * len(sets))
-    for s in sets:
-        if (~function[s]).sum() < 3:
-            function[s] = False
+
+    def count(values: list[bytes], total: np.ndarray) -> None:
+        for raw in values:
+            total[np.unique(number[np.frombuffer(raw, np.uint16)])] += 1
+        total[0] += len(values)  # no term of the benchmark has number 0
+
+    by_passage = _added(passages, n, count)
+    function = by_passage > max(2.0, common * by_passage[0])
+
+    def needed(values: list[bytes], total: np.ndarray) -> None:
+        for raw in values:
+            s = np.unique(number[np.frombuffer(raw, np.uint16)])
+            if (~function[s]).sum() < 3:
+                total[s] += 1
+
+    function &= _added(passages, n, needed) == 0
     weight = np.log1p(frequency[0] / np.maximum(frequency, 1.0))
     weight[function] = 0.0
     weight[0] = 0.0
     return weight
 
 
-@dataclass
-class Latent:
-    """terms: each term's weight times its row of the basis; targets: unit latent vectors of the benchmark passages."""
-
-    weight: np.ndarray
-    terms: np.ndarray
-    targets: np.ndarray
-
-
-def latent_space(texts: DataFrame, queries: Queries, weight: np.ndarray, dims: int, seed: int = 11) -> Latent:
-    """Randomised SVD of all passages; see the module's text."""
+def latent_basis(texts: DataFrame, passages: DataFrame, number: np.ndarray, weight: np.ndarray, dims: int, seed: int = 11) -> np.ndarray:
+    """Leading right singular vectors of all passages by a randomised SVD; see the module's text."""
     n = len(weight)
     width = min(n, dims + OVERSAMPLE)
     random = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
     shared = texts.sparkSession.sparkContext.broadcast((weight, random))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, random = shared.value
-        into = np.zeros((n, width))
-        windows = 0
-        for batch in batches:
-            for _, held in _segments(batch.column(0).to_pylist()):
-                windows += gram_times(blocks_of(held, weight > 0), weight, random, into)
-        if windows:  # a task without a benchmark word has nothing to add
-            yield _rows(np.append(into.ravel(), windows))
-
-    got = summed(texts.select("terms").mapInArrow(run, "task long, chunk int, part binary"), n * width + 1)
-    own = blocks_of(queries.terms, weight > 0)
-    mine = np.zeros((n, width))
-    items = gram_times(own, weight, random, mine)
-    z = weight[:, None] * (got[:-1].reshape(n, width) + mine * (max(1.0, got[-1]) / max(1, items)))
+    def times(numbers: np.ndarray | None) -> Callable[[list[bytes], np.ndarray], None]:
+        def add(values: list[bytes], total: np.ndarray) -> None:
+            weight, random = shared.value
+            for _, held in _segments(values):
+                held = held if numbers is None else [numbers[t] for t in held]
+                total[-1] += gram_times(blocks_of(held, weight > 0), weight, random, total[:-1].reshape(n, width))
+
+        return add
+
+    got, mine = _added(texts, n * width + 1, times(None)), _added(passages, n * width + 1, times(number))
+    z = weight[:, None] * (got[:-1] + mine[:-1] * (max(1.0, got[-1]) / max(1.0, mine[-1]))).reshape(n, width)
     shift = np.finfo(float).eps * max(np.linalg.norm(z), 1.0) * np.sqrt(n)
     z = z + shift * random
     middle = random.T @ z
     values, vectors = np.linalg.eigh((middle + middle.T) / 2)
     good = values > values.max() * 1e-12
     basis, _, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    basis = basis[:, :dims]
-    targets = np.zeros((len(queries.terms), n))
+    return basis[:, :dims]
+
+
+@dataclass
+class Latent:
+    """terms: each term's weight times its row of the basis; targets: latent directions of benchmark passages, and how much of each the space holds."""
+
+    weight: np.ndarray
+    terms: np.ndarray
+    targets: np.ndarray
+    held: np.ndarray
+
+
+def latent_space(queries: Queries, weight: np.ndarray, basis: np.ndarray) -> Latent:
+    targets = np.zeros((len(queries.terms), basis.shape[1]))
     for i, t in enumerate(queries.terms):
-        targets[i, t] = weight[t]
-    targets /= np.maximum(np.linalg.norm(targets, axis=1), 1e-12)[:, None]
-    held = targets @ basis
-    lost = targets[(held**2).sum(1) < 0.5]
-    if len(lost):
-        rest = lost - (lost @ basis) @ basis.T
-        basis = np.linalg.qr(np.concatenate([basis, rest.T], axis=1))[0]
-        held = targets @ basis
-    held /= np.maximum(np.linalg.norm(held, axis=1), 1e-12)[:, None]
-    return Latent(weight, (weight[:, None] * basis).astype(np.float32), held.astype(np.float32))
+        t = np.unique(t)
+        targets[i] = weight[t] @ basis[t] / max(np.linalg.norm(weight[t]), 1e-12)
+    held = np.linalg.norm(targets, axis=1)
+    targets /= np.maximum(held, 1e-12)[:, None]
+    return Latent(weight, (weight[:, None] * basis).astype(np.float32), targets.astype(np.float32), held)
 
 
 def lcs_length(pattern: np.ndarray, region: np.ndarray) -> int:
@@ -317,34 +382,41 @@ def lcs_length(pattern: np.ndarray, region: np.ndarray) -> int:
     return len(pattern) - row.bit_count()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, dims: int = DIMS, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, common: float = COMMON, item_id: str = "item_id", text: str = "text", answer_column: str | None = None) -> DataFrame:
-    """doc_id, item_id, cosine, lcs, answer, word_start of each document and item whose passage it holds."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, dims: int = DIMS, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, sure: float = SURE, common: float = COMMON, item_id: str = "item_id", text: str = "text", answer_column: str | None = None) -> DataFrame:
+    """doc_id, h1, h2 (hashes of the text), item_id, cosine, lcs, answer, word_start of each row of docs and each item whose passage it holds."""
     spark = prepare(docs.sparkSession)
-    schema = "doc_id long, item_id long, cosine double, lcs double, answer double, word_start long"
+    schema = "row long, doc_id long, h1 long, h2 long, item_id long, cosine double, lcs double, answer double, word_start long"
     out = spark.createDataFrame([], schema)
-    for queries in query_blocks(benchmark, item_id, text, answer_column):
-        texts = stash(encoded(docs, queries.vocabulary))
-        frequency = block_frequency(texts, len(queries.vocabulary))
-        weight = term_weights(queries, frequency, common)
-        space = latent_space(texts, queries, weight, dims)
-        out = out.unionByName(_search(texts, queries, space, cosine, lcs, answer, schema))
-    return out
-
-
-def _search(texts: DataFrame, queries: Queries, space: Latent, cosine: float, lcs: float, answer: float, schema: str) -> DataFrame:
+    passages = stash(passages_of(benchmark, item_id, text, answer_column))
+    number = used_buckets(passages)
+    if not number.any():
+        return out.drop("row")
+    texts = stash(encoded(docs, number).select(F.monotonically_increasing_id().alias("row"), "*"))
+    weight = term_weights(passages, number, block_frequency(texts, int(number.max())), common)
+    basis = latent_basis(texts, passages, number, weight, dims)
+    for queries in query_blocks(passages, number):
+        out = out.unionByName(_search(texts, queries, latent_space(queries, weight, basis), cosine, lcs, answer, sure, schema))
+    discard(passages)
+    # An item's passages may lie in several blocks; the nearest one that was confirmed tells of the pair.
+    nearest = F.min_by(F.struct("doc_id", "h1", "h2", "cosine", "lcs", "answer", "word_start"), F.struct(-F.col("cosine"), "word_start", "lcs"))
+    return out.groupBy("row", "item_id").agg(nearest.alias("best")).select("best.doc_id", "best.h1", "best.h2", "item_id", *[f"best.{c}" for c in ("cosine", "lcs", "answer", "word_start")])
+
+
+def _search(texts: DataFrame, queries: Queries, space: Latent, cosine: float, lcs: float, answer: float, sure: float, schema: str) -> DataFrame:
     wanted = []
     for t, given in zip(queries.terms, queries.answers, strict=True):
         own = list(dict.fromkeys(int(x) for x in t if space.weight[x] > 0))
-        wanted.append(np.array(sorted(given or own[-max(1, -(-len(own) // 3)) :]), np.uint16))
-    shared = texts.sparkSession.sparkContext.broadcast((space, queries.items, queries.terms, wanted))
+        wanted.append(np.array(own[-max(1, -(-len(own) // 3)) :], np.uint16) if given is None else given)
+    asked = [given is not None for given in queries.answers]
+    shared = texts.sparkSession.sparkContext.broadcast((space, queries.items, queries.terms, wanted, asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, items, terms, wanted = shared.value
+        space, items, terms, wanted, asked = shared.value
+        least = cosine * space.held
         step = max(1, (1 << 22) // max(1, len(items)))
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             best: dict[tuple[int, int], tuple] = {}
-            for rows, held in _segments(batch.column(1).to_pylist()):
+            for rows, held in _segments(batch.column(4).to_pylist()):
                 b = blocks_of(held, space.weight > 0)
                 square = _squares(b, space.weight)
                 some = np.flatnonzero(square > 0)
@@ -355,8 +427,8 @@ def _search(texts: DataFrame, queries: Queries, space: Latent, cosine: float, lc
                     w = some[at : at + step]
                     x = y[b.first[w]] + y[b.second[w]] * (b.first[w] != b.second[w])[:, None]
                     near = (x @ space.targets.T) / np.sqrt(square[w])[:, None]
-                    n, q = np.nonzero(near >= cosine)
-                    tried += zip((-near[n, q]).tolist(), b.first[w[n]].tolist(), q.tolist(), strict=True)
+                    n, q = np.nonzero(near >= least)
+                    tried += zip((-near[n, q] / space.held[q]).tolist(), b.first[w[n]].tolist(), q.tolist(), strict=True)
                 for minus, block, q in sorted(tried):
                     k = int(np.searchsorted(starts, block, side="right")) - 1
                     pair = (rows[k], items[q])
@@ -366,15 +438,27 @@ def _search(texts: DataFrame, queries: Queries, space: Latent, cosine: float, lc
                     region = held[k][at : at + 4 * BLOCK]
                     share = lcs_length(terms[q], region) / len(terms[q])
                     there = float(np.isin(wanted[q], region).mean()) if len(wanted[q]) else 1.0
-                    if share >= lcs and there >= answer:
+                    if share >= lcs and (there >= answer or (share >= sure and not asked[q])):
                         best[pair] = (-minus, share, there, at)
             if best:
-                cols = [[ids[row] for row, _ in best], [item for _, item in best], *map(list, zip(*best.values(), strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "cosine", "lcs", "answer", "word_start"])
+                rows = pa.array([row for row, _ in best])
+                cols = [[item for _, item in best], *map(list, zip(*best.values(), strict=True))]
+                types = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns[:4]], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["row", "doc_id", "h1", "h2", "item_id", "cosine", "lcs", "answer", "word_start"])
 
     return texts.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no passage of the benchmark; rows are told apart by doc_id and text."""
+    found = stash(contaminated(docs, benchmark).select("doc_id", "h1", "h2").distinct())
+    a, b = unused(docs, "h1", "h2")
+    h1, h2 = text_hashes()
+    mine = docs.withColumn(a, h1).withColumn(b, h2)
+    leak = mine["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (mine[a] == found["h1"]) & (mine[b] == found["h2"])
+    return mine.join(found, leak, "left_anti").drop(a, b)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a passage of the benchmark, with the item."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h1", "h2")
