@@ -8,7 +8,6 @@ four stages, whatever they are called. No stage drops a row with null text: it h
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, neardup, pieces, secrets, toxicity
 from tidemill.llm.common import stash
@@ -22,15 +21,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id. Of rows that repeat it with the same text, one."""
-    found = neardup.near_duplicates(docs)
-    return neardup.representatives(docs, found)
+    """One document of each group of near copies: the smallest doc_id. Of rows equal in doc_id and text, one."""
+    return neardup.representatives(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = stash(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
