@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import attribution, decontaminate, language, neardup, pieces, ppm, secrets, toxicity
 from tidemill.tables import table
@@ -35,12 +36,29 @@ def test_toxicity_on_held_out_labels(spark):
     assert auc > 0.9
 
 
-def test_machine_learns_a_pair_that_no_weight_can():
-    x = np.array([[a, b] for a in (0, 1) for b in (0, 1)] * 200, float)
-    y = (x[:, 0] != x[:, 1]).astype(float)
-    model = toxicity.FactorizationMachine(np.arange(2), *toxicity.fit_machine(x, y, epochs=400, rate=0.05), 1)
-    z = [model.raw(np.array(i, int)) for i in ([], [0], [1], [0, 1])]
-    assert z[0] < 0 < z[1] and z[2] > 0 > z[3]
+def test_machine_equals_its_pairwise_sum():
+    rng = np.random.default_rng(0)
+    model = toxicity.FactorizationMachine(0.3, rng.normal(size=64), rng.normal(size=(64, 4)), 63)
+    for text in ("alpha beta, Gamma delta!", "", None, "one one two"):
+        i = sorted(toxicity.term_buckets(text, 63))
+        pairs = sum(model.factors[a] @ model.factors[b] for n, a in enumerate(i) for b in i[n + 1 :])
+        z = 0.3 + sum(model.weights[a] for a in i) + pairs
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_a_pair_that_no_weight_can_tell_is_learned_from_documents(spark):
+    """Toxic if just one of two terms is there: neither has a signal of its own."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(2400):
+        a, b = int(rng.integers(2)), int(rng.integers(2))
+        words = [f"f{k}" for k in rng.integers(0, 60, 6)] + ["red"] * a + ["blue"] * b
+        rows.append((i, " ".join(rng.permutation(words)), int(a != b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(spark, docs, labels, F.col("doc_id") < 2000, epochs=60, factor_rate=0.05, l2=1.0)
+    held = rows[2000:]
+    assert ((model.score([t for _, t, _ in held]) >= 0.5) == np.array([y for *_, y in held], bool)).mean() > 0.97
 
 
 def test_toxicity_odd_inputs(spark):
@@ -50,7 +68,7 @@ def test_toxicity_odd_inputs(spark):
     rows = toxicity.score(docs, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
     nothing = toxicity.fit(spark, docs, labels.where("false"))
-    assert {r.predicted for r in toxicity.score(docs, nothing).collect()} == {0}
+    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
     assert toxicity.rejected_removed(docs, nothing).columns == docs.columns
     assert toxicity.score(docs.where("false"), model).count() == 0
 

@@ -3,15 +3,18 @@
 The model is ``b + x.w + 1/2 * sum_f((x.V_f)^2 - x^2.V_f^2)`` over the presence of hashed terms:
 the pairwise part learns that two terms matter together, which additive weights can't express.
 
-Fitting reads a bounded sample of labelled rows (``sample_rows``, in order of a hash of the id); the
-terms' counts go through Spark as at most ``2**bits`` rows, and only the ``terms`` buckets with the largest
-chi-squared statistic against the label stay in the model, so its size is fixed. Scoring is one pass
+Every hashed bucket that a labelled row of the sample holds gets a weight and factors; none is left out, as a term may matter in pairs
+alone. A bucket counts by n / (n + ``SHRINK``), n being the sampled rows that have it, so chance findings of rare terms weigh little.
+Weights are learned by a proximal update that leaves those at 0 whose evidence stays under ``L1``, factors by adaptive steps with an L2 penalty.
+
+Fitting reads a bounded sample of labelled rows to the driver (``sample_rows`` rows and ``sample_terms`` distinct terms of rows at most,
+in order of a hash of the id), so the model has at most ``2**bits`` buckets, whatever the corpus. Scoring is one pass
 over whole texts without a shuffle.
 
 Cases: a null or empty text has no terms and gets the model's base rate. Rows without a label, or with a null
-label, aren't learned from; a doc_id labelled more than once counts as toxic if any of its rows does. With no labelled
-rows every score is 0. Repeated rows are scored alike, one row out for each row in. Columns other than those named
-are ignored.
+label, aren't learned from; a doc_id labelled more than once counts as toxic if any of its rows does, and each document row with that id
+is a row of the sample. With no labelled rows every score is 0. Texts of any length are scored whole. Repeated rows are scored alike, one row out for each row in. Columns other than those named
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import prepare, remainder, stash, widened, without
+from tidemill.llm.common import discard, prepare, remainder, stash, widened, without
 from tidemill.tables import table
 
 BITS = 18
-TERMS = 1024
 SAMPLE_ROWS = 20_000
+SAMPLE_TERMS = 20_000_000
 FACTORS = 8
 THRESHOLD = 0.3
+SHRINK = 20
+L1 = 8.0
 _EDGE = ".,;:!?\"'()[]{}<>|*#%&$@_-~`+=/\\"
 
 
@@ -45,106 +50,115 @@ def term_buckets(text: str | None, mask: int) -> set[int]:
 
 @dataclass
 class FactorizationMachine:
-    """bucket_ids[i] is the hashed bucket of feature i; an unfitted model scores 0."""
+    """Weights and factors by bucket, 0 where nothing was learned; an unfitted model scores 0."""
 
-    bucket_ids: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
     mask: int
 
-    def raw(self, idx: np.ndarray) -> float:
-        if not len(idx):
-            return self.bias
-        v = self.factors[idx]
+    def raw(self, buckets: np.ndarray) -> float:
+        v = self.factors[buckets]
         s = v.sum(0)
-        return float(self.bias + self.weights[idx].sum() + 0.5 * ((s * s).sum() - (v * v).sum()))
+        return float(self.bias + self.weights[buckets].sum() + 0.5 * ((s * s).sum() - (v * v).sum()))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        index = {int(b): i for i, b in enumerate(self.bucket_ids)}
-        known = index.keys()
-        out = np.empty(len(texts))
-        for n, text in enumerate(texts):
-            hit = term_buckets(text, self.mask) & known
-            out[n] = self.raw(np.fromiter((index[b] for b in sorted(hit)), np.int64, len(hit)))
+        if self.bias == -np.inf:
+            return np.zeros(len(texts))
+        found = [term_buckets(t, self.mask) for t in texts]
+        out = np.array([self.raw(np.sort(np.fromiter(b, np.int64, len(b)))) for b in found])
         return 1.0 / (1.0 + np.exp(-np.clip(out, -40, 40)))
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = 12, rate: float = 0.02, l2: float = 3e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam over mini-batches of presence rows; log loss with L2 on weights and factors."""
+@dataclass
+class _Batch:
+    """Rows of a batch one after another: features as numbers of the batch's distinct ones, which come in order."""
+
+    size: np.ndarray
+    start: np.ndarray
+    distinct: np.ndarray
+    inverse: np.ndarray
+    order: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> _Batch:
+        flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
+        order = np.argsort(flat, kind="stable")
+        new = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
+        inverse = np.empty(len(flat), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        return cls(size, np.cumsum(size) - size, flat[order][first], inverse, order, first)
+
+
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, d: int, factors: int = FACTORS, epochs: int = 5, rate: float = 0.3, factor_rate: float = 0.01, l1: float = L1, l2: float = 20.0, shrink: float = SHRINK, start: float = 0.01, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors of d features by mini-batches of presence rows: log loss, see the module's text."""
     rng = np.random.default_rng(seed)
-    n, d = x.shape
+    n = len(rows)
     p = np.clip(y.mean(), 1e-4, 1 - 1e-4)
-    theta = [np.array([np.log(p / (1 - p))]), np.zeros(d), rng.normal(0, 0.01, (d, factors))]
-    m, s = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    step = 0
+    bias, weight, factor = np.log(p / (1 - p)), np.zeros(d), rng.normal(0, start, (d, factors))
+    seen = np.bincount(np.concatenate(rows), minlength=d)
+    value = seen / (seen + shrink)
+    touched = -np.expm1(-seen * 256 / n)  # how often a batch has the feature: a penalty is due for all batches
+    push, square, factor_square, bias_square = np.zeros(d), np.zeros(d), np.ones((d, factors)), 1.0
     for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, 256):
-            rows = order[at : at + 256]
-            xb, yb = x[rows].astype(np.float64), y[rows]
-            b, w, v = theta
-            xv = xb @ v
-            z = b[0] + xb @ w + 0.5 * ((xv**2).sum(1) - (xb @ (v**2)).sum(1))
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - yb) / len(rows)
-            xg = xb.T @ g
-            grads = [np.array([g.sum()]), xg + l2 * w, xb.T @ (g[:, None] * xv) - xg[:, None] * v + l2 * v]
-            step += 1
-            for k in range(3):
-                m[k] = 0.9 * m[k] + 0.1 * grads[k]
-                s[k] = 0.999 * s[k] + 0.001 * grads[k] ** 2
-                theta[k] = theta[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-    return float(theta[0][0]), theta[1], theta[2]
-
-
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample_rows: int = SAMPLE_ROWS, terms: int = TERMS, bits: int = BITS) -> FactorizationMachine:
-    """Learn from at most ``sample_rows`` labelled ids; ``learn`` says which ids may be learned from."""
+            pick = [i for i in order[at : at + 256] if len(rows[i])]
+            if not pick:
+                continue
+            b = _Batch.of([rows[i] for i in pick])
+            x, u = value[b.distinct], b.distinct
+            scaled = factor[u] * x[:, None]
+            v = scaled[b.inverse]
+            s = np.add.reduceat(v, b.start, axis=0)
+            z = bias + np.add.reduceat((weight[u] * x)[b.inverse], b.start) + 0.5 * ((s**2).sum(1) - np.add.reduceat((v**2).sum(1), b.start))
+            error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[pick]
+            each = np.repeat(error, b.size)
+            total = np.bincount(b.inverse, weights=each, minlength=len(u))
+            g = total * x
+            grown = square[u] + g**2
+            push[u] += g - (np.sqrt(grown) - np.sqrt(square[u])) / rate * weight[u]
+            square[u] = grown
+            weight[u] = np.where(np.abs(push[u]) <= l1, 0.0, -(push[u] - np.sign(push[u]) * l1) / ((1 + np.sqrt(grown)) / rate + 1.0))
+            pulled = np.add.reduceat((each[:, None] * np.repeat(s, b.size, axis=0))[b.order], b.first, axis=0)
+            g = (pulled - total[:, None] * scaled) * x[:, None] + (l2 * 256 / n / touched[u])[:, None] * factor[u]
+            factor_square[u] += g**2
+            factor[u] -= factor_rate * g / np.sqrt(factor_square[u])
+            bias_square += error.sum() ** 2
+            bias -= 0.1 * error.sum() / np.sqrt(bias_square)
+    return float(bias), weight * value, factor * value[:, None]
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_terms: int = SAMPLE_TERMS, bits: int = BITS, **training: float) -> FactorizationMachine:
+    """Learn from at most ``sample_rows`` labelled rows; ``learn`` says which ids may be learned from."""
     prepare(spark)
     mask = (1 << bits) - 1
     labelled = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(F.lit(True) if learn is None else learn)
     labelled = labelled.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")  # at most sample_rows short rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", F.xxhash64("doc_id").alias("key"), F.xxhash64("text").alias("text_key"), "text")  # at most sample_rows short rows
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(term_buckets(t, mask)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["y", "buckets"])
-
-    seen = stash(rows.mapInArrow(hashed, "y int, buckets array<int>"))
-    n, positive = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    empty = FactorizationMachine(np.zeros(0, np.int64), -40.0, np.zeros(0), np.zeros((0, FACTORS)), mask)
-    if not n:
-        return empty
-    counts = seen.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("y").alias("p")).toPandas()  # 2**bits rows at most
-    least = max(2, n // 2000)
-    counts = counts[counts["n"] >= least]
-    a, nb = counts["p"].to_numpy(float), counts["n"].to_numpy(float)
-    expected = nb * positive / n
-    spread_ = np.maximum(expected * (1 - positive / n) * (1 - nb / n), 1e-9)
-    counts = counts.assign(chi=(a - expected) ** 2 / spread_).sort_values(["chi", "bucket"], ascending=[False, True]).head(terms)
-    kept = np.sort(counts["bucket"].to_numpy(np.int64))
-    index = {int(b): i for i, b in enumerate(kept)}
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits_ = [np.packbits(_presence(row, index)).tobytes() for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits_, pa.binary())], ["y", "bits"])
-
-    got = seen.mapInArrow(chosen, "y int, bits binary").toArrow()  # sample_rows rows of terms / 8 bytes
-    rows_ = sorted(zip(got["bits"].to_pylist(), got["y"].to_pylist(), strict=True))  # the same order whichever task came first
-    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8))[: len(kept)] for b, _ in rows_]).reshape(len(rows_), len(kept))
-    bias, w, v = fit_machine(x, np.array([y for _, y in rows_], float))
-    return FactorizationMachine(kept, bias, w, v, mask)
-
-
-def _presence(buckets: list[int], index: dict[int, int]) -> np.ndarray:
-    out = np.zeros(len(index), np.uint8)
-    for b in buckets:
-        i = index.get(b)
-        if i is not None:
-            out[i] = 1
-    return out
+            found = [sorted(term_buckets(t, mask)) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), *batch.columns[1:3], pa.array([len(b) for b in found], pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["y", "key", "text_key", "n", "buckets"])
+
+    seen = stash(rows.mapInArrow(hashed, "y int, key long, text_key long, n long, buckets array<int>"))
+    first = ["key", "text_key", "y"]
+    sizes = np.array([r.n for r in seen.select(*first, "n").orderBy(*first).limit(sample_rows).select("n").collect()], np.int64)
+    kept = int(np.searchsorted(np.cumsum(sizes), sample_terms, side="right"))
+    got = seen.orderBy(*first).limit(max(kept, 1)).select("y", "buckets").toArrow()
+    discard(seen)
+    flat = got["buckets"].combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0, np.int32)
+    weights, factors = np.zeros(mask + 1, np.float32), np.zeros((mask + 1, FACTORS), np.float32)
+    if not got.num_rows:
+        return FactorizationMachine(-np.inf, weights, factors, mask)
+    buckets, numbers = np.unique(flat, return_inverse=True)
+    lists = np.split(numbers, np.cumsum([len(b) for b in got["buckets"]])[:-1])
+    bias, weights[buckets], factors[buckets] = fit_machine(lists, got["y"].to_numpy().astype(float), len(buckets), **training)
+    return FactorizationMachine(bias, weights, factors, mask)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
