@@ -1,7 +1,7 @@
 """Secret scans: a random forest decides which candidates are secrets.
 
-*Candidates* are runs of 16 or more characters of keys and tokens that hold a digit, and values assigned to a name such as ``password`` or
-``api_key``. *Features* of a candidate are its length, how likely its characters follow one another in words,
+*Candidates* are runs of 16 or more characters of keys and tokens, values (of 4 characters or more) assigned to a name that ends in or goes on from a word such as ``password`` or
+``api_key``, and blocks of private keys between their BEGIN and END lines (of ``PEM`` characters at most; a longer one gives its lines as runs). *Features* of a candidate are its length, how likely its characters follow one another in words,
 how much of it words of a dictionary cover, its make-up, whether it lies in a path, address or URL, and the
 words next to it. *Forest*: trees grown on labelled findings (a table of before, candidate, after, label) decide.
 
@@ -10,7 +10,7 @@ commit ids, identifiers, numbers, addresses, paths and placeholders. Fitting tak
 Scanning is one pass over whole texts without a shuffle; the forest (a fixed number of trees of bounded depth) is broadcast.
 
 Cases: a null or empty text has no finding. Repeated rows are scanned one by one, equal findings of a text are each reported. Candidates never
-overlap; where both kinds start at the same character, the assigned value is taken. With no labelled finding every score is 0 and nothing is a secret.
+overlap; where a run holds the name of an assignment, the assigned value is taken. Very long texts are searched whole. With no labelled finding every score is 0 and nothing is a secret.
 Other columns are kept by :func:`redact` and ignored by :func:`scan`.
 """
 
@@ -39,7 +39,12 @@ DEPTH = 12
 THRESHOLD = 0.5
 AROUND = 48  # characters on either side whose words count
 
-_CANDIDATE = re.compile(r"""(?i:(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\w{0,20}["']?\s?[:=]=?\s?["']?)(?P<value>[^\s"'<>,;|]{8,})|(?P<run>[A-Za-z0-9][A-Za-z0-9+/=_.~-]{15,})""")
+PEM = 20_000
+_NAME = r"(?i:(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\w{0,20})"
+_VALUE = r"""["']?\s?[:=]=?\s?["']?(?P<value>[^\s"'<>,;|]{4,})"""
+_BLOCK = rf"(?P<block>-----BEGIN [A-Z0-9 ]{{0,30}}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{{0,{PEM}}}?-----END [A-Z0-9 ]{{0,30}}PRIVATE KEY-----)"
+_ASSIGNED = re.compile(_NAME + _VALUE)
+_CANDIDATE = re.compile(rf"{_BLOCK}|{_NAME}{_VALUE}|(?P<run>[A-Za-z0-9][A-Za-z0-9+/_.~-]{{15,}}={{0,2}})")
 _WORD = re.compile(r"[A-Za-z]+")
 #: Names that go with credentials, and names that go with other long tokens.
 _SECRET_WORDS = frozenset("token secret password passwd pwd key apikey auth authorization bearer credential credentials private access login signing".split())
@@ -71,15 +76,22 @@ _TABLE = _class_table()
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Character spans of candidates; runs without a digit, and assigned values of punctuation only, are left out."""
+    """Character spans of candidates; assigned values of punctuation only are left out."""
     at = 0
     while m := _CANDIDATE.search(text, at):
-        start, end = m.span("value") if m.group("value") else m.span("run")
-        body = text[start:end].rstrip(".,:;!?#$%&*)]}")
+        name_end = m.start() + len((m.group("run") or "").rstrip("="))
+        if m.group("run") and text[name_end : name_end + 3].lstrip("\"' ").startswith((":", "=")):
+            inner = _ASSIGNED.search(text, m.start(), m.end() + 256)
+            if inner and inner.start() < name_end:
+                m = _ASSIGNED.match(text, inner.start())  # its value isn't cut off
+        kind = m.lastgroup
+        start, end = m.span(kind)
         at = m.end()
-        if m.group("run") and not any(c.isdigit() for c in body):
+        if kind == "block":
+            yield start, end
             continue
-        if len(body) >= 8 and any(c.isalnum() for c in body):
+        body = text[start:end].rstrip(".,:;!?#$%&*)]}")
+        if len(body) >= 4 and any(c.isalnum() for c in body):
             yield start, start + len(body)
 
 
@@ -145,6 +157,8 @@ def features(before: str, body: str, after: str, words: Words) -> list[float]:
         float(any(w in _OTHER_WORDS for w in near_before + near_after)),
         float(after.startswith("@")),
         max((len(m) for m in re.findall(r"[A-Za-z]+", body)), default=0) / n,
+        float("PRIVATE KEY-" in body),
+        sum(c in "aeiouyAEIOUY" for c in body) / max(1, lower + upper),
     ]
 
 
@@ -226,7 +240,20 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[str, str,
     phrase = lambda k: " ".join(chars(int(rng.integers(2, 11)), alnum[:26]) if rng.random() < 0.5 else word() for _ in range(k))
     b64 = lambda k: base64.b64encode(rng.bytes(k)).decode()
 
+    letters = alnum[:52]
+    syllable = lambda: chars(1, "bcdfghklmnprstvw") + chars(1, "aeiou") + pick("", "", chars(1, "nrstl"))
+
     def secret() -> tuple[str, str, str]:
+        if rng.random() < 0.08:
+            kind = pick("", "RSA ", "EC ", "OPENSSH ")
+            lines = "\n".join(b64(48) for _ in range(int(rng.integers(1, 8))))
+            return pick("", "key: ", "\n"), f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}\n-----END {kind}PRIVATE KEY-----", ""
+        if rng.random() < 0.12:
+            value = chars(int(rng.integers(20, 41)), pick(letters, letters[:26], letters[26:]))
+            return pick("key ", "the token is ", "secret ", 'api_key = "', "access_key: ", "bearer ", ""), value, ""
+        if rng.random() < 0.12:
+            value = chars(2, letters[:26]).title() + chars(int(rng.integers(2, 5)), alnum) + chars(1, "0123456789") + chars(int(rng.integers(0, 3)), "!@$%*+?_")
+            return pick("password: ", "passwd=", "pwd = ", 'password="', "my_password: ", "DB_PASSWORD="), value.rstrip("!$%*?"), ""
         value = pick(lambda: hexa(pick(32, 40, 64)), lambda: hexa(40), lambda: b64(pick(18, 24, 32, 48)), lambda: chars(int(rng.integers(16, 48)), alnum), lambda: pick("ghp_", "sk_live_", "xoxb-", "key-", "AKIA") + chars(int(rng.integers(16, 37)), alnum), lambda: chars(int(rng.integers(8, 16)), alnum + "!#$%&*+?@_"), lambda: f"eyJ{b64(18).rstrip('=')}.eyJ{b64(30).rstrip('=')}.{b64(24).rstrip('=')}")()
         name = pick("token", "secret", "password", "api_key", "apikey", "access_key", "secret_key", "auth_token", "private_key", "passwd")
         opening, closing = pick((f'{name} = "', '"'), (f"{name}='", "'"), (f"{name}: ", ""), (f'"{name}": "', '",'), (f"{name}=", ""), ("authorization: bearer ", ""), (f"export {name}=", ""))
@@ -246,6 +273,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = 3) -> list[tuple[str, str,
             lambda: ("version ", f"{word()}-{rng.integers(9)}.{rng.integers(99)}.{rng.integers(999)}-{word()}", ""),
             lambda: ("", f"20{rng.integers(10, 30)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{rng.integers(10, 24)}:{rng.integers(10, 60)}:{rng.integers(10, 60)}Z".replace(":", "-"), ""),
             lambda: (pick("password", "the token", "a key") + pick(": ", " = "), word() + pick("-", "_", ".") + word(), ""),
+            lambda: (pick("password: ", "token: ", "secret = ", "auth: ", "token=", "passwords: "), pick(word, word, lambda: pick("none", "null", "true", "false", "string", "basic", "required", "optional", "your", "self.token", "get_token()", "request.token", "args.password"))(), pick("", " is", " and")),
+            lambda: (word() + " ", "".join(syllable() for _ in range(int(rng.integers(7, 12)))), pick("", ".", " " + word())),
+            lambda: (pick("", "def ", "class ", "call "), pick("", "_", "-", ".").join(pick(str, str.title)(pick(word, syllable)()) for _ in range(int(rng.integers(4, 7)))), pick("", "(", " =")),
+            lambda: (pick("see ", "in ", "/", "./"), "/".join(pick(word, syllable)() for _ in range(int(rng.integers(4, 7)))) + pick("", "/", ".txt", ".py"), ""),
             lambda: (word() + " ", "".join(pick(*DICTIONARY[:80]) for _ in range(5)) + str(rng.integers(9)), ""),
         )()
 
