@@ -56,6 +56,17 @@ def test_urls_equal_brute_force(spark):
         assert (r.blocked, r["list"], r["pattern"]) == judged(LOG, r.url, str(r.fetched)), (r.url, r.fetched)
 
 
+def test_null_times_null_entries_and_long_paths(spark):
+    long = "https://b.com/" + "x/" * 20_000
+    rows_ = [("https://b.com/x", None), (long, date(2023, 1, 20)), ("https://z.com/" + "y/" * 20_000, date(2023, 1, 20))]
+    captures = spark.createDataFrame(rows_, "url string, fetched date")
+    odd = [*LOG, ("n", "b.com/x/x", "block", "add", "2023-01-13")]
+    log = urllists.log_frame(spark, odd).unionByName(spark.sql("select null as list, 'b.com' as pattern, 'block' as verdict, 'add' as action, date'2022-01-01' as day"))
+    got = {r.url: r for r in urllists.judge(captures, urllists.intervals(log)).collect()}
+    assert (got["https://b.com/x"].blocked, got["https://b.com/x"].pattern) == (False, None)
+    assert (got[long].blocked, got[long].pattern) == (True, "b.com/x/x") and not got[rows_[2][0]].blocked
+
+
 def test_empty_log_or_table(spark):
     captures = spark.createDataFrame([("https://b.com", date(2023, 5, 5))], "url string, fetched date")
     assert not urllists.judge(captures, urllists.intervals(urllists.log_frame(spark, []))).first().blocked

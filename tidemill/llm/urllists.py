@@ -7,15 +7,18 @@ patterns that can match it: the host, each parent domain, and host plus each lea
 An active allow entry wins over block entries that are no more specific than it (a longer pattern is more specific);
 of equal specificity allow wins, and of equal entries the list first in order is named.
 
-Patterns of a capture are exploded (labels of the host plus parts of the path) and equi-joined to intervals on the pattern
-with the time as the rest of the condition, so no rows of a pattern are compared with other patterns. Spark broadcasts the
+Patterns of a capture are exploded and equi-joined to intervals on the pattern
+with the time as the rest of the condition, so no rows of a pattern are compared with other patterns. Of a path, only the leading parts
+of lengths that patterns of that host have are made, so a path of any length costs no more. Spark broadcasts the
 intervals only under its checked size threshold; otherwise a sort-merge join runs, which AQE splits where one host has
-a third of the captures. Captures are first reduced to distinct (host, path key, day), so copies of a URL are judged
+a third of the captures. Captures are first reduced to distinct (host, path, day), so copies of a URL are judged
 once; the html column is never read.
 
-Cases: a null or unparsable URL has a null host and isn't blocked. An entry removed before it is added has no
+Cases: a null or unparsable URL has a null host and isn't blocked; nor is a capture with a null fetch time, as no interval holds it. An entry of
+the log with a null field is ignored. An entry removed before it is added has no
 effect; adding twice changes nothing; of several changes to a pattern on one day in one list the last action in
-order (remove after add) holds. An empty log blocks nothing. Repeated captures are answered one by one.
+order (remove after add) holds. An empty log blocks nothing. Repeated captures are answered one by one. Of the input's columns, those named as
+the ones added are replaced.
 """
 
 from __future__ import annotations
@@ -62,18 +65,24 @@ def path_of(url: Column) -> Column:
     return F.trim(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1), F.lit("/"))
 
 
-def patterns(host: Column, path: Column) -> Column:
-    """All patterns that match: the host's suffixes, and the host with leading parts of the path."""
-    labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda p: p != "")
+def suffixes(host: Column) -> Column:
+    """The host and its parent domains."""
+    labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    heads = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(suffixes, heads))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+
+
+def heads(host: Column, path: Column, lengths: Column) -> Column:
+    """The host with as many leading parts of the path as each of the lengths says; lengths the path hasn't are left out."""
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    fitting = F.filter(lengths, lambda n: n <= F.size(parts))
+    return F.transform(fitting, lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
 
 
 def intervals(log: DataFrame) -> DataFrame:
     """(list, pattern, verdict, valid_from, valid_to): when an entry was active; valid_to null while it still is."""
     key = ["list", "pattern", "verdict"]
+    log = log.dropna(subset=[*key, "action", "day"])
     daily = log.groupBy(*key, "day").agg(F.max((F.col("action") == "remove").cast("int")).alias("removed"))
     order = Window.partitionBy(*key).orderBy("day")
     changes = daily.withColumn("before", F.lag("removed", 1, 1).over(order)).where(F.col("removed") != F.col("before"))
@@ -85,8 +94,13 @@ def judge(captures: DataFrame, active: DataFrame, url: str = "url", fetched: str
     captures = without(captures, "host", "blocked", "list", "pattern")
     captures = captures.withColumn("host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
     places = captures.select("host", "_path", F.col(fetched).alias("_day")).where("host is not null").distinct()
-    tried = places.withColumn("pattern", F.explode(patterns(F.col("host"), F.col("_path"))))
-    hit = tried.join(active, (tried["pattern"] == active["pattern"]) & (tried["_day"] >= active["valid_from"]) & (active["valid_to"].isNull() | (tried["_day"] < active["valid_to"]))).select(tried["host"], tried["_path"], tried["_day"], active["list"], active["pattern"], active["verdict"])
+    below = active.where(F.col("pattern").contains("/")).select(F.substring_index("pattern", "/", 1).alias("_host"), (F.size(F.split("pattern", "/")) - 1).alias("_n"))
+    lengths = below.groupBy("_host").agg(F.collect_set("_n").alias("_lengths"))
+    known = places.join(lengths, places["host"] == lengths["_host"], "left").withColumn("_lengths", F.coalesce("_lengths", F.array().cast("array<int>")))
+    matching = F.array_distinct(F.concat(suffixes(F.col("host")), heads(F.col("host"), F.col("_path"), F.col("_lengths"))))
+    tried = known.select("host", "_path", "_day", F.explode(matching).alias("pattern"))
+    active_then = (F.col("t._day") >= F.col("a.valid_from")) & (F.col("a.valid_to").isNull() | (F.col("t._day") < F.col("a.valid_to")))
+    hit = tried.alias("t").join(active.alias("a"), (F.col("t.pattern") == F.col("a.pattern")) & active_then).select("t.host", "t._path", "t._day", "a.list", "a.pattern", "a.verdict")
     # The least of (shorter pattern last, allow first, list, pattern) decides.
     decided = hit.groupBy("host", "_path", "_day").agg(F.min(F.struct((-F.length("pattern")).alias("short"), (F.col("verdict") == "block").alias("blocked"), "list", "pattern")).alias("_by"))
     joined = captures.alias("c").join(decided.alias("d"), (F.col("c.host") == F.col("d.host")) & (F.col("c._path") == F.col("d._path")) & (F.col(f"c.`{fetched}`") == F.col("d._day")), "left")
