@@ -251,6 +251,7 @@ def test_pieces_odd_inputs(spark, coder):
     rows = pieces.encode(frame(spark), coder.vocabulary).collect()
     assert len(rows) == len(ODD) and rows[0].ids is None and rows[0].exact is None and rows[1].ids == [] and rows[1].exact
     assert [r.exact for r in rows if r.text and "▁" in r.text] == [False]
+    assert pieces.encode(frame(spark).where("false"), coder.vocabulary).count() == 0
     for text in ("", " ", "a b", "a  b", "▁", "x" * 200):
         assert coder.checked(text)[0] == coder.encode(text)
 
@@ -333,6 +334,50 @@ def test_language_on_held_out_rows(spark, medium):
     assert (got.lang_pred == got.lang).mean() > 0.95
 
 
+def plain_ranks(texts, most):
+    """n-grams of letters inside padded words by falling count, equal ones in order of their code points."""
+    counts = Counter()
+    for text in texts:
+        word = ""
+        for c in text + " ":
+            if c.isalpha():
+                word += c.lower()[0]
+            elif word:
+                padded = f" {word} "
+                counts.update(word)
+                counts.update(padded[i : i + 2] for i in range(len(padded) - 1))
+                counts.update(padded[i : i + 3] for i in range(len(padded) - 2))
+                word = ""
+    number = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(counts, key=lambda g: (-counts[g], number(g)))[:most]
+
+
+@pytest.mark.parametrize("max_langs", [1000, 1, 3])
+def test_language_equals_brute_force(spark, small, max_langs):
+    docs = table(spark, small, "documents")
+    learn = docs.where("doc_id % 5 <> 0")
+    got = {r.doc_id: r for r in language.identify(docs, language.fit(learn, 60, 50, max_langs)).collect()}
+    by_lang = defaultdict(list)
+    for r in learn.where("lang is not null and text is not null").collect():
+        by_lang[r.lang].append(r.text)
+    profiles = {lang: {g: i for i, g in enumerate(plain_ranks(t, 60))} for lang, t in by_lang.items()}
+    for r in docs.collect()[::7]:
+        own = plain_ranks([r.text or ""], 50)
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        far = {lang: sum(min(60, abs(p[g] - i)) if g in p else 60 for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].score == pytest.approx(1 - far[best] / (60 * len(own)))
+
+
+def test_letters_of_every_plane_count(spark):
+    docs = spark.createDataFrame([(1, "\U00030000\U00030001", "zz"), (2, "12 34", "zz")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.fit(docs)).collect()}
+    assert got == {1: "zz", 2: "und"}
+
+
 def test_language_odd_inputs(spark):
     docs = frame(spark)
     rows = language.identify(docs, language.fit(docs)).collect()
@@ -340,6 +385,7 @@ def test_language_odd_inputs(spark):
     assert {r.lang_pred for r in rows if not (r.text or "").strip()} == {"und"}
     empty = language.fit(docs.where("false"))
     assert {(r.lang_pred, r.score) for r in language.identify(docs, empty).collect()} == {("und", 0.0)}
+    assert language.identify(docs.where("false"), language.fit(docs)).count() == 0
 
 
 # token counts
@@ -358,6 +404,36 @@ def test_sections_own_all_tokens(spark):
     assert total == want
 
 
+def test_sections_equal_brute_force(spark, small):
+    """Every token, walked in plain Python, goes to the section that holds most of its bytes; rows that repeat are counted apart."""
+    docs = table(spark, small, "documents").where("doc_id % 9 = 0").select("doc_id", "text")
+    ranks = attribution.load_ranks(attribution.RANKS)
+    encoding = attribution.tiktoken.Encoding("t", pat_str=attribution.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = Counter((r.doc_id, r.section, r.char_start, r.char_end, r.n_tokens, r.n_crossing) for r in attribution.count_sections(docs.unionByName(docs), ranks).collect())
+    want = Counter()
+    for r in docs.collect():
+        lines = (r.text or "").splitlines(keepends=True) if "\r" not in (r.text or "") else None
+        if lines is None or any(c in (r.text or "") for c in "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"):
+            lines = [x + "\n" for x in r.text.split("\n")]
+            lines = lines[:-1] + ([lines[-1][:-1]] if lines[-1] != "\n" else [])
+        lines = lines or [""]
+        of = [n for n, line in enumerate(lines) for _ in line.encode()]
+        own, crossing, at = Counter(), Counter(), 0
+        for t in encoding.encode_ordinary(r.text or ""):
+            size = len(encoding.decode_single_token_bytes(t))
+            share = Counter(of[at : at + size])
+            owner = min(share, key=lambda n: (-share[n], n))
+            own[owner] += 1
+            crossing[owner] += len(share) > 1
+            at += size
+        start = 0
+        for n, line in enumerate(lines):
+            want[r.doc_id, n, start, start + len(line), own[n], crossing[n]] += 2
+            start += len(line)
+    assert got == want
+    assert attribution.count_sections(docs.where("false"), ranks).count() == 0
+
+
 def test_a_crossing_token_goes_where_most_of_it_lies():
     starts = np.array([0, 3, 10])
     own, crossing = attribution.attribute(np.array([2, 4, 2, 4]), starts, 12)

@@ -5,12 +5,13 @@ documents learned from. A document's own most frequent n-grams are ranked alike,
 over them of how far out of place each stands, an n-gram missing from the profile counting as far as possible.
 
 Learning counts in each task, adds up in one shuffle of (language, n-gram) rows and keeps ``profile`` rows of a
-language; scoring is one pass without a shuffle. Profiles are broadcast: ``profile`` rows for each of the at most
-``max_langs`` most frequent languages.
+language; scoring is one pass without a shuffle. Profiles are broadcast in blocks of at most ``max_langs`` languages with ``profile`` rows
+each; more languages take more passes, each of which keeps what is nearest so far. The names of all languages reach the driver.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when nothing was
 learned. Rows with a null language aren't learned from. Equal counts rank by n-gram, equal distances go to
-the language first in order. Repeated rows count and are answered each on its own; other columns are ignored.
+the language first in order. Texts of any length are counted whole. Repeated rows count and are answered each on its own; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import prepare, remainder, widened, without
+from tidemill.llm.common import discard, prepare, remainder, stash, widened, without
 from tidemill.tables import table
 
 PROFILE = 400
@@ -40,7 +41,7 @@ _CHARS = 1 << 20
 def _letters() -> np.ndarray:
     """Code point to its lower-case letter, or to a blank."""
     out = np.full(0x110000, BLANK, np.uint32)
-    for cp in range(0x30000):  # the planes that hold letters
+    for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
             low = c.lower()
@@ -73,7 +74,7 @@ def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Profiles:
-    """ranks[g, l]: the place of gram g in language l, or ``profile`` if it has none."""
+    """A block of languages; ranks[g, l]: the place of gram g in language l, or ``profile`` if it has none."""
 
     langs: list[str]
     gram: np.ndarray
@@ -92,14 +93,15 @@ class Profiles:
         place = np.arange(len(top))
         at = np.minimum(np.searchsorted(self.gram, top), len(self.gram) - 1)
         known = self.gram[at] == top
-        far = np.where(known[:, None], np.abs(self.ranks[at] - place[:, None]), self.profile)
+        ranks = self.ranks[at]
+        far = np.where(known[:, None] & (ranks < self.profile), np.abs(ranks - place[:, None]), self.profile)
         distance = np.minimum(far, self.profile).sum(0)
         best = int(np.argmin(distance))
         return self.langs[best], float(1.0 - distance[best] / (self.profile * len(top)))
 
 
-def fit(docs: DataFrame, profile: int = PROFILE, own: int = OWN, max_langs: int = MAX_LANGS) -> Profiles:
-    """Profiles from all rows with a language; ``text`` and ``lang`` are read."""
+def fit(docs: DataFrame, profile: int = PROFILE, own: int = OWN, max_langs: int = MAX_LANGS) -> list[Profiles]:
+    """Profiles from all rows with a language, in blocks; ``text`` and ``lang`` are read."""
     prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,31 +126,41 @@ def fit(docs: DataFrame, profile: int = PROFILE, own: int = OWN, max_langs: int
     rows = docs.select("lang", "text").where("lang is not null and text is not null")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < profile).select("lang", "gram", "place")
-    got = top.toPandas()
-    if got["lang"].nunique() > max_langs:
-        raise ValueError(f"{got['lang'].nunique()} languages; at most {max_langs} profiles are broadcast")
-    langs = sorted(got["lang"].unique())
-    gram = np.sort(got["gram"].unique())
-    ranks = np.full((len(gram), len(langs)), profile, np.int32)
-    ranks[np.searchsorted(gram, got["gram"].to_numpy()), np.searchsorted(np.array(langs, object), got["lang"].to_numpy())] = got["place"].to_numpy()
-    return Profiles(langs if len(gram) else [], gram, ranks, profile, own)
-
-
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    top = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= profile).select("lang", "gram", F.col("place") - 1)
+    top = stash(top.toDF("lang", "gram", "place"))
+    every = sorted(r.lang for r in top.select("lang").distinct().collect())
+    blocks = []
+    for at in range(0, len(every), max_langs):
+        langs = every[at : at + max_langs]
+        got = top.where(F.col("lang").between(langs[0], langs[-1])).toPandas()  # profile rows for each language of a block
+        gram = np.sort(got["gram"].unique())
+        ranks = np.full((len(gram), len(langs)), profile, np.int32)
+        ranks[np.searchsorted(gram, got["gram"].to_numpy()), np.searchsorted(np.array(langs, object), got["lang"].to_numpy())] = got["place"].to_numpy()
+        blocks.append(Profiles(langs, gram, ranks, profile, own))
+    discard(top)
+    return blocks
+
+
+def identify(docs: DataFrame, profiles: list[Profiles]) -> DataFrame:
     """Adds lang_pred and score to the given columns, in place of any so named."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(profiles)
     docs = without(docs, "lang_pred", "score")
     names = docs.columns
     at = names.index("text")
-
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
-
-    return docs.mapInArrow(predicted, widened(docs, "lang_pred string, score double"))
+    out = docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+    for n, block in enumerate(profiles):
+        shared = spark.sparkContext.broadcast(block)
+
+        def predicted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for text, lang, score in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+                    here = shared.value.predict(text)
+                    found.append(here if lang == "und" or here[1] > score else (lang, score))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
+
+        out = (stash(out) if n else out).mapInArrow(predicted, widened(docs, "lang_pred string, score double"))
+    return out
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
