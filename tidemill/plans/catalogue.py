@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from tidemill.plans.shapes import SHAPES
+
 #: Sum of revenue, rounded.
 _REV = "round(sum(l_extendedprice * (1 - l_discount)), 2)"
 
@@ -155,6 +157,9 @@ SQL: dict[str, str] = {
 _CHOICE = re.compile(r"\{((?:[^{}|]|\|\||\{[^{}|]*\})*)\|((?:[^{}|]|\|\||\{[^{}|]*\})*)\}")
 
 
+SQL.update(SHAPES)
+
+
 def _worded(text: str, side: int) -> str:
     """Spark's (0) or DuckDB's (1) wording."""
     text = _CHOICE.sub(lambda m: m[side + 1], text)
