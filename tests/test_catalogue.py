@@ -8,7 +8,7 @@ from tidemill.plans import registry
 from tidemill.tables import TABLES
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-WITHOUT = {"explain_plan", "now_statement", "drop_cache"}
+WITHOUT = {"explain_plan"}
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,45 @@ def test_runs(name, spark, small):
     assert QUERIES[name](spark, small).count() > 0
 
 
+def test_late_top_reads_other_columns_of_few_rows(spark, small):
+    from pyspark.sql import functions as F
+
+    from tidemill.operators.late import late_top
+
+    path = f"{small}/events.parquet"
+    got = late_top(spark, path, [F.desc("ts"), F.asc("event_id")], 7, F.col("event_type") == "view")
+    want = spark.read.parquet(path).where("event_type = 'view'").orderBy(F.desc("ts"), "event_id").limit(7)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert late_top(spark, path, [F.desc("ts")], 7, F.col("event_id") < 0).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "select cast('x1' as int)",
+        "select (select r_name from region)",
+        "select parse_json('{a')",
+        "select variant_get(parse_json('{\"a\": \"x\"}'), '$.a', 'int')",
+        "select cast(9223372036854775807 as bigint) + cast(r_regionkey + 1 as bigint) from region",
+        "select 1 / (r_regionkey - r_regionkey) from region",
+        "select r_name from region group by r_regionkey",
+        "select nothing from region",
+    ],
+)
+def test_bad_statements_fail(spark, small, text):
+    from tidemill.tables import views
+
+    with pytest.raises(Exception):
+        views(spark, small, "region").sql(text).collect()
+
+
+def test_cte_used_twice_is_run_once(spark, small):
+    query = QUERIES["nested_ctes"](spark, small)
+    query.collect()
+    assert "ReusedExchange" in query._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     import __spark_entry__
 

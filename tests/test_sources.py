@@ -38,6 +38,55 @@ def test_copy_text(spark, tmp_path):
         files.copy_text(spark, f"file://{path}", "id int, s string").collect()
 
 
+def test_copy_text_keeps_every_character(spark, tmp_path):
+    path = tmp_path / "odd.txt"
+    path.write_text("1\t\ue000 and \ue001\n2\tends in \\\\\n3\t\\\tx\\N\n4\t\\\\N\n", encoding="utf-8")
+    got = [tuple(r) for r in files.copy_text(spark, f"file://{path}", "id int, s string").collect()]
+    assert got == [(1, "\ue000 and \ue001"), (2, "ends in \\"), (3, "\txN"), (4, "\\N")]
+    path.write_text("1|a\\|b|c\n")
+    assert [tuple(r) for r in files.copy_text(spark, f"file://{path}", "id int, s string, t string", delimiter="|").collect()] == [(1, "a|b", "c")]
+    folder = tmp_path / "several"
+    folder.mkdir()
+    for name in "ab":
+        (folder / f"{name}.txt").write_text("1\ta\n")
+    with pytest.raises(ValueError, match="several files"):
+        files.copy_text(spark, f"file://{folder}", "id int, s string")
+
+
+def test_joins_keep_columns_named_like_their_own(spark):
+    left = spark.sql("select id as a, cast(id as double) as x, 1 as _bin, 2 as _own, 3 as _key, 4 as _n from range(5)")
+    right = spark.sql("select id as b, cast(id as double) as y, 5 as __bin from range(5)")
+    got = range_join(left, right, "x", "<", "y", 4)
+    assert got.columns == [*left.columns, *right.columns] and got.count() == 10
+    marked = mark_join(left, right, "a", "b")
+    assert marked.columns == [*left.columns, "mark"] and marked.where("mark and _key = 3").count() == 5
+
+
+def test_system_tables_have_rows(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/root")
+    store.create_schema("s")
+    store.create_table("s.t", "k long")
+    store.insert("s.t", spark.range(3))
+    assert store.system_table("datastores").count() == 1
+    assert [(r.schema_name, r.table_name, r.version) for r in store.system_table("tables").collect()] == [("s", "t", 1)]
+    files_ = store.system_table("table_files").collect()
+    assert files_ and all(r.bytes > 0 for r in files_)
+    with pytest.raises(LookupError):
+        store.system_table("users")
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    """Both read version 0; one commits, the other is refused and its rows are not seen."""
+    first, second = Store(spark, f"file://{tmp_path}/root"), Store(spark, f"file://{tmp_path}/root")
+    first.create_table("t", "k long")
+    stale = second.manifest("t")
+    second.manifest = lambda table: stale
+    first.insert("t", spark.range(2))
+    with pytest.raises(RuntimeError, match="changed by someone else"):
+        second.insert("t", spark.range(100, 105))
+    assert sorted(r.k for r in first.read("t").collect()) == [0, 1]
+
+
 def test_copy_arrow_is_positional_and_checks_width(spark):
     out = io.BytesIO()
     t = pa.table({"whatever": pa.array([1, None], pa.int16())})

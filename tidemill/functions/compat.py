@@ -38,23 +38,54 @@ def like(s: Column | str, pattern: str) -> Column:
     return _col(s).like(pattern.replace("\\", "\\\\"))
 
 
+def _dialect(pattern: str) -> tuple[str, int]:
+    """A pattern in Java's notation with the meaning it has without Java's line rules, and its number of groups.
+
+    ``.`` leaves out the line feed only and ``$`` is the very end, unless flags say otherwise; groups lose their names.
+    """
+    out, groups, at, inside, flags = [], 0, 0, False, re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        if inside:
+            inside = c != "]" or pattern[at - 1] == "[" or pattern[at - 2 : at] == "[^"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            named = re.match(r"\(\?P?<[A-Za-z_]\w*>", pattern[at:])
+            groups += bool(named) or pattern[at + 1 : at + 2] != "?"
+            if named:
+                out.append("(")
+                at += named.end()
+                continue
+        elif c == "$" and not flags:
+            c = "\\z"
+        out.append(c)
+        at += 1
+    return "(?d)" + "".join(out), groups
+
+
 def regexp_full_match(s: Column | str, pattern: str) -> Column:
     """Whether the whole text matches."""
-    return _col(s).rlike(rf"\A(?:{pattern})\z")
+    return _col(s).rlike(rf"\A(?:{_dialect(pattern)[0]})\z")
 
 
 def _template(replacement: str) -> str:
-    """A ``\\N`` / ``\\&`` template in Java's notation."""
-    out, at = [], 0
+    """A ``\\N`` / ``\\&`` template in Java's notation, its groups counted from 1 up."""
+    out, at, digits = [], 0, False
     while at < len(replacement):
-        c = replacement[at]
-        if c == "\\" and at + 1 < len(replacement):
-            n = replacement[at + 1]
-            out.append(f"${n}" if n.isdigit() else "$0" if n == "&" else re.sub(r"([\\$])", r"\\\1", n))
-            at += 2
+        c, n = replacement[at], replacement[at + 1 : at + 2]
+        if c == "\\" and (n.isdigit() or n == "&"):
+            out.append(f"${(0 if n == '&' else int(n)) + 1}")
+            at, digits = at + 2, True
             continue
-        out.append("\\" + c if c in "\\$" else c)
-        at += 1
+        if c == "\\" and n:
+            c, at = n, at + 1
+        out.append("\\" + c if c in "\\$" or (digits and c.isdigit()) else c)
+        at, digits = at + 1, False
     return "".join(out)
 
 
@@ -63,13 +94,13 @@ def regexp_replace_first(s: Column | str, pattern: str, replacement: str) -> Col
 
     The pattern is followed by a group that takes the rest of the text and is put back, so nothing is left for a second match.
     """
-    groups = re.compile(pattern).groups
-    if "\\&" in replacement or "\\0" in replacement:  # the whole match becomes group 1, others move up
-        pattern, groups = f"({pattern})", groups + 1
-        replacement = re.sub(r"\\(\d)", lambda m: f"\\{int(m[1]) + 1}", replacement.replace("\\&", "\\0"))
-    if groups >= 9:
-        raise ValueError("at most 8 groups")
-    return F.regexp_replace(_col(s), F.lit(f"(?:{pattern})([\\s\\S]*)\\z"), F.lit(f"{_template(replacement)}${groups + 1}"))
+    pattern, groups = _dialect(pattern)
+    return F.regexp_replace(_col(s), F.lit(f"({pattern})([\\s\\S]*)\\z"), F.lit(f"{_template(replacement)}${groups + 2}"))  # the match is group 1, others move up
+
+
+def regexp_jit_replace(s: Column | str, pattern: str, replacement: str) -> Column:
+    """:func:`regexp_replace_first` by another name: Java compiles every pattern alike."""
+    return regexp_replace_first(s, pattern, replacement)
 
 
 def format_bytes(n: Column | str) -> Column:
@@ -149,12 +180,12 @@ def time_bucket(width_us: int, ts: Column | str, origin_us: int = BUCKET_ORIGIN_
     return _ntz(us - F.pmod(us - F.lit(origin_us), F.lit(width_us)))
 
 
-def time_bucket_months(months: int, ts: Column | str) -> Column:
-    """First day of the bucket of whole months, counted from 2000-01."""
+def time_bucket_months(months: int, ts: Column | str, origin: tuple[int, int] = (2000, 1)) -> Column:
+    """First day of the bucket of whole months, counted from the origin (year, month)."""
     if months <= 0:
         raise ValueError("the width must be positive")
-    since = (F.year(_col(ts)) - 2000) * 12 + F.month(_col(ts)) - 1
-    return F.add_months(F.lit("2000-01-01").cast("date"), (F.floor(since / months) * months).cast("int"))
+    since = (F.year(_col(ts)) - origin[0]) * 12 + F.month(_col(ts)) - origin[1]
+    return F.add_months(F.lit(f"{origin[0]:04d}-{origin[1]:02d}-01").cast("date"), (F.floor(since / months) * months).cast("int"))
 
 
 def make_date(days: Column | str) -> Column:

@@ -113,7 +113,7 @@ SQL: dict[str, str] = {
     "in_list_with_null": "select count(*) as n from part where p_size in (1, 2, null)",
     "not_in_with_null": "select count(*) as n from part where p_size not in (select nullif(p_size, 3) from part where p_size < 5)",
     # aggregation, distinct
-    "agg_types": "select {cast(sum(cast(l_linenumber as bigint)) as bigint)|cast(sum(l_linenumber) as bigint)} as si, cast(sum(cast(l_extendedprice as decimal(12,2))) as decimal(38,2)) as sd, {avg(cast(cast(l_discount as decimal(10,2)) as double))|avg(cast(l_discount as decimal(10,2)))} * 0 as az, min(l_returnflag) as mt, max(l_shipdate) as md from lineitem",
+    "agg_types": "select cast({sum(cast(l_linenumber as decimal(28,0)))|sum(l_linenumber)} as decimal(38,0)) as si, cast(sum(cast(l_extendedprice as decimal(12,2))) as decimal(38,2)) as sd, round({avg(cast(cast(l_discount as decimal(10,2)) as double))|avg(cast(l_discount as decimal(10,2)))}, 6) as ad, min(l_returnflag) as mt, max(l_shipdate) as md from lineitem",
     "agg_having": "select l_suppkey, count(*) as n from lineitem group by l_suppkey having count(*) > 500 and avg(l_quantity) > 25",
     "agg_null_groups": "select nullif(event_type, 'view') as k, count(*) as n, count(nullif(event_type, 'click')) as c, max(nullif(value, value)) as m from events group by 1",
     "agg_bool_key": "select value > 50 as big, count(*) as n from events group by 1",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import compat as C
 from tidemill.operators.joins import mark_join, range_join
+from tidemill.operators.late import late_top
+from tidemill.session import shared_dir
 from tidemill.sources import files
 from tidemill.sources.store import Store
 from tidemill.streaming.buckets import stream_buckets
@@ -46,6 +48,7 @@ _column("str_substring_rest", "pages", "page_id", lambda: C.substring("url", 9),
 _column("str_full_match", "part", "p_partkey", lambda: C.regexp_full_match("p_brand", "Brand#[1-3]."), "regexp_full_match(p_brand, 'Brand#[1-3].')")
 _column("str_replace_first", "documents", "doc_id", lambda: C.regexp_replace_first("text", "([a-z])([a-z]+) ", "<\\2$\\1>"), "regexp_replace(text, '([a-z])([a-z]+) ', '<\\2$\\1>')")
 _column("str_replace_whole", "pages", "page_id", lambda: C.regexp_replace_first("url", "e.", "[\\0]"), "regexp_replace(url, 'e.', '[\\0]')")
+_column("str_jit_replace", "pages", "page_id", lambda: C.regexp_jit_replace("url", "(ex)(am)", "\\2\\1"), "regexp_replace(url, '(ex)(am)', '\\2\\1')")
 _column("cb_regex_domain", "pages", "page_id", lambda: C.regexp_replace_first("url", "^https?://(?:www\\.)?([^/]+)/.*$", "\\1"), "regexp_replace(url, '^https?://(?:www\\.)?([^/]+)/.*$', '\\1')")
 _column("str_format_bytes", "documents", "doc_id", lambda: C.format_bytes(F.expr("n_chars * n_chars * n_chars")), "format_bytes(n_chars * n_chars * n_chars)")
 _column("num_arith", "lineitem", "l_orderkey", lambda: F.expr("(l_quantity + 1) * 2 - l_linenumber"), "(l_quantity + 1) * 2 - l_linenumber")
@@ -58,6 +61,7 @@ _column("num_decimal", "lineitem", "l_orderkey", lambda: F.expr("cast(cast(l_ext
 _column("dt_trunc_hour", "events", "event_id", lambda: C.date_trunc("hour", "ts"), "date_trunc('hour', ts)")
 _column("dt_bucket_fixed", "events", "event_id", lambda: C.time_bucket(15 * 60 * 10**6, "ts"), "time_bucket(interval '15 minutes', ts)")
 _column("dt_bucket_month", "events", "event_id", lambda: C.time_bucket_months(3, "ts"), "cast(time_bucket(interval '3 months', cast(ts as date)) as date)")
+_column("dt_bucket_month_origin", "events", "event_id", lambda: C.time_bucket_months(4, "ts", (2000, 2)), "cast(time_bucket(interval '4 months', cast(ts as date), date '2000-02-01') as date)")
 _column("dt_bucket_origin", "events", "event_id", lambda: C.time_bucket(7 * 3600 * 10**6, "ts", 1_600_000_000_000_000), "time_bucket(interval '7 hours', ts, make_timestamp(1600000000000000))")
 _column("dt_make_date", "orders", "o_orderkey", lambda: C.make_date(F.expr("cast(o_orderkey % 20000 as int)")), "date '1970-01-01' + cast(o_orderkey % 20000 as integer)")
 _column("dt_make_timestamp", "orders", "o_orderkey", lambda: C.make_timestamp(F.expr("o_orderkey * 1000003")), "make_timestamp(o_orderkey * 1000003)")
@@ -120,7 +124,7 @@ def read_parquet_glob(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemill-")).rstrip("/") + "/" + next(tempfile._get_candidate_names())
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @entry("insert_roundtrip", "select o_orderkey, o_custkey, o_orderpriority, cast(null as double) as note from orders")
@@ -186,14 +190,63 @@ def explain_plan(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, x) for i, x in enumerate(text.split("\n"))], "line int, text string")
 
 
-@entry("now_statement")
+@entry("now_statement", "select cast(1 as bigint) as instants")
 def now_statement(spark: SparkSession, d: str) -> DataFrame:
     """now() is one instant for a statement."""
     return spark.range(1000).select(F.current_timestamp().alias("now")).distinct().selectExpr("count(*) as instants")
 
 
-@entry("drop_cache")
-def drop_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Drops what Spark has cached."""
+def drop_caches(spark: SparkSession) -> int:
+    """Drops what Spark has cached; how many cached tables or RDDs that were."""
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
     spark.catalog.clearCache()
-    return spark.createDataFrame([(0,)], "evicted long")
+    for rdd in list(spark.sparkContext._jsc.getPersistentRDDs().values()):
+        rdd.unpersist(True)
+    return held - spark.sparkContext._jsc.getPersistentRDDs().size()
+
+
+@entry("drop_cache", "select cast(1 as bigint) as evicted")
+def drop_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Drops the one table that is cached."""
+    drop_caches(spark)
+    table(spark, d, "region").cache().count()
+    return spark.createDataFrame([(drop_caches(spark),)], "evicted long")
+
+
+@entry("set_reset", "select * from (values ('before', null), ('set', 'true'), ('reset', null)) as t(step, value)")
+def set_reset(spark: SparkSession, d: str) -> DataFrame:
+    """SET and RESET of a setting."""
+    key, seen = f"tidemill.stats.{uuid.uuid4().hex}", []
+    for step, statement in (("before", None), ("set", f"set {key} = true"), ("reset", f"reset {key}")):
+        if statement:
+            spark.sql(statement)
+        seen.append((step, spark.conf.get(key, None)))
+    return spark.createDataFrame(seen, "step string, value string")
+
+
+@entry("late_top", "select * from events where event_type = 'click' order by value desc nulls last, event_id limit 10")
+def late_top_events(spark: SparkSession, d: str) -> DataFrame:
+    """A top-n of whole rows whose other columns are read for those rows only."""
+    return late_top(spark, f"{d}/events.parquet", [C.desc("value"), C.asc("event_id")], 10, F.col("event_type") == "click")
+
+
+_CODECS = ("none", "snappy", "gzip", "zstd", "lz4_raw")
+
+
+@entry("codec_roundtrip", "select codec, n_nationkey, n_name from nation cross join (values " + ", ".join(f"('{c}')" for c in _CODECS) + ") as c(codec)")
+def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A table written with every codec and read again."""
+    path, out = _scratch(spark), None
+    for codec in _CODECS:
+        table(spark, d, "nation").write.option("compression", codec).parquet(f"{path}/{codec}")
+        part = files.read_parquet(spark, f"{path}/{codec}/*.parquet").select(F.lit(codec).alias("codec"), "n_nationkey", "n_name")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@entry("variant_roundtrip", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def variant_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """JSON text as VARIANT, written (shredded, where the session asks for it) and read again."""
+    path = _scratch(spark)
+    table(spark, d, "events").select("event_id", F.parse_json("props").alias("j")).write.parquet(path)
+    return spark.read.parquet(path).select("event_id", F.variant_get("j", "$.k", "bigint").alias("k"))

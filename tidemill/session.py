@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,15 @@ def build_session(name: str = "tidemill", cpus: int | str = "*", memory: str = "
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set what results depend on; leave physical choices to the caller."""
     for key, value in SEMANTIC_CONF.items():

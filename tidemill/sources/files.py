@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -52,34 +53,37 @@ def values(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame
 
 
 def copy_text(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = "\t", null: str = "\\N") -> DataFrame:
-    """Lines of delimited text with backslash escapes, up to a line ``\\.``; any bad line fails the whole read.
+    """Lines of one file of delimited text with backslash escapes, up to a line ``\\.``; any bad line fails the whole read.
 
-    Parsed in the JVM: an escaped character is first turned into a private code point, so that splitting sees only real
-    delimiters, and turned back afterwards. Only an unescaped ``null`` string is NULL.
+    Parsed in the JVM: a line is cut at delimiters without a backslash before them, and a field into escapes and what is between.
+    Only an unescaped ``null`` string is NULL. Several files have no order of lines, so they are refused.
     """
     fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
-    lines = spark.read.option("lineSep", "\n").text(path).withColumn("_end", F.col("value") == "\\.").withColumn("_at", F.monotonically_increasing_id())
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if len(lines.inputFiles()) > 1:
+        raise ValueError(f"{path} has several files; text is read from one")
+    lines = lines.withColumn("_end", F.col("value") == "\\.").withColumn("_at", F.monotonically_increasing_id())  # a file's splits come in order
     end = lines.where("_end").agg(F.min("_at")).first()[0]
     body = lines.where(F.lit(True) if end is None else F.col("_at") < end)
-    shielded = F.regexp_replace("value", r"\\\\", "\ue000")  # an escaped backslash
-    shielded = F.replace(shielded, F.lit("\\" + delimiter), F.lit("\ue001"))
-    parts = F.split(shielded, "[" + ("\\" if delimiter in "\\^]-" else "") + delimiter + "]", -1)
-    body = body.select(parts.alias("p"))
+    mark = re.escape(delimiter)
+    field = rf"([^\\{mark}]*+(?:\\.[^\\{mark}]*+)*+){mark}"
+    body = body.select(F.regexp_extract_all(F.concat("value", F.lit(delimiter)), F.lit(field), F.lit(1)).alias("p"))
     bad = F.raise_error(F.concat(F.lit(f"expected {len(fields)} columns, found "), F.size("p").cast("string")))
     body = body.select(F.when(F.size("p") == len(fields), F.col("p")).otherwise(bad.cast("array<string>")).alias("p"))
-    hidden_null = null.replace("\\\\", "\ue000")
 
     def plain(c):
-        for mark, char in (("b", "\b"), ("f", "\f"), ("n", "\n"), ("r", "\r"), ("t", "\t"), ("v", "\v")):
-            c = F.replace(c, F.lit("\\" + mark), F.lit(char))
-        c = F.regexp_replace(c, r"\\(?![0-7x])", "")
-        code = lambda e: F.when(e.startswith("x"), F.conv(F.substring(e, 2, 2), 16, 10)).otherwise(F.conv(e, 8, 10))
-        codes = F.transform(F.regexp_extract_all(c, F.lit(r"\\(x[0-9A-Fa-f]{1,2}|[0-7]{1,3})"), F.lit(1)), lambda e: F.chr(code(e).cast("bigint")))
-        pieces = F.split(c, r"\\(?:x[0-9A-Fa-f]{1,2}|[0-7]{1,3})", -1)
-        joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("t"), codes.alias("c")), lambda z: F.concat(F.coalesce(z["t"], F.lit("")), F.coalesce(z["c"], F.lit("")))), "")
-        return F.translate(F.when(F.contains(c, F.lit("\\")), joined).otherwise(c), "\ue000\ue001", "\\" + delimiter)
-
-    return body.select(*[F.when(F.col("p")[i] == hidden_null, F.lit(None)).otherwise(plain(F.col("p")[i])).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
+        def decoded(e):
+            out = F.when(~e.startswith("\\"), e)
+            for name, char in (("b", "\b"), ("f", "\f"), ("n", "\n"), ("r", "\r"), ("t", "\t"), ("v", "\v")):
+                out = out.when(e == "\\" + name, F.lit(char))
+            out = out.when(e.rlike(r"\A\\x[0-9A-Fa-f]"), F.chr(F.conv(F.substring(e, 3, 2), 16, 10).cast("bigint")))
+            out = out.when(e.rlike(r"\A\\[0-7]"), F.chr(F.conv(F.substring(e, 2, 3), 8, 10).cast("bigint")))
+            return out.otherwise(F.substring(e, 2, 2**31 - 1))
+
+        parts = F.regexp_extract_all(c, F.lit(r"\\x[0-9A-Fa-f]{1,2}|\\[0-7]{1,3}|\\.|[^\\]+"), F.lit(0))
+        return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
+
+    return body.select(*[F.when(F.col("p")[i] == null, F.lit(None)).otherwise(plain(F.col("p")[i])).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
 def copy_arrow(spark: SparkSession, stream: bytes, schema: T.StructType | str) -> DataFrame:
