@@ -551,6 +551,14 @@ def test_leaks_of_the_table_equal_exact_search(spark, medium):
     assert {(r.doc_id, r.item_id) for r in decontaminate.op7_decontamination(spark, medium).collect()} >= want
 
 
+def test_a_benchmark_of_many_words_is_hashed(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_TERMS", 60)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontaminate.Numbering.of(items, ["text"]).words is None
+    got = decontaminate.contaminated(spark.createDataFrame(leak_docs(), "doc_id long, text string"), items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(0, 0), (1, 1), (6, 3), (6, 4)}
+
+
 @pytest.mark.parametrize("given,word,found", [("cobalt0 ribbon0", "", True), ("elsewhere", "", False)])
 def test_given_answers_decide(spark, given, word, found):
     items = spark.createDataFrame([(0, ITEMS[0][1], given)], "item_id long, text string, reply string")

@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. *Terms.* Words become buckets of a hash, ``BUCKETS`` at most, and texts sequences of the numbers of those buckets that the benchmark
-   uses (0: any other word). Passages are windows of two neighbouring blocks of ``BLOCK`` words; a term's weight is its inverse
+1. *Terms.* Only words of the benchmark can be shared with it, so texts become sequences of the numbers of its words (0: any other
+   word). A benchmark of more than ``MAX_TERMS`` different words has the buckets of a hash for numbers, as many, and so has every text. Passages are windows of two neighbouring blocks of ``BLOCK`` words; a term's weight is its inverse
    frequency over all blocks of all documents, 0 for function words (those of over ``common`` of the benchmark's passages).
 2. *Latent space.* The weighted passages of all documents, and those of the benchmark with equal total weight, form the matrix A.
    A randomised SVD finds its leading right singular vectors from A'A times random vectors, summed over
@@ -15,7 +15,7 @@
 
 Terms, weights and space are those of the whole benchmark; only the comparison goes over it in blocks of at most ``MAX_PASSAGES``
 passages, each a pass over the documents, so what is found doesn't depend on them. What is broadcast or summed is bounded by
-``BUCKETS``, ``dims`` and that block. Nothing of the documents reaches the driver but sums of that size.
+``MAX_TERMS``, ``dims`` and that block. Nothing of the documents reaches the driver but sums of that size.
 
 Cases: a null or empty text, or a benchmark item without a word, matches nothing. Repeated documents or items are each
 answered, a pair once for each row of the document. Ties in cosine go to the first window. Texts and answers of any length are read whole. An empty benchmark or an
@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ LCS = 0.6
 ANSWER = 0.5
 SURE = 0.8
 COMMON = 0.025
-BUCKETS = 1 << 16
+MAX_TERMS = (1 << 16) - 1
 MAX_PASSAGES = 16_384
 MAX_ANSWERS = 4 << 20
 SUM_TASKS = 4096
@@ -61,36 +62,59 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_SPACES).split()
 
 
-class _Numbers(dict):
+class _Hashed(dict):
     """The number of a word's bucket, looked up or hashed."""
 
-    def __init__(self, number: np.ndarray | None) -> None:
-        self.number = None if number is None else number.tolist()
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _MEMO:
             self.clear()
-        bucket = 1 + zlib.crc32(word) % (BUCKETS - 1)
-        got = self[word] = bucket if self.number is None else self.number[bucket]
+        got = self[word] = 1 + zlib.crc32(word) % self.buckets
         return got
 
 
-def passages_of(benchmark: DataFrame, item_id: str, text: str, answer: str | None) -> DataFrame:
-    """item, terms (buckets, two bytes a word) and answer (distinct buckets; null without) of each passage; items longer than a window become several."""
+@dataclass
+class Numbering:
+    """Numbers of words, from 1 to ``size``; ``words`` is None where they are hashed."""
+
+    words: dict[bytes, int] | None
+    size: int
+
+    @classmethod
+    def of(cls, benchmark: DataFrame, columns: list[str]) -> Numbering:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = {w for c in batch.columns for t in c.to_pylist() for w in words_of(t)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["word"])
+
+        words = benchmark.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, "word binary").distinct()
+        got = [bytes(r.word) for r in words.limit(MAX_TERMS + 1).collect()]
+        return cls({w: i for i, w in enumerate(sorted(got), 1)}, len(got)) if len(got) <= MAX_TERMS else cls(None, MAX_TERMS)
+
+    def coder(self) -> Callable[[list[bytes]], np.ndarray]:
+        if self.words is None:
+            get = _Hashed(self.size).__getitem__
+            return lambda words: np.fromiter(map(get, words), np.uint16, len(words))
+        get = self.words.get
+        return lambda words: np.fromiter(map(get, words, repeat(0)), np.uint16, len(words))
+
+
+def passages_of(benchmark: DataFrame, numbering: Numbering, item_id: str, text: str, answer: str | None) -> DataFrame:
+    """item, terms (two bytes a word) and answer (distinct terms; null without) of each passage; items longer than a window become several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers(None)
-        get = numbers.__getitem__
+        code = numbering.coder()
         for batch in batches:
             items, terms, answers = [], [], []
             for item, body, reply in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = words_of(body)
-                wanted = sorted(set(map(get, words_of(reply))))
+                words, wanted = words_of(body), np.unique(code(words_of(reply)))
                 starts = [0] if len(words) <= 2 * BLOCK else [*range(0, len(words) - 2 * BLOCK, BLOCK), len(words) - 2 * BLOCK]
                 for at in starts if words else []:
                     items.append(item)
-                    terms.append(np.fromiter(map(get, words[at : at + 2 * BLOCK]), np.uint16).tobytes())
-                    answers.append(np.array(wanted, np.uint16).tobytes() if wanted else None)
+                    terms.append(code(words[at : at + 2 * BLOCK]).tobytes())
+                    answers.append(wanted.tobytes() if len(wanted) else None)
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(terms, pa.binary()), pa.array(answers, pa.binary())], ["item", "terms", "answer"])
 
     columns = [F.col(f"`{item_id}`").cast("long"), F.col(f"`{text}`"), F.col(f"`{answer}`") if answer else F.lit(None).cast("string")]
@@ -106,7 +130,7 @@ class Queries:
     answers: list[np.ndarray | None]
 
 
-def query_blocks(passages: DataFrame, number: np.ndarray) -> Iterator[Queries]:
+def query_blocks(passages: DataFrame) -> Iterator[Queries]:
     """The passages in blocks of bounded size."""
     block, size = Queries([], [], []), 0
     for item, terms, reply in passages.toLocalIterator():
@@ -114,24 +138,21 @@ def query_blocks(passages: DataFrame, number: np.ndarray) -> Iterator[Queries]:
             yield block
             block, size = Queries([], [], []), 0
         block.items.append(item)
-        block.terms.append(number[np.frombuffer(terms, np.uint16)])
-        block.answers.append(None if reply is None else number[np.frombuffer(reply, np.uint16)])
+        block.terms.append(np.frombuffer(terms, np.uint16))
+        block.answers.append(None if reply is None else np.frombuffer(reply, np.uint16))
         size += len(reply or b"")
     if block.items:
         yield block
 
 
-def encoded(docs: DataFrame, number: np.ndarray) -> DataFrame:
-    """doc_id, h1, h2 and terms (two bytes a word) of every row; number has that of each bucket."""
-    shared = docs.sparkSession.sparkContext.broadcast(number)  # BUCKETS numbers
+def encoded(docs: DataFrame, numbering: Numbering) -> DataFrame:
+    """doc_id, h1, h2 and terms (two bytes a word) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(numbering)  # MAX_TERMS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _Numbers(shared.value).__getitem__
+        code = shared.value.coder()
         for batch in batches:
-            found = []
-            for text in batch.column(3).to_pylist():
-                words = words_of(text)
-                found.append(np.fromiter(map(get, words), np.uint16, len(words)).tobytes())
+            found = [code(words_of(text)).tobytes() for text in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["doc_id", "h1", "h2", "terms"])
 
     h1, h2 = text_hashes()
@@ -269,18 +290,6 @@ def _added(rows: DataFrame, length: int, add: Callable[[list[bytes], np.ndarray]
     return summed(few.mapInArrow(run, "task long, chunk int, part binary"), length)
 
 
-def used_buckets(passages: DataFrame) -> np.ndarray:
-    """For each bucket its number among those of terms and answers, from 1; 0 for others."""
-
-    def add(values: list[bytes], total: np.ndarray) -> None:
-        for raw in values:
-            total[np.frombuffer(raw, np.uint16)] += 1
-
-    both = passages.select("terms").unionByName(passages.where("answer is not null").select(F.col("answer").alias("terms")))
-    seen = _added(both, BUCKETS, add) > 0
-    return np.where(seen, np.cumsum(seen), 0).astype(np.uint16)
-
-
 def block_frequency(texts: DataFrame, n_terms: int) -> np.ndarray:
     """In how many blocks each term occurs; at 0, the number of blocks."""
     weighted = np.ones(n_terms + 1, bool)
@@ -295,13 +304,13 @@ def block_frequency(texts: DataFrame, n_terms: int) -> np.ndarray:
     return _added(texts, n_terms + 1, add)
 
 
-def term_weights(passages: DataFrame, number: np.ndarray, frequency: np.ndarray, common: float) -> np.ndarray:
+def term_weights(passages: DataFrame, frequency: np.ndarray, common: float) -> np.ndarray:
     """Inverse block frequency; 0 for words of many passages, but for those of a passage that would keep fewer than three words."""
     n = len(frequency)
 
     def count(values: list[bytes], total: np.ndarray) -> None:
         for raw in values:
-            total[np.unique(number[np.frombuffer(raw, np.uint16)])] += 1
+            total[np.unique(np.frombuffer(raw, np.uint16))] += 1
         total[0] += len(values)  # no term of the benchmark has number 0
 
     by_passage = _added(passages, n, count)
@@ -309,7 +318,7 @@ def term_weights(passages: DataFrame, number: np.ndarray, frequency: np.ndarray,
 
     def needed(values: list[bytes], total: np.ndarray) -> None:
         for raw in values:
-            s = np.unique(number[np.frombuffer(raw, np.uint16)])
+            s = np.unique(np.frombuffer(raw, np.uint16))
             if (~function[s]).sum() < 3:
                 total[s] += 1
 
@@ -320,23 +329,19 @@ def term_weights(passages: DataFrame, number: np.ndarray, frequency: np.ndarray,
     return weight
 
 
-def latent_basis(texts: DataFrame, passages: DataFrame, number: np.ndarray, weight: np.ndarray, dims: int, seed: int = 11) -> np.ndarray:
+def latent_basis(texts: DataFrame, passages: DataFrame, weight: np.ndarray, dims: int, seed: int = 11) -> np.ndarray:
     """Leading right singular vectors of all passages by a randomised SVD; see the module's text."""
     n = len(weight)
     width = min(n, dims + OVERSAMPLE)
     random = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
     shared = texts.sparkSession.sparkContext.broadcast((weight, random))
 
-    def times(numbers: np.ndarray | None) -> Callable[[list[bytes], np.ndarray], None]:
-        def add(values: list[bytes], total: np.ndarray) -> None:
-            weight, random = shared.value
-            for _, held in _segments(values):
-                held = held if numbers is None else [numbers[t] for t in held]
-                total[-1] += gram_times(blocks_of(held, weight > 0), weight, random, total[:-1].reshape(n, width))
-
-        return add
+    def times(values: list[bytes], total: np.ndarray) -> None:
+        weight, random = shared.value
+        for _, held in _segments(values):
+            total[-1] += gram_times(blocks_of(held, weight > 0), weight, random, total[:-1].reshape(n, width))
 
-    got, mine = _added(texts, n * width + 1, times(None)), _added(passages, n * width + 1, times(number))
+    got, mine = (_added(rows, n * width + 1, times) for rows in (texts, passages))
     z = weight[:, None] * (got[:-1] + mine[:-1] * (max(1.0, got[-1]) / max(1.0, mine[-1]))).reshape(n, width)
     shift = np.finfo(float).eps * max(np.linalg.norm(z), 1.0) * np.sqrt(n)
     z = z + shift * random
@@ -387,14 +392,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, dims: int = DIMS, cosine
     spark = prepare(docs.sparkSession)
     schema = "row long, doc_id long, h1 long, h2 long, item_id long, cosine double, lcs double, answer double, word_start long"
     out = spark.createDataFrame([], schema)
-    passages = stash(passages_of(benchmark, item_id, text, answer_column))
-    number = used_buckets(passages)
-    if not number.any():
+    numbering = Numbering.of(benchmark, [text, *([answer_column] if answer_column else [])])
+    if not numbering.size:
         return out.drop("row")
-    texts = stash(encoded(docs, number).select(F.monotonically_increasing_id().alias("row"), "*"))
-    weight = term_weights(passages, number, block_frequency(texts, int(number.max())), common)
-    basis = latent_basis(texts, passages, number, weight, dims)
-    for queries in query_blocks(passages, number):
+    passages = stash(passages_of(benchmark, numbering, item_id, text, answer_column))
+    texts = stash(encoded(docs, numbering).select(F.monotonically_increasing_id().alias("row"), "*"))
+    weight = term_weights(passages, block_frequency(texts, numbering.size), common)
+    basis = latent_basis(texts, passages, weight, dims)
+    for queries in query_blocks(passages):
         out = out.unionByName(_search(texts, queries, latent_space(queries, weight, basis), cosine, lcs, answer, sure, schema))
     discard(passages)
     # An item's passages may lie in several blocks; the nearest one that was confirmed tells of the pair.
