@@ -333,14 +333,21 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     Rows are told apart by doc_id and text, and of rows equal in both, one stays.
     """
     found = grouped(docs, words, percent, bands, rows).where("is_first")
-    kept = stash(found.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size")))
-    i, a, b, n = unused(docs, "id", "h1", "h2", "n")
-    kept = kept.select(F.col("doc_id").alias(i), F.col("h1").alias(a), F.col("h2").alias(b), F.when(F.col("size") == 0, 1).otherwise(F.col("n")).alias(n))
+    i, a, b = unused(docs, "id", "h1", "h2")
+    kept = stash(found.groupBy(F.col("doc_id").alias(i), F.col("h1").alias(a), F.col("h2").alias(b)).agg((F.count("*") == 1).alias("once"), F.max("n_shingles").alias("size")))
     h1, h2 = text_hashes()
     mine = docs.withColumn(a + "_", h1).withColumn(b + "_", h2)
-    mine = mine.join(kept, mine["doc_id"].cast("long").eqNullSafe(kept[i]) & (mine[a + "_"] == kept[a]) & (mine[b + "_"] == kept[b]))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return mine.where(F.col(n) == 1).select(*own).unionByName(mine.where(F.col(n) > 1).select(*own).dropDuplicates(["doc_id", "text"]))
+
+    def of(some: DataFrame) -> DataFrame:
+        some = some.select(i, a, b)
+        return mine.join(some, mine["doc_id"].cast("long").eqNullSafe(some[i]) & (mine[a + "_"] == some[a]) & (mine[b + "_"] == some[b]), "left_semi").select(*own)
+
+    once = of(kept.where("once or size = 0"))
+    again = kept.where("not once and size > 0")
+    if again.isEmpty():
+        return once
+    return once.unionByName(of(stash(again)).dropDuplicates(["doc_id", "text"]))  # few rows, as a rule, which Spark then broadcasts under its checked threshold
 
 
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
