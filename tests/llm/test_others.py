@@ -138,6 +138,45 @@ def test_components(spark, seed):
     assert {r.node: r.component for r in got.collect()} == {n: r for n, r in root.items() if n not in alone}
 
 
+def chains_and_stars(rng):
+    """Edges whose components no single step finds, and the least node of each."""
+    order = rng.permutation(900).tolist()
+    edges = [*zip(order[:300], order[1:301], strict=True), *((order[400], k) for k in order[401:600]), *zip(order[600:900:2], order[601:900:2], strict=True), (order[7], order[7])]
+    least = {k: min(g) for g in (order[:301], order[400:600], *(order[k : k + 2] for k in range(600, 900, 2))) for k in g}
+    return edges, least
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_at_once_equal_those_by_rounds(spark, kind):
+    edges, least = chains_and_stars(np.random.default_rng(3))
+    name = (lambda k: k) if kind == "long" else (lambda k: (k * 12345 % 65536).to_bytes(2, "big"))
+    groups = {}
+    for k, m in least.items():
+        groups.setdefault(m, []).append(name(k))
+    want = {k: min(g) for g in groups.values() for k in g}
+    table = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}")
+    for within in (components.WITHIN, 0):
+        assert {_plain(r.node): _plain(r.component) for r in components.components(table, within).collect()} == want
+    assert components.components(table.where("false")).collect() == []
+
+
+def _plain(v):
+    return bytes(v) if isinstance(v, bytearray) else v
+
+
+def test_components_that_fit_a_task_take_few_of_them(spark):
+    """Each round of steps was thousands of tasks on many partitions, of which the driver keeps notes."""
+    tracker, group = spark.sparkContext.statusTracker(), "few-tasks"
+    edges, least = chains_and_stars(np.random.default_rng(4))
+    table = common.stash(spark.createDataFrame(edges, "a long, b long"))
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert components.components(table).count() == len(least)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) <= 8
+
+
 # registry and pipeline
 
 

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, d: int, factors: int = FA
     n = len(rows)
     p = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     bias, weight, factor = np.log(p / (1 - p)), np.zeros(d), rng.normal(0, start, (d, factors))
-    seen = np.bincount(np.concatenate(rows), minlength=d)
+    seen = sum(np.bincount(np.concatenate(rows[at : at + 1000]), minlength=d) for at in range(0, n, 1000))
     value = seen / (seen + shrink)
     touched = -np.expm1(-seen * 256 / n)  # how often a batch has the feature: a penalty is due for all batches
     push, square, factor_square, bias_square = np.zeros(d), np.zeros(d), np.ones((d, factors)), 1.0
@@ -155,8 +156,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column |
     weights, factors = np.zeros(mask + 1, np.float32), np.zeros((mask + 1, FACTORS), np.float32)
     if not got.num_rows:
         return FactorizationMachine(-np.inf, weights, factors, mask)
-    buckets, numbers = np.unique(flat, return_inverse=True)
-    lists = np.split(numbers, np.cumsum([len(b) for b in got["buckets"]])[:-1])
+    held = np.zeros(mask + 1, bool)
+    held[flat] = True
+    buckets = np.flatnonzero(held)
+    numbers = (np.cumsum(held, dtype=np.int32) - 1)[flat]  # not by a sort, which takes several times the memory of the terms
+    lists = np.split(numbers, np.cumsum(pc.list_value_length(got["buckets"]).to_numpy())[:-1])
     bias, weights[buckets], factors[buckets] = fit_machine(lists, got["y"].to_numpy().astype(float), len(buckets), **training)
     return FactorizationMachine(bias, weights, factors, mask)
 
