@@ -3,6 +3,7 @@ import io
 import pyarrow as pa
 import pytest
 
+from tidemill.operators import joins
 from tidemill.operators.joins import mark_join, range_join
 from tidemill.sources import files
 from tidemill.sources.store import Store
@@ -147,6 +148,30 @@ def test_range_join(spark, op, bins):
     assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize("values", [0, 1 << 20])
+@pytest.mark.parametrize("op", ["<", ">="])
+@pytest.mark.parametrize("sizes", [(50, 7), (7, 50)])
+def test_range_join_of_either_size(spark, monkeypatch, sizes, op, values):
+    """The smaller side is packed and broadcast, or meets the other part by part; keys repeat, and NaN is the largest."""
+    monkeypatch.setattr(joins, "BROADCAST_VALUES", values)
+    left, right = (spark.sql(f"select id as {a}, if(id = 3, double('nan'), cast(id % 5 as double)) as {x} from range({n})") for n, a, x in zip(sizes, "ab", "xy", strict=True))
+    left.createOrReplaceTempView("range_left")
+    right.createOrReplaceTempView("range_right")
+    want = [tuple(r) for r in spark.sql(f"select * from range_left join range_right on x {op} y").collect()]
+    joined = range_join(left, right, "x", op, "y", 4)
+    assert sorted(map(str, joined.collect())) == sorted(f"Row(a={a}, x={x}, b={b}, y={y})" for a, x, b, y in want)
+    assert ("CartesianProduct" in joined._jdf.queryExecution().executedPlan().toString()) == (not values)
+
+
+def test_range_join_makes_rows_after_the_join(spark):
+    """Rows are made out of blocks that have met, not before: neither a broadcast nor a shuffle carries a row once for each bin that it reaches."""
+    left, right = spark.sql("select id as a, cast(id as double) as x from range(2000)"), spark.sql("select id as b, cast(id as double) as y from range(3000)")
+    joined = range_join(left, right, "x", "<", "y")
+    assert joined.count() == sum(2999 - x for x in range(2000))
+    above, generate, _ = joined._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode")
+    assert generate and "Join" not in above
+
+
 def test_range_join_of_nothing(spark):
     empty = spark.sql("select 1 as b, 1.0D as y where false")
     assert range_join(spark.sql("select 1 as a, 1.0D as x"), empty, "x", "<", "y").count() == 0
