@@ -105,6 +105,15 @@ def test_reads_whole_tables(name, whole, spark, duck, small):
     assert QUERIES[name](spark, small).count() == duck.execute(whole).fetchone()[0]
 
 
+def test_orders_are_not_shuffled_to_tiers(spark, small):
+    """Four tiers are sent to the orders; dealt by tier, all orders would lie in four tasks."""
+    query = QUERIES["range_join_tiers"](spark, small)
+    query.collect()
+    above, _, below = query._jdf.queryExecution().executedPlan().toString().partition("BroadcastNestedLoopJoin")
+    orders = below.partition("BroadcastExchange")[0]
+    assert "o_totalprice" in orders and "Exchange" not in above + orders
+
+
 @pytest.mark.parametrize("name", ["sort_nulls", "sort_nulls_first"])
 def test_nulls_and_values_in_order(name, spark, duck, small):
     got = [tuple(r) for r in QUERIES[name](spark, small).collect()]
